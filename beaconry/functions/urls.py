@@ -15,8 +15,8 @@ def _part(url: Column, group: int) -> Column:
 
 def _port_ok(authority: Column) -> Column:
     port = F.regexp_extract(authority, r":([^:\]]*)$", 1)
-    return (port == "") | (port.rlike(r"^\d{1,5}$") & (F.expr("1") == 1) & (
-        F.coalesce(port.try_cast("int"), F.lit(-1)).between(0, 65535)))
+    in_range = F.coalesce(port.try_cast("int"), F.lit(-1)).between(0, 65535)
+    return (port == "") | (port.rlike(r"^\d{1,5}$") & in_range)
 
 
 def _host(authority: Column) -> Column:

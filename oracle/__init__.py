@@ -1,0 +1,12 @@
+"""Checking SQL for the registered queries."""
+
+import importlib
+
+MODULES = ["catalog"]
+
+
+def all_sql() -> dict[str, str]:
+    found = {}
+    for module in MODULES:
+        found.update(importlib.import_module(f"oracle.{module}").SQL)
+    return found
