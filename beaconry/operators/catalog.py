@@ -340,8 +340,12 @@ def with_explanations(rows: DataFrame) -> DataFrame:
 
 
 # --- order --------------------------------------------------------------------------------
-BASE_ORDER = [F.desc("attention"), F.desc(F.coalesce("readiness", F.lit(-1))), F.desc("stars"), F.asc("ord")]
-LONG_ORDER = [F.desc("endurance"), F.desc("attention"), F.desc(F.coalesce("readiness", F.lit(-1))), F.desc("stars"), F.asc("ord")]
+def base_order() -> list:
+    return [F.desc("attention"), F.desc(F.coalesce("readiness", F.lit(-1))), F.desc("stars"), F.asc("ord")]
+
+
+def lasting_order() -> list:
+    return [F.desc("endurance"), *base_order()]
 
 
 def catalog_limit(limit: int) -> int:
@@ -352,9 +356,9 @@ def _picks(rows: DataFrame, keys: list[str]) -> DataFrame:
     fit = F.coalesce((c("heat_track") == "long_term") & (c("attention") >= 60) & (c("recommendation") != "watch"), F.lit(False))
     rows = rows.withColumn("_fit", fit).withColumn("_recent", c("heat_track") == "recent_momentum")
     return (
-        rows.withColumn("_base", F.row_number().over(Window.partitionBy(*keys).orderBy(*BASE_ORDER)))
-        .withColumn("_lt", F.row_number().over(Window.partitionBy(*keys, "_fit").orderBy(*LONG_ORDER)))
-        .withColumn("_rm", F.row_number().over(Window.partitionBy(*keys, "_recent").orderBy(*BASE_ORDER)))
+        rows.withColumn("_base", F.row_number().over(Window.partitionBy(*keys).orderBy(*base_order())))
+        .withColumn("_lt", F.row_number().over(Window.partitionBy(*keys, "_fit").orderBy(*lasting_order())))
+        .withColumn("_rm", F.row_number().over(Window.partitionBy(*keys, "_recent").orderBy(*base_order())))
         .withColumn("_picked", (c("_fit") & (c("_lt") <= DAILY_LONG_TERM)) | (c("_recent") & (c("_rm") <= DAILY_RECENT))))
 
 

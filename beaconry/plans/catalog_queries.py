@@ -8,7 +8,6 @@ from beaconry.operators import identity as I
 from beaconry.operators import recall as R
 from beaconry.plans import texts
 from beaconry.plans.common import Tables, joined
-from beaconry.sources.bindings import LOGICAL  # noqa: F401  (documents the inputs)
 
 c = F.col
 
@@ -25,19 +24,6 @@ def ordered(t: Tables, limit: int = 30):
     return C.balanced_order(scored(t), limit)
 
 
-def legacy_catalog(t: Tables):
-    """Older catalog versions, derived from the scored rows."""
-    o = c("ord")
-    return scored(t).select(
-        "capture_id", "repo", (o % 5).cast("int").alias("schema_version"),
-        F.when(o % 7 == 1, 2).when(o % 7 == 2, None).otherwise(1).alias("project_id_version"),
-        F.when(o % 11 == 3, "").otherwise(F.lower("repo")).alias("project_id"),
-        F.when(o % 13 != 4, c("attention")).alias("global_score"), c("attention").alias("attention_score"),
-        c("endurance").alias("endurance_score"), c("readiness").alias("readiness_score"),
-        c("completeness").alias("completeness_score"),
-        F.when(o % 3 == 0, "trial").when(o % 3 == 1, "reuse").otherwise(c("recommendation")).alias("recommendation"))
-
-
 def declared(t: Tables):
     numbered = C.previous_capture(t.captures)
     wanted = numbered.select(
@@ -70,7 +56,8 @@ def summaries(t: Tables):
 
 
 def _scored(*cols):
-    return lambda t: scored(t).select("capture_id", "repo", *cols)
+    """Columns by name, or by SQL text."""
+    return lambda t: scored(t).selectExpr("capture_id", "repo", *cols)
 
 
 QUERIES = {
@@ -97,8 +84,8 @@ QUERIES = {
     "heat_observations": lambda t: C.with_growth(t.repo_snapshot, t.captures).select("capture_id", "repo", "obs_count", "obs_window"),
     "persistence": lambda t: C.with_growth(t.repo_snapshot, t.captures).select(
         "capture_id", "repo", C.persistence_verified(c("obs_count"), c("obs_window")).alias("persistent")),
-    "term_hits": _scored(joined("terms"), "low_actionability", "risk"),
-    "category": _scored(c("base_category").alias("category")),
+    "term_hits": _scored("array_join(terms, '|') AS terms", "low_actionability", "risk"),
+    "category": _scored("base_category AS category"),
     "momentum_score": _scored("momentum", "query_count"),
     "endurance_score": _scored("endurance", "long_term", "verified"),
     "attention_score": _scored("attention"),
@@ -132,6 +119,6 @@ QUERIES = {
         "observed_count", "snapshot_count", "source_count", "query_failure_count", "growth_mode", "notice"),
     "catalog_facets": lambda t: C.catalog_facets(catalog(t)),
     "catalog_views": lambda t: C.catalog_views(catalog(t)).withColumn("facets", F.array_join("facets", "|")),
-    "normalize_legacy_catalog": lambda t: C.normalize_legacy_catalog(legacy_catalog(t))[0],
-    "normalize_legacy_catalog_errors": lambda t: C.normalize_legacy_catalog(legacy_catalog(t))[1],
+    "normalize_legacy_catalog": lambda t: C.normalize_legacy_catalog(t.legacy_catalog)[0],
+    "normalize_legacy_catalog_errors": lambda t: C.normalize_legacy_catalog(t.legacy_catalog)[1],
 }

@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 from beaconry.sources.bindings import bind
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings the jobs rely on: UTC instants."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 class Tables:
     """Logical tables of one data folder, bound on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        # All expressions are written for UTC; display zones are explicit.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        prepare(spark)
         self.spark, self.sf_dir, self._seen = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -314,7 +314,7 @@ def files(d):
                          if i % 2 else f"WHEN {i} THEN '{stem}' || CAST(doc_id AS STRING) || '/{name}'")
     return f"""
     SELECT 'org/' || source AS repo,
-           CASE (doc_id * 7 + CAST(length(source) AS BIGINT)) % {n} {' '.join(whens)} END AS path,
+           CASE ({d.idiv('doc_id', 20)} * 7 + doc_id) % {n} {' '.join(whens)} END AS path,
            CASE WHEN doc_id % 47 = 0 THEN 600000 ELSE n_chars END AS size_bytes,
            CASE WHEN doc_id % 6 = 0 THEN text || ' // TODO tidy, fixme: TODOS xxx'
                 WHEN doc_id % 11 = 0 THEN '{{"license":"' || text || ' MIT License"}}' ELSE text END AS text,
@@ -477,6 +477,61 @@ def project_enrichment(d):
     WHERE ord % 5 <> 0"""
 
 
+def legacy_catalog(d):
+    """Catalog rows of several schema versions, with integer scores."""
+    return f"""
+    SELECT capture_id, repo, CAST(ord % 5 AS INT) AS schema_version,
+           CASE WHEN ord % 7 = 1 THEN 2 WHEN ord % 7 = 2 THEN NULL ELSE 1 END AS project_id_version,
+           CASE WHEN ord % 11 = 3 THEN '' ELSE lower(repo) END AS project_id,
+           CASE WHEN ord % 13 = 4 THEN NULL ELSE CAST((ord * 7 + stars) % 120 AS INT) END AS global_score,
+           CAST((ord * 3 + stars) % 103 AS INT) AS attention_score, CAST(stars % 101 AS INT) AS endurance_score,
+           CASE WHEN ord % 4 <> 0 THEN CAST((ord + forks) % 101 AS INT) END AS readiness_score,
+           CAST(forks % 101 AS INT) AS completeness_score,
+           CASE ord % 5 WHEN 0 THEN 'trial' WHEN 1 THEN 'reuse' WHEN 2 THEN 'save' ELSE 'watch' END AS recommendation
+    FROM ({repo_facts(d)}) f"""
+
+
+def artifact_copies(d):
+    """Evidence rows plus extra copies of some repositories at other or equal versions."""
+    cols = "schema_version, project_id_version, project_id, repository, analyzed_at, ord"
+    return f"""
+    SELECT {cols} FROM ({static_evidence(d)}) e
+    UNION ALL
+    SELECT schema_version - 1, project_id_version, project_id, upper(repository), analyzed_at, ord
+    FROM ({static_evidence(d)}) e WHERE ord % 4 = 1 AND schema_version > 0
+    UNION ALL
+    SELECT schema_version, project_id_version, project_id, repository, analyzed_at, ord
+    FROM ({static_evidence(d)}) e WHERE ord % 25 = 1
+    UNION ALL
+    SELECT 1, NULL, NULL, replace(repository, '-', '.'), analyzed_at, ord
+    FROM ({static_evidence(d)}) e WHERE ord % 31 = 1"""
+
+
+def staging(d):
+    """Staged evidence: missing, newer, older, equal and unversioned rows against the current ones."""
+    return f"""
+    SELECT 'analysis' AS kind, lower(repository) AS key, repository,
+           CASE WHEN ord % 6 = 0 THEN 0 WHEN ord % 6 = 1 THEN NULL ELSE 2 END AS schema_version,
+           CASE ord % 5 WHEN 0 THEN analyzed_at WHEN 1 THEN '2030-01-01T00:00:00Z' WHEN 2 THEN '1990-01-01T00:00:00Z'
+                WHEN 3 THEN '2030-01-01T00:00:00' ELSE '2031-06-01T12:00:00Z' END AS stamp,
+           'staged ' || CAST(ord AS STRING) AS payload
+    FROM ({static_evidence(d)}) e WHERE ord % 2 = 0
+    UNION ALL
+    SELECT 'enrichment', lower(repository), CASE WHEN ord % 8 = 3 THEN 'other/' || CAST(ord AS STRING) ELSE repository END, schema_version,
+           CASE WHEN ord % 3 = 0 THEN '2030-01-01T00:00:00Z' WHEN ord % 3 = 1 THEN analyzed_at ELSE NULL END,
+           'staged profile ' || CAST(ord AS STRING)
+    FROM ({project_enrichment(d)}) p WHERE ord % 4 <> 1"""
+
+
+def current_artifacts(d):
+    return f"""
+    SELECT 'analysis' AS kind, lower(repository) AS key, repository, schema_version, analyzed_at AS stamp,
+           'current ' || CAST(ord AS STRING) AS payload FROM ({static_evidence(d)}) e WHERE ord % 10 <> 4
+    UNION ALL
+    SELECT 'enrichment', lower(repository), repository, schema_version, analyzed_at, 'current profile ' || CAST(ord AS STRING)
+    FROM ({project_enrichment(d)}) p WHERE ord % 10 <> 6"""
+
+
 _ACTION_BY_TYPE = {"view": "opened", "click": "saved", "signup": "tried", "error": "cloned", "purchase": "reused"}
 _FEEDBACK_BY_TYPE = {"view": "useful", "click": "unsure", "error": "useless", "purchase": "reuse"}
 
@@ -568,7 +623,7 @@ def generation_rows(d):
 LOGICAL = {f.__name__: f for f in [
     captures, repo_facts, repo_snapshot, repo_hits, raw_items, attempts, carried_identity, identity_names, files,
     signals_raw, source_attempts, raw_payloads, signal_enrichment, static_evidence, project_enrichment,
-    action_events, action_requests, known_projects, legacy_actions, feedback_changes, search_queries,
+    legacy_catalog, artifact_copies, staging, current_artifacts, action_events, action_requests, known_projects, legacy_actions, feedback_changes, search_queries,
     generation_log, generation_rows]}
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["catalog"]
+MODULES = ["catalog", "evidence"]
 
 
 def all_sql() -> dict[str, str]:

@@ -391,14 +391,8 @@ SELECT c.capture_id, daily_count, candidate_count, observed_count, deep_count, a
     count(*) FILTER (WHERE observed) AS observed_count, count(*) FILTER (WHERE analysis_state = 'deep') AS deep_count,
     floor(avg(readiness) + 0.5)::INT AS average_readiness FROM catalog_rows GROUP BY capture_id) c
 JOIN (SELECT capture_id, string_agg(category, '|' ORDER BY first_position) AS facets FROM facets GROUP BY capture_id) f ON f.capture_id = c.capture_id""")
-# older catalog versions, derived from the scored rows
-cte("legacy_catalog", ["scored"], """
-SELECT capture_id, repo, (ord % 5)::INT AS schema_version, CASE WHEN ord % 7 = 1 THEN 2 WHEN ord % 7 = 2 THEN NULL ELSE 1 END AS project_id_version,
-  CASE WHEN ord % 11 = 3 THEN '' ELSE lower(repo) END AS project_id, CASE WHEN ord % 13 = 4 THEN NULL ELSE attention END AS global_score,
-  attention AS attention_score, endurance AS endurance_score, readiness AS readiness_score, completeness AS completeness_score,
-  CASE WHEN ord % 3 = 0 THEN 'trial' WHEN ord % 3 = 1 THEN 'reuse' ELSE recommendation END AS recommendation FROM scored""")
 _OKV = """coalesce(schema_version IN (1, 2, 3) AND (schema_version <> 3 OR (project_id_version = 1 AND project_id <> '')), false)
-  AND (schema_version <> 1 OR global_score IS NOT NULL)"""
+  AND coalesce(CASE WHEN schema_version = 1 THEN global_score ELSE attention_score END BETWEEN 0 AND 100, false)"""
 SQL["normalize_legacy_catalog"] = query(["legacy_catalog"], f"""
 SELECT capture_id, repo, schema_version, CASE WHEN schema_version = 1 THEN 'legacy-v1' ELSE 'evidence-v2' END AS score_model,
   CASE WHEN schema_version = 1 THEN global_score ELSE attention_score END AS attention, endurance_score AS endurance,
