@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from beaconry.plans.common import Tables
 
-MODULES = ["catalog_queries", "evidence_queries"]
+MODULES = ["catalog_queries", "evidence_queries", "signal_queries", "action_queries"]
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -305,8 +305,10 @@ def files(d):
     for i, path in enumerate(FILE_PATHS):
         head, dot, tail = path.rpartition("/")
         base, ext_dot, ext = tail.rpartition(".")
-        if path in ("README.md", "LICENSE", "package.json", "Dockerfile", "go.sum", ".env.example", "COPYING.txt"):
-            whens.append(f"WHEN {i} THEN CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'pkg' || CAST(doc_id % 7 AS STRING) || '/' END || '{path}'")
+        if path in ("README.md", "LICENSE", "COPYING.txt"):
+            whens.append(f"WHEN {i} THEN CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'pkg/' END || '{path}-' || CAST(doc_id AS STRING)")
+        elif path in ("package.json", "Dockerfile", "go.sum", ".env.example"):
+            whens.append(f"WHEN {i} THEN 'pkg' || CAST(doc_id AS STRING) || '/{path}'")
         else:
             stem = (head + "/" if head else "")
             name = f"{base}.{ext}" if ext_dot and base else tail

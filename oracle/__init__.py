@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["catalog", "evidence"]
+MODULES = ["catalog", "evidence", "signals", "actions"]
 
 
 def all_sql() -> dict[str, str]:
