@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from beaconry.constants import (
     ACTION_STAGES, FEEDBACK_VALUES, IDEMPOTENCY_PATTERN, LEGACY_MATCH_MICROS, RESERVED_KEY_PREFIX)
-from beaconry.operators.skew import previous_value
+from beaconry.operators.skew import if_small, previous_value
 
 c = F.col
 DAY_US = 86_400_000_000
@@ -81,14 +81,13 @@ def state_order(state: DataFrame) -> DataFrame:
 def weekly_action_metrics(log: DataFrame, as_of: DataFrame) -> DataFrame:
     """Distinct projects per device in [as_of - 7 d, as_of], for every as-of instant of a calendar.
 
-    Events and as-of instants meet on day numbers (an event can only count in the eight days that follow it),
-    so the calendar join is an equi-join with an exact filter on top.
+    Events and as-of instants meet on day numbers: each as-of instant is spread over the eight days it can
+    see, so the calendar join is an equi-join with an exact filter on top and the log is not multiplied first.
     """
-    day = F.floor(c("at_us") / DAY_US).cast("bigint")
-    spread = log.withColumn("_day", F.explode(F.sequence(day, day + 7)))
-    marks = as_of.select("as_of_us", F.floor(c("as_of_us") / DAY_US).cast("bigint").alias("_day"))
-    hits = spread.join(marks, "_day").filter(
-        (c("at_us") >= c("as_of_us") - 7 * DAY_US) & (c("at_us") <= c("as_of_us")))
+    day = F.floor(c("as_of_us") / DAY_US).cast("bigint")
+    marks = as_of.select("as_of_us", F.explode(F.sequence(day - 7, day)).alias("_day"))
+    hits = (log.withColumn("_day", F.floor(c("at_us") / DAY_US).cast("bigint")).join(if_small(marks), "_day")
+            .filter((c("at_us") >= c("as_of_us") - 7 * DAY_US) & (c("at_us") <= c("as_of_us"))))
     # Projects first: one row per (device, as_of, project) with flags, then plain counts.
     per_project = hits.groupBy("device_id", "as_of_us", "project_slug").agg(
         *[F.bool_or(c("action") == a).alias(a) for a in ACTION_STAGES])
@@ -150,7 +149,7 @@ def feedback_current(changes: DataFrame) -> DataFrame:
 
 def feedback_counts(current: DataFrame) -> DataFrame:
     """Projects per value and device, zero-filled."""
-    wide = current.groupBy("device_id").pivot("value", FEEDBACK_VALUES).agg(F.count("*")).na.fill(0, FEEDBACK_VALUES)
+    wide = current.groupBy("device_id").pivot("value", FEEDBACK_VALUES).agg(F.count(F.lit(1))).na.fill(0, FEEDBACK_VALUES)
     return wide.withColumn("total", reduce(lambda a, b: a + b, [c(v) for v in FEEDBACK_VALUES]))
 
 

@@ -583,11 +583,48 @@ def feedback_changes(d):
     FROM {d.t('events')} WHERE event_type <> 'signup'"""
 
 
+_SERVED = "('c1999q1', 'c1999q2', 'c1999q3', 'c1999q4')"
+
+
+def served_catalog(d):
+    """Four published catalogs of 100 projects each."""
+    return f"""
+    SELECT capture_id AS generation_id, position, 'p' || CAST(position - 1 AS STRING) AS project_slug, repo,
+           'Title ' || CAST(ord % 9 AS STRING) AS title, coalesce(description, 'no description') AS description,
+           CASE ord % 4 WHEN 0 THEN 'ai_agent' WHEN 1 THEN 'research' WHEN 2 THEN 'devtools' ELSE 'video' END AS category,
+           {d.arr("'ai agent'", "' Topic ' || CAST(ord % 6 AS STRING)", "coalesce(language, 'x')")} AS capabilities,
+           {d.arr("'Task  ' || CAST(ord % 8 AS STRING)", "'agent'", "'topic ' || CAST(ord % 6 AS STRING)", "'office excel ' || CAST(ord % 3 AS STRING)")} AS task_terms,
+           CASE WHEN ord % 3 = 0 THEN 'long_term' ELSE 'recent_momentum' END AS heat_track,
+           CASE WHEN ord % 3 = 0 THEN 'long_term_proxy' ELSE 'rising' END AS heat_label,
+           CASE ord % 4 WHEN 0 THEN 'deep' WHEN 1 THEN 'static' ELSE 'facts_only' END AS analysis_state,
+           CAST(100 - position + ord % 7 AS INT) AS attention,
+           CASE WHEN ord % 4 < 2 THEN CAST((ord * 13) % 101 AS INT) END AS readiness,
+           'Placed in ' || CAST(ord % 5 AS STRING) AS fit_hypothesis, 'Read the docs-first/then try' AS reuse_plan
+    FROM (SELECT f.*, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY stars DESC, ord) AS INT) AS position
+          FROM ({repo_facts(d)}) f WHERE capture_id IN {_SERVED}) r WHERE position <= 100"""
+
+
+def served_feedback(d):
+    """Feedback of devices against the served catalogs; some values and projects are unknown."""
+    return f"""
+    SELECT event_id AS id, 'd' || CAST(user_id AS STRING) AS device_id, 'c1999q' || CAST(user_id % 4 + 1 AS STRING) AS generation_id,
+           'p' || CAST({d.json_int('props', 'k')} + 3 AS STRING) AS project_slug,
+           {_case('event_type', {**_FEEDBACK_BY_TYPE, 'signup': 'liked'})} AS value, {d.us('ts')} AS at_us
+    FROM {d.t('events')} WHERE user_id % 10 <> 0"""
+
+
+def devices(d):
+    return f"""
+    SELECT DISTINCT 'd' || CAST(user_id AS STRING) AS device_id, 'c1999q' || CAST(user_id % 4 + 1 AS STRING) AS generation_id
+    FROM {d.t('events')}"""
+
+
 def search_queries(d):
     words = ["agent", "research 研究", "excel", "github", "workflow 自动", "oauth", "video 视频", ""]
     case = " ".join(f"WHEN {i} THEN ' {w}'" for i, w in enumerate(words) if w)
     return f"""
     SELECT 'q' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS query_id,
+           'c1999q' || CAST(conv_id % 4 + 1 AS STRING) AS generation_id,
            {d.clean('text')} || CASE conv_id % 8 {case} ELSE '' END AS text
     FROM {d.t('conversations')} WHERE role = 'user'"""
 
@@ -625,7 +662,7 @@ def generation_rows(d):
 LOGICAL = {f.__name__: f for f in [
     captures, repo_facts, repo_snapshot, repo_hits, raw_items, attempts, carried_identity, identity_names, files,
     signals_raw, source_attempts, raw_payloads, signal_enrichment, static_evidence, project_enrichment,
-    legacy_catalog, artifact_copies, staging, current_artifacts, action_events, action_requests, known_projects, legacy_actions, feedback_changes, search_queries,
+    legacy_catalog, artifact_copies, staging, current_artifacts, action_events, action_requests, known_projects, legacy_actions, feedback_changes, served_catalog, served_feedback, devices, search_queries,
     generation_log, generation_rows]}
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["catalog", "evidence", "signals", "actions"]
+MODULES = ["catalog", "evidence", "signals", "actions", "personal"]
 
 
 def all_sql() -> dict[str, str]:
