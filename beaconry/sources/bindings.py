@@ -630,22 +630,20 @@ def search_queries(d):
 
 
 def generation_log(d):
-    """One publication attempt per quarter of orders."""
+    """Publication attempts per dataset and quarter of orders; a few are built on the wrong base."""
     q = "year(o_orderdate) * 4 + quarter(o_orderdate) - 1"
+    gid = "dataset || ':' || CAST({} AS STRING)".format
     return f"""
-    SELECT 'g' || CAST(qno AS STRING) AS generation_id,
-           CASE WHEN qno % 9 = 5 THEN 'g0' ELSE 'g' || CAST(qno - 1 AS STRING) END AS base_generation_id,
-           CASE WHEN n_open % 2 = 0 THEN 'refresh' ELSE 'derive' END AS operation,
-           CASE WHEN n_pending % 6 = 1 THEN 'building' ELSE 'ready' END AS state,
-           CAST(CASE WHEN n_done % 7 = 2 THEN n_done % 5 ELSE 0 END AS BIGINT) AS error_count,
-           CAST(n_all % 3 AS BIGINT) AS warning_count, created_us, {d.iso('created_us')} AS created_at,
-           {d.iso(f'created_us + CASE WHEN qno % 13 = 6 THEN -200 ELSE 1 END * {DAY}')} AS published_at,
-           created_us + CASE WHEN qno % 13 = 6 THEN -200 ELSE 1 END * {DAY} AS published_us,
-           qno, n_all
-    FROM (SELECT {q} AS qno, count(*) AS n_all, {d.count_if("o_orderstatus = 'O'")} AS n_open,
-                 {d.count_if("o_orderstatus = 'P'")} AS n_pending, {d.count_if("o_orderstatus = 'F'")} AS n_done,
-                 {d.us('max(o_orderdate)')} AS created_us
-          FROM {d.t('orders')} GROUP BY {q}) g"""
+    SELECT dataset, {gid('qno')} AS generation_id,
+           CASE WHEN wrong_base THEN 'none' ELSE {gid('max(CASE WHEN ok THEN qno END) OVER (PARTITION BY dataset ORDER BY qno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} END AS base_generation_id,
+           state, error_count, CAST(n_all % 3 AS BIGINT) AS warning_count, created_us, published_us
+    FROM (SELECT g.*, state = 'ready' AND error_count = 0 AND NOT wrong_base AND NOT early AS ok,
+                 created_us + CASE WHEN early THEN -2000 ELSE 1 END * {DAY} AS published_us
+          FROM (SELECT substr(o_orderpriority, 1, 1) AS dataset, {q} AS qno, count(*) AS n_all,
+                       CASE WHEN {d.count_if("o_orderstatus = 'P'")} % 6 = 1 THEN 'building' ELSE 'ready' END AS state,
+                       CAST(CASE WHEN {d.count_if("o_orderstatus = 'F'")} % 7 = 2 THEN 2 ELSE 0 END AS BIGINT) AS error_count,
+                       count(*) % 9 = 5 AS wrong_base, count(*) % 13 = 6 AS early, {d.us('max(o_orderdate)')} AS created_us
+                FROM {d.t('orders')} GROUP BY substr(o_orderpriority, 1, 1), {q}) g) x"""
 
 
 def generation_rows(d):
@@ -655,7 +653,7 @@ def generation_rows(d):
     SELECT 'g' || CAST({q} AS STRING) AS generation_id,
            CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'snapshot' WHEN '2' THEN 'catalog' WHEN '3' THEN 'signals'
                 WHEN '4' THEN 'queue' ELSE 'history' END AS artifact,
-           CAST(o_orderkey AS STRING) AS row_key, o_custkey, o_orderstatus, o_totalprice
+           CAST(o_orderkey AS STRING) AS row_key, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS cents
     FROM {d.t('orders')} WHERE NOT (substr(o_orderpriority, 1, 1) = '4' AND ({q}) % 8 = 3)"""
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["catalog", "evidence", "signals", "actions", "personal"]
+MODULES = ["catalog", "evidence", "signals", "actions", "personal", "audit"]
 
 
 def all_sql() -> dict[str, str]:
