@@ -28,18 +28,26 @@ c = F.col
 
 
 # --- captures and growth --------------------------------------------------------------
+def capture_chain(captures: DataFrame) -> DataFrame:
+    """Consecutive numbers and predecessors of the capture headers, one capture per instant.
+
+    Headers are one short row per capture run, so the ordered list of all of them is a small array.
+    """
+    heads = captures.groupBy(T.strict_time(c("captured_at")).alias("captured_ts")).agg(F.max("capture_id").alias("capture_id"))
+    ordered = heads.agg(F.array_sort(F.collect_list(F.struct("captured_ts", "capture_id"))).alias("_all"))
+    rows = ordered.select("_all", F.posexplode("_all").alias("_i", "_x"))
+    before = F.get("_all", c("_i") - 1)
+    return rows.select(c("_x.capture_id").alias("capture_id"), c("_x.captured_ts").alias("captured_ts"), (c("_i") + 1).alias("capture_no"),
+                       before["captured_ts"].alias("previous_ts"), before["capture_id"].alias("previous_capture_id"))
+
+
 def number_captures(captures: DataFrame) -> DataFrame:
-    """Consecutive numbers for the capture headers (one row per capture)."""
-    order = Window.orderBy("captured_ts")
-    return (captures.select("capture_id", T.strict_time(c("captured_at")).alias("captured_ts")).distinct()
-            .withColumn("capture_no", F.dense_rank().over(order)))
+    return capture_chain(captures).select("capture_id", "captured_ts", "capture_no")
 
 
 def previous_capture(captures: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """Capture before each capture; a declared predecessor must match exactly one capture."""
-    order = Window.orderBy("captured_ts")
-    chain = number_captures(captures).withColumn("previous_ts", F.lag("captured_ts").over(order)).withColumn(
-        "previous_capture_id", F.lag("capture_id").over(order))
+    chain = capture_chain(captures)
     if declared is None:
         return chain.withColumn("error", F.lit(None).cast("string"))
     known = chain.groupBy(c("captured_ts").alias("_ts")).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry.constants import REPOSITORY_PATTERN
-from beaconry.functions.timefns import RFC3339, strict_time
+from beaconry.functions.timefns import strict_time
 from beaconry.functions.urls import is_http_url
 from beaconry.operators.identity import canonical, carried_error, legacy_slug
 
@@ -37,7 +37,7 @@ def violation(column: str, rule: str, arg) -> Column:
         "minimum": lambda: v < arg, "maximum": lambda: v > arg,
         "min_length": lambda: F.length(v) < arg, "max_length": lambda: F.length(v) > arg,
         "pattern": lambda: ~v.rlike(arg), "enum": lambda: ~v.isin(arg), "const": lambda: v != F.lit(arg),
-        "http_url": lambda: ~is_http_url(v), "timestamp": lambda: ~(v.rlike(RFC3339) & strict_time(v).isNotNull()),
+        "http_url": lambda: ~is_http_url(v), "timestamp": lambda: v.isNotNull() & strict_time(v).isNull(),
         "finite": lambda: F.isnan(v) | (F.abs(v) == float("inf")),
         "unique_items": lambda: F.size(F.array_distinct(v)) < F.size(v), "min_items": lambda: F.size(v) < arg,
         "max_items": lambda: F.size(v) > arg, "paired": lambda: v.isNull() != c(arg).isNull(),

@@ -72,22 +72,21 @@ def priority(kind: Column) -> Column:
     return chain.otherwise(0)
 
 
-def merge_signals(signals: DataFrame) -> DataFrame:
-    """One row per (run, canonical URL), built by source first and then by URL.
-
-    Both steps combine on the map side, and the sets keep one copy of each source and evidence name, so a
-    URL that arrives very often costs no more than its distinct names.
-    """
+def partial_merge(signals: DataFrame) -> DataFrame:
+    """Signals of one (run, canonical URL, source) combined; partial results can be merged again later."""
     lead = F.struct(-priority(c("kind")), c("ord"))
     rows = signals.withColumn("url_key", canonical_url(c("url"))).withColumn("id", signal_id(c("kind"), c("url")))
-    by_source = rows.groupBy("run_id", "url_key", "source").agg(
+    return rows.groupBy("run_id", "url_key", "source").agg(
         F.min_by(F.struct("url", "repo", "reported_daily_growth", "sources", "evidence"), "ord").alias("_first"),
         F.min_by(F.struct("kind", "title", "source", "source_url", "published_at", "id"), lead).alias("_head"),
         F.min(lead).alias("_lead"), F.min("ord").alias("_ord"), F.max("ord").alias("_last"),
         F.max("score").alias("score"), F.count("*").alias("arrivals"),
         F.array_distinct(F.flatten(F.collect_set("sources"))).alias("_sources"),
         F.array_distinct(F.flatten(F.collect_set("evidence"))).alias("_evidence"))
-    merged = by_source.groupBy("run_id", "url_key").agg(
+
+
+def final_merge(partials: DataFrame) -> DataFrame:
+    merged = partials.groupBy("run_id", "url_key").agg(
         F.min_by("_first", "_ord").alias("_first"), F.min_by("_head", "_lead").alias("_head"), F.min("_ord").alias("ord"),
         F.max("score").alias("score"), F.sum("arrivals").alias("arrivals"),
         F.flatten(F.collect_set("_sources")).alias("_sources"), F.flatten(F.collect_set("_evidence")).alias("_evidence"),
@@ -101,6 +100,15 @@ def merge_signals(signals: DataFrame) -> DataFrame:
         F.when(many, F.array_sort(F.array_distinct("_evidence"))).otherwise(c("_first.evidence")).alias("evidence"))
 
 
+def merge_signals(signals: DataFrame) -> DataFrame:
+    """One row per (run, canonical URL), built by source first and then by URL.
+
+    Both steps combine on the map side, and the sets keep one copy of each source and evidence name, so a
+    URL that arrives very often costs no more than its distinct names.
+    """
+    return final_merge(partial_merge(signals))
+
+
 def rank_signals(merged: DataFrame, limit: int = 30) -> DataFrame:
     """Best rows per run by kind, score and time; the first five are the top signals."""
     keep = max(CATALOG_MIN, min(limit, CATALOG_MAX))

@@ -1,11 +1,11 @@
 """Registered queries for the work queue, the action log and feedback."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from beaconry.operators import actions as A
 from beaconry.operators import queue as W
-from beaconry.plans.catalog_queries import catalog
+from beaconry.operators.catalog import number_captures
+from beaconry.plans.catalog_queries import stored_catalog as catalog
 from beaconry.plans.common import Tables, joined
 from beaconry.plans.signal_queries import overlay
 
@@ -17,13 +17,13 @@ def project_items(t: Tables, limit: int = 5):
 
 
 def signal_items(t: Tables, limit: int = 10):
-    return W.signal_queue(overlay(t), t.signal_enrichment, limit)
+    return W.signal_queue(t.once("_overlay", lambda: overlay(t)), t.signal_enrichment, limit)
 
 
 def both_items(t: Tables):
     """Queue of a capture, joined with the signal run that has the same ordinal."""
     projects = project_items(t).withColumn("queue_id", F.col("capture_id"))
-    cap = t.captures.select("capture_id", F.concat(F.lit("r"), (F.dense_rank().over(Window.orderBy("captured_at")) - 1).cast("string")).alias("run_id"))
+    cap = number_captures(t.captures).select("capture_id", F.concat(F.lit("r"), (F.col("capture_no") - 1).cast("string")).alias("run_id"))
     signals = signal_items(t).join(cap, "run_id").withColumn("queue_id", F.col("capture_id")).drop("run_id")
     return projects, signals
 

@@ -7,14 +7,14 @@ from beaconry.operators import catalog as C
 from beaconry.operators import contracts as V
 from beaconry.operators import generations as N
 from beaconry.plans.action_queries import both_items
-from beaconry.plans.catalog_queries import catalog
+from beaconry.plans.catalog_queries import stored_catalog as catalog
 from beaconry.plans.common import Tables
 
 HASHED = ["row_key", "o_custkey", "o_orderstatus", "cents"]
 
 
 def manifest(t: Tables):
-    return N.generation_manifest(t.generation_rows, HASHED, "md5")
+    return t.once("_manifest", lambda: N.generation_manifest(t.generation_rows, HASHED, "md5"))
 
 
 def declared_manifest(t: Tables):
@@ -106,7 +106,7 @@ def heat(t: Tables):
 
 
 def queue_rebuild(t: Tables):
-    projects, signals = both_items(t)
+    projects, signals = (t.once(f"_queue{i}", lambda rows=rows: rows) for i, rows in enumerate(both_items(t)))
     cols = ["id", "kind", "priority", "reason", "repository", "url"]
     both = projects.unionByName(signals, allowMissingColumns=True).withColumn("generation_id", F.col("queue_id"))
     rebuilt = both.select("generation_id", "completed", *cols)

@@ -20,6 +20,17 @@ def catalog(t: Tables, limit: int = 30):
     return C.build_catalog(t.repo_snapshot, t.captures, t.static_evidence, t.project_enrichment, limit)
 
 
+# What the queue, the views and the audit read of a catalog.
+SLIM = ["capture_id", "position", "repo", "canonical", "title", "category", "pushed_at", "attention", "endurance", "readiness", "completeness",
+        "recommendation", "growth_kind", "growth_value", "observed", "obs_count", "obs_window", "heat_track", "long_term_evidence", "verified",
+        "analysis_state"]
+
+
+def stored_catalog(t: Tables):
+    """The catalog without its texts, written once for queries that read it several times."""
+    return t.once("_catalog", lambda: catalog(t).select(*SLIM))
+
+
 def ordered(t: Tables, limit: int = 30):
     return C.balanced_order(scored(t), limit)
 
@@ -118,7 +129,7 @@ QUERIES = {
         "capture_id", "project_count", "deep_count", joined("pending_deep"), "daily_long_term", "daily_recent", "verified_long_term",
         "observed_count", "snapshot_count", "source_count", "query_failure_count", "growth_mode", "notice"),
     "catalog_facets": lambda t: C.catalog_facets(catalog(t)),
-    "catalog_views": lambda t: C.catalog_views(catalog(t)).withColumn("facets", F.array_join("facets", "|")),
+    "catalog_views": lambda t: C.catalog_views(stored_catalog(t)).withColumn("facets", F.array_join("facets", "|")),
     "normalize_legacy_catalog": lambda t: C.normalize_legacy_catalog(t.legacy_catalog)[0],
     "normalize_legacy_catalog_errors": lambda t: C.normalize_legacy_catalog(t.legacy_catalog)[1],
 }

@@ -1,5 +1,7 @@
 """Shared pieces of the registered queries."""
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,32 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def shared_dir(spark: SparkSession) -> str | None:
+    """Folder all executors see: the one the cluster names, or a temporary one on a single machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    return tempfile.mkdtemp(prefix="beaconry-") if spark.sparkContext.master.startswith("local") else None
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """Rows written once to the checkpoint folder, for results that several steps read.
+
+    Without a shared folder the plan is left as it is and recomputed.
+    """
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = shared_dir(spark)
+        if folder is None:
+            return rows
+        spark.sparkContext.setCheckpointDir(folder)
+    return rows.checkpoint()
+
+
+# Logical tables that a deployment reads from storage and that several steps of a query read.
+STORED = {"audit_snapshot", "audit_catalog", "audit_signals", "audit_headers", "served_catalog"}
+
+
 class Tables:
     """Logical tables of one data folder, bound on first use."""
 
@@ -21,7 +49,15 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._seen:
-            self._seen[name] = bind(self.spark, self.sf_dir, name)
+            rows = bind(self.spark, self.sf_dir, name)
+            self._seen[name] = written(rows) if name in STORED else rows
+        return self._seen[name]
+
+
+    def once(self, name: str, build) -> DataFrame:
+        """A derived table written on first use."""
+        if name not in self._seen:
+            self._seen[name] = written(build())
         return self._seen[name]
 
 

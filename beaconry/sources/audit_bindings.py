@@ -24,25 +24,18 @@ def baseline_pairs(d):
 
 
 def baseline_rows(d):
-    parts = []
-
-    def add(op, side, role, k, captured="captured_at", fp="fp", keep="true"):
-        g = f"(qno - ({k}))"
-        parts.append(f"SELECT '{op}:' || CAST({g} AS STRING) AS pair_id, '{side}' AS side, '{role}' AS role, {captured.format(g=g)} AS captured_at, "
-                     f"{fp.format(g=g)} AS fingerprint FROM ({_quarters(d)}) q WHERE {keep.format(g=g)}")
-
-    for op in ("refresh", "derive"):
-        add(op, "base", "latest", 0)
-        for k in range(-5, 0):
-            add(op, "base", "history", k)
-    add("refresh", "candidate", "latest", 1, captured="CASE WHEN {g} % 7 = 3 THEN '1990-01-01T00:00:00Z' ELSE captured_at END")
-    for k in range(-5, 1):
-        fault = {-2: "CASE WHEN {g} % 11 = 4 THEN fp + 1 ELSE fp END", 0: "CASE WHEN {g} % 13 = 6 THEN fp + 1 ELSE fp END"}.get(k, "fp")
-        add("refresh", "candidate", "history", k, fp=fault, keep="{g} % 5 <> 2" if k == 0 else "true")
-    add("derive", "candidate", "latest", 0, keep="{g} % 6 <> 5")
-    for k in range(-5, 0):
-        add("derive", "candidate", "history", k, fp="CASE WHEN {g} % 4 = 1 THEN fp + 1 ELSE fp END" if k == -1 else "fp")
-    return "\n UNION ALL ".join(parts)
+    """Latest and history captures of bases and candidates; combo = 2 * derive + candidate."""
+    return f"""
+    SELECT CASE WHEN combo < 2 THEN 'refresh:' ELSE 'derive:' END || CAST(g AS STRING) AS pair_id,
+           CASE WHEN combo % 2 = 0 THEN 'base' ELSE 'candidate' END AS side,
+           CASE WHEN k = top_k THEN 'latest' ELSE 'history' END AS role,
+           CASE WHEN combo = 1 AND k = 1 AND g % 7 = 3 THEN '1990-01-01T00:00:00Z' ELSE captured_at END AS captured_at,
+           CASE WHEN (combo = 1 AND k = -2 AND g % 11 = 4) OR (combo = 1 AND k = 0 AND g % 13 = 6) OR (combo = 3 AND k = -1 AND g % 4 = 1)
+                THEN fp + 1 ELSE fp END AS fingerprint
+    FROM (SELECT captured_at, fp, k, combo, qno - k AS g, CASE WHEN combo = 1 THEN 1 ELSE 0 END AS top_k
+          FROM (SELECT captured_at, fp, qno, combo, {d.each(-5, 1)} AS k
+                FROM (SELECT captured_at, fp, qno, {d.each(0, 3)} AS combo FROM ({_quarters(d)}) q) a) b) c
+    WHERE k <= top_k AND NOT (combo = 1 AND k = 0 AND g % 5 = 2) AND NOT (combo = 3 AND k = 0 AND g % 6 = 5)"""
 
 
 def generation_headers(d):

@@ -71,6 +71,9 @@ class SparkSql:
     def if_nan(self):
         return "CAST('NaN' AS DOUBLE)"
 
+    def each(self, first, last):
+        return f"explode(sequence({first}, {last}))"
+
 
 class DuckSql(SparkSql):
     mat = "MATERIALIZED"
@@ -127,8 +130,8 @@ class DuckSql(SparkSql):
     def clean(self, text):
         return f"trim(regexp_replace({text}, '[^A-Za-z0-9 ]+', '', 'g'))"
 
-    def if_nan(self):
-        return "CAST('NaN' AS DOUBLE)"
+    def each(self, first, last):
+        return f"unnest(range({first}, {last} + 1))"
 
 
 # Fixed maps from the words of a part name to repository topics.

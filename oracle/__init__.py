@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["catalog", "evidence", "signals", "actions", "personal", "audit"]
+MODULES = ["catalog", "evidence", "signals", "actions", "personal", "audit", "streams"]
 
 
 def all_sql() -> dict[str, str]:
