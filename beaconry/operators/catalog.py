@@ -81,22 +81,26 @@ def with_growth(snapshot: DataFrame, captures: DataFrame) -> DataFrame:
         .withColumn("_delta", F.when(observed, c("stars") - c("_pstars"))))
     rate = c("stars") / c("age_days")
     proxy = F.bround(rate, 0).cast("long")
-    hours_text = F.format_string("%.1f", F.bround(c("window_hours"), 1))
     return (
         rows.withColumn("growth_kind", F.when(c("observed"), "observed").otherwise("velocity_proxy"))
         .withColumn("growth_value", F.when(c("observed"), c("_delta")).otherwise(proxy))
         .withColumn("ranking_value", F.when(
             c("observed"), F.greatest(c("_delta"), F.lit(0)) * 24.0 / F.greatest(c("window_hours"), F.lit(1.0))).otherwise(rate))
-        .withColumn("growth_label", F.when(
-            c("observed"), F.concat(N.signed(c("_delta")), F.lit(" in "), hours_text, F.lit(" hours"))).otherwise(
-            F.concat(F.lit("about "), proxy.cast("string"), F.lit(" stars a day since creation"))))
-        .withColumn("trend", F.when(
-            c("observed"), F.concat(N.signed(c("_delta")), F.lit(" / "), hours_text, F.lit("h"))).otherwise(
-            F.concat(F.lit("~"), proxy.cast("string"), F.lit("/day"))))
         .withColumn("obs_window", F.least(c("capture_no"), F.lit(MAX_HEAT_OBSERVATIONS)))
         .drop("_pno", "_pstars", "_pts", "_delta"))
 
 
+def with_growth_labels(rows: DataFrame) -> DataFrame:
+    """Display texts of the growth; built for the rows that are shown."""
+    hours = F.format_string("%.1f", F.bround(c("window_hours"), 1))
+    value = c("growth_value").cast("string")
+    return rows.withColumns({
+        "growth_label": F.when(c("observed"), F.concat(N.signed(c("growth_value")), F.lit(" in "), hours, F.lit(" hours"))).otherwise(
+            F.concat(F.lit("about "), value, F.lit(" stars a day since creation"))),
+        "trend": F.when(c("observed"), F.concat(N.signed(c("growth_value")), F.lit(" / "), hours, F.lit("h"))).otherwise(
+            F.concat(F.lit("~"), value, F.lit("/day")))})
+
+
 def persistence_verified(count: Column, window: Column) -> Column:
     return ((window >= MIN_PERSISTENCE_WINDOW) & (count >= MIN_PERSISTENCE_COUNT)
             & (count / F.greatest(window, F.lit(1)) >= MIN_PERSISTENCE_RATIO))
@@ -121,25 +125,31 @@ def with_artifacts(rows: DataFrame, evidence: DataFrame | None, enrichment: Data
         current = (c("_ev") == 2) & at.isNotNull() & (c("pushed_ts").isNull() | (at >= c("pushed_ts")))
         rows = rows.withColumn("has_analysis", F.coalesce(current, F.lit(False))).drop("_ev")
     if enrichment is None:
-        for name in ("has_profile", "has_enrichment"):
-            rows = rows.withColumn(name, F.lit(False))
-        for name in ("title", "summary", "category", "best_for", "reuse_plan", "limitation", "evidence_summary", "source_url", "analyzed_at"):
-            rows = rows.withColumn(f"enr_{name}", F.lit(None).cast("string"))
-        for name in ("capabilities", "task_terms"):
-            rows = rows.withColumn(f"enr_{name}", F.lit(None).cast("array<string>"))
-        return rows
-    fields = ("title", "summary", "category", "best_for", "reuse_plan", "limitation", "evidence_summary", "source_url",
-              "analyzed_at", "capabilities", "task_terms")
+        return rows.withColumns({"has_profile": F.lit(False), "has_enrichment": F.lit(False)})
     en = enrichment.select(
         canonical(c("repository")).alias("canonical"), c("schema_version").alias("_nv"), "source_pushed_at", "source_analysis_at",
-        *[c(f).alias(f"enr_{f}") for f in fields]).filter("canonical IS NOT NULL")
+        c("analyzed_at").alias("enr_analyzed_at")).filter("canonical IS NOT NULL")
     rows = rows.join(en, "canonical", "left").withColumn("has_profile", c("_nv").isNotNull())
     bound, written = T.strict_time(c("source_analysis_at")), T.strict_time(c("enr_analyzed_at"))
     current = (
         c("has_analysis") & (c("_nv") == 2) & (c("source_pushed_at") == c("pushed_at"))
         & (c("source_analysis_at") == c("analysis_at")) & T.strict_time(c("source_pushed_at")).isNotNull() & (written >= bound))
     return rows.withColumn("has_enrichment", F.coalesce(current, F.lit(False))).drop(
-        "_nv", "source_pushed_at", "source_analysis_at")
+        "_nv", "source_pushed_at", "source_analysis_at", "enr_analyzed_at")
+
+
+PROFILE_TEXTS = ["title", "summary", "category", "best_for", "reuse_plan", "limitation", "evidence_summary", "source_url"]
+PROFILE_LISTS = ["capabilities", "task_terms"]
+
+
+def with_profile_texts(ranked: DataFrame, enrichment: DataFrame | None) -> DataFrame:
+    """Profile texts for catalog rows only; they never travel through scoring and ranking."""
+    if enrichment is None:
+        return ranked.withColumns({
+            **{f"enr_{n}": F.lit(None).cast("string") for n in PROFILE_TEXTS},
+            **{f"enr_{n}": F.lit(None).cast("array<string>") for n in PROFILE_LISTS}})
+    texts_of = enrichment.select(canonical(c("repository")).alias("canonical"), *[c(n).alias(f"enr_{n}") for n in PROFILE_TEXTS + PROFILE_LISTS])
+    return ranked.join(texts_of.filter("canonical IS NOT NULL"), "canonical", "left")
 
 
 # --- scores --------------------------------------------------------------------------------
@@ -302,7 +312,7 @@ def with_narrative(rows: DataFrame) -> DataFrame:
         F.array().cast("array<string>"))
     own_caps = X.distinct_head(F.concat(F.array("base_category"), F.slice(topics, 1, 4), language), 5)
     own_terms = X.distinct_head(F.concat(F.array("base_category"), c("terms"), topics), 16)
-    rows = rows.withColumn("own_capabilities", own_caps).withColumn("own_task_terms", own_terms)
+    rows = rows.withColumns({"own_capabilities": own_caps, "own_task_terms": own_terms})
 
     def profile(field, own):
         value = F.nullif(c(f"enr_{field}"), F.lit(""))
@@ -313,16 +323,14 @@ def with_narrative(rows: DataFrame) -> DataFrame:
                           F.lit(" productivity terms; match it against a concrete task next."))
     enr_caps = F.when(F.size("enr_capabilities") > 0, c("enr_capabilities")).otherwise(c("own_capabilities"))
     enr_terms = X.distinct_head(F.concat(c("own_task_terms"), F.coalesce("enr_task_terms", F.array().cast("array<string>"))), 32)
-    return (
-        rows.withColumn("why_now", why).withColumn("risk_text", risk_text)
-        .withColumn("title", profile("title", F.substring_index("repo", "/", -1)))
-        .withColumn("project_description", profile("summary", F.coalesce(F.nullif(c("description"), F.lit("")), no_description)))
-        .withColumn("category", profile("category", c("base_category")))
-        .withColumn("fit_hypothesis", profile("best_for", hypothesis))
-        .withColumn("reuse_plan", profile("reuse_plan", F.lit("Read the readme and the inspection first, then decide on an isolated trial.")))
-        .withColumn("capabilities", F.when(c("has_enrichment"), F.slice(enr_caps, 1, 6)).otherwise(c("own_capabilities")))
-        .withColumn("task_terms", F.when(c("has_enrichment"), enr_terms).otherwise(c("own_task_terms")))
-        .withColumn("captured_label", T.display_label(c("captured_ts"))))
+    return rows.withColumns({
+        "why_now": why, "risk_text": risk_text, "title": profile("title", F.substring_index("repo", "/", -1)),
+        "project_description": profile("summary", F.coalesce(F.nullif(c("description"), F.lit("")), no_description)),
+        "category": profile("category", c("base_category")), "fit_hypothesis": profile("best_for", hypothesis),
+        "reuse_plan": profile("reuse_plan", F.lit("Read the readme and the inspection first, then decide on an isolated trial.")),
+        "capabilities": F.when(c("has_enrichment"), F.slice(enr_caps, 1, 6)).otherwise(c("own_capabilities")),
+        "task_terms": F.when(c("has_enrichment"), enr_terms).otherwise(c("own_task_terms")),
+        "captured_label": T.display_label(c("captured_ts"))})
 
 
 def with_explanations(rows: DataFrame) -> DataFrame:
@@ -399,10 +407,15 @@ def scored_snapshot(snapshot, captures, evidence=None, enrichment=None) -> DataF
     return with_scores(with_artifacts(with_growth(snapshot, captures), evidence, enrichment))
 
 
-def build_catalog(snapshot, captures, evidence=None, enrichment=None, limit: int = 30) -> DataFrame:
-    """Ranked, explained catalog rows of every capture; texts are built for the kept rows only."""
+def told_catalog(snapshot, captures, evidence=None, enrichment=None, limit: int = 30) -> DataFrame:
+    """Ranked catalog rows with their narrative fields; texts are built for the kept rows only."""
     ranked = balanced_order(scored_snapshot(snapshot, captures, evidence, enrichment), limit)
-    return with_explanations(with_narrative(with_text_values(ranked)))
+    return with_narrative(with_text_values(with_growth_labels(with_profile_texts(ranked, enrichment))))
+
+
+def build_catalog(snapshot, captures, evidence=None, enrichment=None, limit: int = 30) -> DataFrame:
+    """Ranked, explained catalog rows of every capture."""
+    return with_explanations(told_catalog(snapshot, captures, evidence, enrichment, limit))
 
 
 def analysis_targets(snapshot, captures, top_n: int = 5) -> DataFrame:

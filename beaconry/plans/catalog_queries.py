@@ -20,6 +20,10 @@ def catalog(t: Tables, limit: int = 30):
     return C.build_catalog(t.repo_snapshot, t.captures, t.static_evidence, t.project_enrichment, limit)
 
 
+def told(t: Tables, limit: int = 30):
+    return C.told_catalog(t.repo_snapshot, t.captures, t.static_evidence, t.project_enrichment, limit)
+
+
 # What the queue, the views and the audit read of a catalog.
 SLIM = ["capture_id", "position", "repo", "canonical", "title", "category", "pushed_at", "attention", "endurance", "readiness", "completeness",
         "recommendation", "growth_kind", "growth_value", "observed", "obs_count", "obs_window", "heat_track", "long_term_evidence", "verified",
@@ -28,7 +32,7 @@ SLIM = ["capture_id", "position", "repo", "canonical", "title", "category", "pus
 
 def stored_catalog(t: Tables):
     """The catalog without its texts, written once for queries that read it several times."""
-    return t.once("_catalog", lambda: catalog(t).select(*SLIM))
+    return t.once("_catalog", lambda: told(t).select(*SLIM))
 
 
 def ordered(t: Tables, limit: int = 30):
@@ -90,7 +94,7 @@ QUERIES = {
     "legacy_slug_collisions": lambda t: I.legacy_slug_collisions(t.identity_names).select("capture_id", "slug", joined("repositories")),
     "previous_capture": lambda t: C.previous_capture(t.captures).select("capture_id", "capture_no", "previous_capture_id"),
     "declared_previous_capture": lambda t: declared(t).select("capture_id", "previous_capture_id", "error"),
-    "star_growth": lambda t: C.with_growth(t.repo_snapshot, t.captures).select(
+    "star_growth": lambda t: C.with_growth_labels(C.with_growth(t.repo_snapshot, t.captures)).select(
         "capture_id", "repo", "growth_kind", "growth_value", "growth_label", "trend", F.round("ranking_value", 6).alias("ranking_value")),
     "heat_observations": lambda t: C.with_growth(t.repo_snapshot, t.captures).select("capture_id", "repo", "obs_count", "obs_window"),
     "persistence": lambda t: C.with_growth(t.repo_snapshot, t.captures).select(
@@ -111,24 +115,24 @@ QUERIES = {
         "capture_id", "repo", F.round(C.evidence_base_score(c("attention"), c("readiness")), 6).alias("base_score")),
     "balanced_order": lambda t: ordered(t, 100).select("capture_id", "position", "repo", "daily", "attention", "readiness"),
     "catalog_limit": lambda t: ordered(t, 1).select("capture_id", "position", "repo"),
-    "catalog": lambda t: catalog(t).select(
+    "catalog": lambda t: ordered(t).select(
         "capture_id", "position", "repo", "attention", "momentum", "endurance", "readiness", "completeness", "heat_track",
         "heat_label", "recommendation", "analysis_state", "growth_kind", "growth_value"),
     "analysis_targets": lambda t: C.analysis_targets(t.repo_snapshot, t.captures),
     "analysis_failures": lambda t: C.analysis_failures(C.analysis_targets(t.repo_snapshot, t.captures), t.static_evidence),
-    "narrative_fields": lambda t: catalog(t).select("capture_id", "repo", "why_now", "risk_text", "captured_label"),
-    "capability_terms": lambda t: catalog(t).select(
+    "narrative_fields": lambda t: told(t).select("capture_id", "repo", "why_now", "risk_text", "captured_label"),
+    "capability_terms": lambda t: told(t).select(
         "capture_id", "repo", F.array_join("own_capabilities", "|").alias("capabilities"), F.array_join("own_task_terms", "|").alias("task_terms")),
-    "apply_enrichment": lambda t: catalog(t).select(
+    "apply_enrichment": lambda t: told(t).select(
         "capture_id", "repo", "title", "category", "project_description", "fit_hypothesis", "reuse_plan", joined("capabilities"), joined("task_terms")),
-    "license_and_url": lambda t: catalog(t).select("capture_id", "repo", "safe_link", "license_display", "language_display"),
+    "license_and_url": lambda t: told(t).select("capture_id", "repo", "safe_link", "license_display", "language_display"),
     "score_explanations": summaries,
     "explanation_rows": lambda t: C.explanation_rows(catalog(t)),
     "evidence_list": lambda t: catalog(t).select("capture_id", "repo", F.explode("evidence").alias("e")).select("capture_id", "repo", "e.*"),
-    "catalog_summary": lambda t: C.catalog_summary(catalog(t), summary_inputs(t)).select(
+    "catalog_summary": lambda t: C.catalog_summary(told(t), summary_inputs(t)).select(
         "capture_id", "project_count", "deep_count", joined("pending_deep"), "daily_long_term", "daily_recent", "verified_long_term",
         "observed_count", "snapshot_count", "source_count", "query_failure_count", "growth_mode", "notice"),
-    "catalog_facets": lambda t: C.catalog_facets(catalog(t)),
+    "catalog_facets": lambda t: C.catalog_facets(told(t)),
     "catalog_views": lambda t: C.catalog_views(stored_catalog(t)).withColumn("facets", F.array_join("facets", "|")),
     "normalize_legacy_catalog": lambda t: C.normalize_legacy_catalog(t.legacy_catalog)[0],
     "normalize_legacy_catalog_errors": lambda t: C.normalize_legacy_catalog(t.legacy_catalog)[1],
