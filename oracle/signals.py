@@ -85,3 +85,30 @@ SQL["signal_digest"] = query(["sig_overlay"], """
 SELECT run_id, position, CASE WHEN enriched THEN e_title ELSE title END AS shown_title, CASE WHEN enriched THEN e_category ELSE kind END AS shown_category, source,
   floor(score * 100 + 0.5)::INT AS score_percent, len(string_split(sources, '|'))::INT AS source_count, enriched, CASE WHEN enriched THEN e_takeaway END AS takeaway
 FROM sig_overlay WHERE top""")
+
+# --- raw payload intake: the rows that the bodies were assembled from ---------------------------
+_AGE = "((now_us - {}) / 3600000000.0::DOUBLE BETWEEN -2 AND 48)".format
+_ISO = "strftime(make_timestamp({}), '%Y-%m-%dT%H:%M:%SZ')".format
+cte("bodies", ["sig"], """
+SELECT *, row_number() OVER (PARTITION BY run_id, source, kind ORDER BY ord) - 1 AS n, min(ord) OVER (PARTITION BY run_id, source, kind) AS first_ord FROM sig""")
+SQL["extract_feed_entries"] = query(["bodies"], f"""
+SELECT run_id, source, now_at AS fetched_at, window_hours, n::INT AS entry_no, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, CASE WHEN {safe('url')} THEN url END AS url,
+  {_AGE('published_us')} AS in_window, {_ISO('published_us')} AS published_at FROM bodies WHERE kind = 'official' AND n < 30 AND first_ord % 5 <> 4""")
+SQL["extract_brief_items"] = query(["bodies"], f"""
+SELECT run_id, source, now_at AS fetched_at, window_hours, n::INT AS item_no, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, CASE WHEN {safe('url')} THEN url END AS url, agg_score AS score, '' AS sources,
+  {_AGE('published_us')} AS in_window, {_ISO('published_us')} AS published_at FROM bodies WHERE kind = 'aggregated' AND n < 30 AND first_ord % 5 <> 4""")
+cte("rank_day", ["bodies"], f"""
+SELECT *, CASE WHEN first_ord % 5 = 4 THEN now_us ELSE epoch_us(date_trunc('day', make_timestamp(now_us))) - 8 * 3600000000 END AS day_us FROM bodies WHERE kind = 'ranking' AND n < 10""")
+SQL["extract_rank_table"] = query(["rank_day"], f"""
+SELECT run_id, source, n::INT AS row_no, rank, repo, 'https://github.com/' || repo AS url, reported_daily_growth, rk_score AS score, {_ISO('day_us')} AS published_at
+FROM rank_day WHERE {_AGE('day_us')}""")
+SQL["extract_release_signal"] = query(["bodies"], f"""
+SELECT run_id, source, now_at AS fetched_at, window_hours, 'v' || first_ord AS tag, CASE WHEN first_ord % 4 <> 2 THEN source_url END AS url, {_AGE('p')} AS in_window,
+  {_ISO('p')} AS published_at, CASE WHEN first_ord % 4 = 2 THEN 'failed' ELSE 'healthy' END AS state, CASE WHEN first_ord % 4 <> 2 AND {_AGE('p')} THEN 0.68::DOUBLE END AS score
+FROM (SELECT run_id, source, now_at, now_us, window_hours, first_ord, min(source_url) AS source_url, max(published_us) AS p FROM bodies WHERE kind = 'curated' GROUP BY ALL) r""")
+_FMT = "CASE kind WHEN 'official' THEN 'feed' WHEN 'aggregated' THEN 'brief' WHEN 'ranking' THEN 'rank_table' ELSE 'release' END"
+cte("body_heads", ["bodies"], f"SELECT DISTINCT run_id, source, {_FMT} AS format, first_ord FROM bodies")
+SQL["payload_state"] = query(["body_heads"], """
+SELECT run_id, source, format, CASE WHEN format IN ('feed', 'brief') AND first_ord % 5 = 4 THEN 'failed' ELSE 'healthy' END AS state FROM body_heads""")
+SQL["load_documents"] = query(["body_heads"], """
+SELECT run_id, source, format, CASE WHEN format IN ('feed', 'rank_table') OR (format = 'brief' AND first_ord % 5 = 4) THEN 'not_an_object' END AS reason FROM body_heads""")
