@@ -35,10 +35,11 @@ def capture_chain(captures: DataFrame) -> DataFrame:
     """
     heads = captures.groupBy(T.strict_time(c("captured_at")).alias("captured_ts")).agg(F.max("capture_id").alias("capture_id"))
     ordered = heads.agg(F.array_sort(F.collect_list(F.struct("captured_ts", "capture_id"))).alias("_all"))
-    rows = ordered.select("_all", F.posexplode("_all").alias("_i", "_x"))
-    before = F.get("_all", c("_i") - 1)
-    return rows.select(c("_x.capture_id").alias("capture_id"), c("_x.captured_ts").alias("captured_ts"), (c("_i") + 1).alias("capture_no"),
-                       before["captured_ts"].alias("previous_ts"), before["capture_id"].alias("previous_capture_id"))
+    nothing = F.array(F.lit(None).cast("struct<captured_ts:timestamp,capture_id:string>"))
+    paired = ordered.select(F.arrays_zip(c("_all").alias("now"), F.concat(nothing, F.expr("slice(_all, 1, size(_all) - 1)")).alias("before")).alias("_p"))
+    return paired.select(F.posexplode("_p").alias("_i", "_x")).select(
+        c("_x.now.capture_id").alias("capture_id"), c("_x.now.captured_ts").alias("captured_ts"), (c("_i") + 1).alias("capture_no"),
+        c("_x.before.captured_ts").alias("previous_ts"), c("_x.before.capture_id").alias("previous_capture_id"))
 
 
 def number_captures(captures: DataFrame) -> DataFrame:
