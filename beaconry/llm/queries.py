@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.llm import ngram_join, quality, toxicity
+from beaconry.llm import ngram_join, packing, quality, toxicity, warc
 from beaconry.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))[1].drop("item")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,5 +28,5 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op7_ngram_jaccard_join, op8_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_warc_archives, op5_best_fit_packing, op7_ngram_jaccard_join, op8_quality_classifier)}
 SQL: dict[str, str] = {}
