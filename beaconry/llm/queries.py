@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.llm import caps, chat, mixing, ngram_join, packing, quality, toxicity, warc
+from beaconry.llm import caps, chat, licenses, mixing, ngram_join, packing, quality, spotsigs, toxicity, warc
 from beaconry.llm.common import table
 from beaconry.llm.sql import SQL  # noqa: F401
 
@@ -13,6 +13,10 @@ def op1_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,6 +29,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))[1].drop("item")
 
 
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents")).drop("edited_text")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_caps, op3_toxicity, op4_warc_archives, op5_best_fit_packing, op7_ngram_jaccard_join,
+QUERIES = {f.__name__: f for f in (op1_embedding_caps, op2_license_scan, op3_toxicity, op4_warc_archives, op5_best_fit_packing, op6_spot_signatures, op7_ngram_jaccard_join,
                                    op8_quality_classifier, op9_chat_formatting, op10_source_mixing)}
