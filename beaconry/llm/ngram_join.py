@@ -11,8 +11,10 @@ Steps, none of which gathers a group:
    size (``2**sketch_bits`` counters, sent to all tasks).  Equal sets are one class, named by its smallest ``doc_id``.
 2. A second scan writes the prefix tokens of one document per class.
 3. Tokens in very many prefixes first link all their documents to one pivot each, chosen differently for each token.
-   After that only pairs between different components are formed for them; all other tokens join directly.
-4. Counted pairs that pass the match and overlap bounds are verified on the whole sets; components follow.
+   After that only pairs between different components are sought on them.  Their entries carry the whole prefix, so the
+   join itself counts the shared tokens and gives each pair that can reach the threshold once, at its first hot token.
+   All other tokens join directly and are counted by pair.
+4. Pairs that pass the match and overlap bounds are verified on the whole sets; components follow.
 
 Edge cases: a null or blank text has an empty set and links with nothing.  A null ``doc_id`` links with nothing and has
 a null component.  Rows that repeat a ``doc_id`` are one node.  Other columns are ignored.
@@ -31,7 +33,7 @@ from beaconry.llm.common import stored
 from beaconry.llm.components import components
 from beaconry.llm.hashing import mix, shingle_set, texts_of, word_hashes
 
-WIDTH, PERCENT, SKETCH_BITS, HOT, CHUNK = 4, 85, 20, 64, 4096
+WIDTH, PERCENT, SKETCH_BITS, HOT, CHUNK = 4, 85, 20, 16, 4096
 #: Verifying one pair costs as much as reading so many list entries.
 VERIFY_COST = 20.0
 BITMAP_WORDS = 1 << 17
@@ -110,10 +112,14 @@ def choose_matches(freq: np.ndarray, percent: int, verify_cost: float = VERIFY_C
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, bits: int, sketch: np.ndarray) -> DataFrame:
-    """Prefix tokens ``token, doc, n, ell, level, hot`` of each document; level is the smallest l whose prefix has the token."""
+    """Prefix tokens ``token, doc, n, ell, level, hots, prefix`` of each document.
+
+    level is the smallest l whose prefix has the token.  A hot token also carries the document's hot tokens and its
+    whole prefix, both in the global order; for others these are null, and ``n_hot`` is how many hot ones there are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     level_of = sketch.mean()
-    hot_from = level_of + max(HOT, 6 * level_of**0.5)
+    hot_from = level_of + max(HOT, 4 * level_of**0.5)
 
     def run(batches):
         counts, mask = shared.value, np.uint64((1 << bits) - 1)
@@ -130,28 +136,65 @@ def _prefixes(docs: DataFrame, width: int, percent: int, bits: int, sketch: np.n
                 base = n - least_overlap(n, percent)
                 take = order[: base + ell]
                 level = np.maximum(np.arange(len(take)) - base + 1, 1)
-                out.append((own[take].view(np.int64), np.full(len(take), ids[i]), np.full(len(take), n, np.int32), np.full(len(take), ell, np.int32), level.astype(np.int32), seen[take] >= hot_from))
-                size += len(take)
+                tokens, hot = own[take].view(np.int64), seen[take] >= hot_from
+                for part, wide in ((~hot, False), (hot, True)):
+                    k = int(part.sum())
+                    if k:
+                        lists = ([tokens[hot]] * k, [tokens] * k) if wide else ([None] * k, [None] * k)
+                        out.append((tokens[part], np.full(k, ids[i]), np.full(k, n, np.int32), np.full(k, ell, np.int32), level[part].astype(np.int32), np.full(k, int(hot.sum()), np.int32), *lists))
+                        size += k * (1 + len(tokens) // 4 * wide)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+                    yield packed(out)
                     out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+                yield packed(out)
 
-    names = ["token", "doc", "n", "ell", "level", "hot"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "token long, doc long, n int, ell int, level int, hot boolean")
+    def packed(out):
+        flat = [pa.array(np.concatenate(c)) for c in list(zip(*out))[:6]]
+        lists = [pa.array([x for part in c for x in part], pa.list_(pa.int64())) for c in list(zip(*out))[6:]]
+        return pa.RecordBatch.from_arrays([*flat, *lists], ["token", "doc", "n", "ell", "level", "n_hot", "hots", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "token long, doc long, n int, ell int, level int, n_hot int, hots array<long>, prefix array<long>")
 
 
 def _prefix_length(n: Column, ell: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / F.lit(100)) + ell
 
 
-def _pairs(entries: DataFrame, percent: int, extra: str = "") -> DataFrame:
-    """Pairs that share a token within both prefixes at the pair's own l, one row per shared token."""
+def _bound(n_a: str, n_b: str, ell: Column, shared: Column, percent: int) -> Column:
+    """Whether a pair that shares so many tokens within its prefixes can still reach the threshold."""
+    a, b = F.col(n_a), F.col(n_b)
+    beyond = F.greatest(a - _prefix_length(a, ell, percent), b - _prefix_length(b, ell, percent))
+    return (shared >= ell) & (shared + beyond >= F.ceil((a + b) * percent / F.lit(100 + percent)))
+
+
+def _meeting(entries: DataFrame, percent: int, also=None) -> DataFrame:
+    """Pairs of entries that share a token within both prefixes at the pair's own l."""
     a, b = (entries.select("token", *[F.col(c).alias(c + s) for c in entries.columns if c != "token"]) for s in ("_a", "_b"))
-    fits = (f"doc_a < doc_b and greatest(level_a, level_b) <= least(ell_a, ell_b) "
-            f"and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) {extra}")
-    return a.join(b, (a["token"] == b["token"]) & F.expr(fits)).select("doc_a", "doc_b", "n_a", "n_b", "ell_a", "ell_b")
+    fits = F.expr(f"doc_a < doc_b and greatest(level_a, level_b) <= least(ell_a, ell_b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    on = (a["token"] == b["token"]) & fits
+    return a.join(b, on & also(a["token"]) if also is not None else on)
+
+
+def _plain_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Candidates by tokens that are not hot; those that are count as shared as far as both documents have any."""
+    counted = _meeting(entries, percent).groupBy("doc_a", "doc_b", "n_a", "n_b", "ell_a", "ell_b", "n_hot_a", "n_hot_b").agg(F.count("*").alias("c"))
+    shared = F.col("c") + F.least("n_hot_a", "n_hot_b")
+    return counted.filter(_bound("n_a", "n_b", F.least("ell_a", "ell_b"), shared, percent)).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+
+
+def _hot_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Candidates by hot tokens, between components only, each at its first common hot token."""
+    ell = F.least("ell_a", "ell_b")
+    head = lambda s: F.slice(f"prefix_{s}", F.lit(1), _prefix_length(F.col(f"n_{s}"), ell, percent).cast("int"))
+    shared = F.size(F.array_intersect(head("a"), head("b")))
+
+    def also(token: Column) -> Column:
+        return (F.expr("comp_a <> comp_b") & (F.element_at(F.array_intersect("hots_a", "hots_b"), 1) == token)
+                & _bound("n_a", "n_b", ell, shared, percent))
+
+    return _meeting(entries, percent, also).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -200,25 +243,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     entries = stored(_prefixes(firsts, width, percent, sketch_bits, sketch), "prefixes")
 
     # Pivots link the documents of a hot token without forming its pairs.
-    crowded = entries.filter("hot")
-    pivots = crowded.groupBy("token").agg(F.count("*").alias("c"), F.min_by("doc", F.xxhash64("token", "doc")).alias("pivot"))
-    crowded = stored(crowded.join(pivots.filter(F.col("c") >= 2), "token"), "crowded")
-    star = crowded.filter(f"c >= {hot} and doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+    crowded = entries.filter("hots is not null")
+    pivots = crowded.groupBy("token").agg(F.count("*").alias("c"), F.min_by("doc", F.xxhash64("token", "doc")).alias("pivot")).filter("c >= 2")
+    star = (crowded.select("token", "doc").join(pivots.filter(F.col("c") >= hot), "token").filter("doc <> pivot")
+            .select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct())
     star_links = stored(_verified(docs, stored(star, "star"), width, percent), "starlinks")
-    near = components(star_links)
+    near = components(star_links).withColumnRenamed("node", "doc")
 
-    placed = crowded.join(near.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
+    placed = crowded.join(near, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component", "n_hot")
     split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    placed = placed.join(split, "token").select("token", "doc", "n", "ell", "level", "comp")
-    plain = entries.filter("not hot").select("token", "doc", "n", "ell", "level")
-
-    ell = F.least("ell_a", "ell_b")
-    beyond = F.greatest(F.col("n_a") - _prefix_length(F.col("n_a"), ell, percent), F.col("n_b") - _prefix_length(F.col("n_b"), ell, percent))
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
-    counted = (_pairs(plain, percent).union(_pairs(placed, percent, "and comp_a <> comp_b"))
-               .groupBy("doc_a", "doc_b", "n_a", "n_b", "ell_a", "ell_b").agg(F.count("*").alias("c")))
-    candidates = counted.filter((F.col("c") >= ell) & (F.col("c") + beyond >= need)).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    links = _verified(docs, stored(candidates.distinct(), "candidates"), width, percent)
+    placed = placed.join(split, "token")
+    plain = entries.filter("hots is null").drop("hots", "prefix")
+    candidates = _plain_pairs(plain, percent).union(_hot_pairs(placed, percent)).distinct()
+    links = _verified(docs, stored(candidates, "candidates"), width, percent)
 
     # A doc_id on rows of several classes joins those classes.
     placed_rows = usable.join(classes, ["d1", "d2", "n"]).select("doc_id", "rep")
