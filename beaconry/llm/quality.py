@@ -28,8 +28,8 @@ from beaconry.llm.hashing import texts_of, word_hashes
 from beaconry.llm.logistic import fit_gradient, fit_newton, sigmoid
 from beaconry.llm.sampling import held_out, labelled_sample
 
-PAIR_BITS, WORD_BITS, META = 11, 11, 64 + 8
-PER_CLASS, POOL, MAX_CHARS, ROUNDS, EXCHANGED = 2000, 3000, 20_000, 4, 150
+PAIR_BITS, WORD_BITS, META = 10, 10, 64 + 8
+PER_CLASS, POOL, MAX_CHARS, ROUNDS, EXCHANGED = 1500, 2000, 20_000, 4, 150
 _PAIR_SLOT = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 _COLUMNS = ["text", "lang", "source", "n_chars"]
 
@@ -71,7 +71,8 @@ class View:
     scale: np.ndarray
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
+        slope = (self.weights[:-1] / self.scale).astype(np.float32)
+        return (x @ slope - float(self.mean @ slope) + self.weights[-1]).astype(np.float64)
 
 
 @dataclass
@@ -88,8 +89,10 @@ class QualityModel:
 
 def _fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float) -> View:
     mean = x.mean(axis=0)
-    scale = np.maximum(x.std(axis=0), 0.01) * math.sqrt(x.shape[1])
-    return View(fit_gradient((x - mean) / scale, y, weight, l2), mean, scale)
+    scale = np.maximum(x.std(axis=0), np.float32(0.01)) * np.float32(math.sqrt(x.shape[1]))
+    x = x - mean
+    x /= scale
+    return View(fit_gradient(x, y, weight, l2), mean, scale)
 
 
 def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: tuple[np.ndarray, np.ndarray],
@@ -110,7 +113,7 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarra
             ones = max(1.0, labels.sum())
             balance = np.where(labels == 1, len(labels) / (2 * ones), len(labels) / (2 * max(1.0, len(labels) - ones)))
             trust = np.concatenate([np.ones(own.sum()), np.full(len(extra), 0.5)])
-            fitted.append(_fit_view(x.astype(np.float64), labels, balance * trust, 1e-4))
+            fitted.append(_fit_view(x, labels, balance * trust, 1e-4))
         if turn == rounds - 1 or not len(pool[0]):
             break
         for k in (0, 1):

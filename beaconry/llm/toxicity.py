@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from beaconry.llm.logistic import fit_newton, log_loss, sigmoid
 from beaconry.llm.sampling import held_out, labelled_sample
 
-WINDOW_WORDS, PER_CLASS, MAX_CHARS = 1, 4000, 20_000
+WINDOW_WORDS, PER_CLASS, MAX_CHARS = 1, 2500, 20_000
 BASE_BYTES, TOXIC_BYTES = 24 * 1024, 4 * 1024
 STEM, MIN_SUPPORT, MIN_LIFT, MIN_RATIO = 4, 0.01, 8.0, 30.0
 CACHED = 300_000
@@ -113,12 +113,12 @@ def _contexts(texts: list[str]) -> tuple[Counter, Counter, int]:
     docs, around, seen, counted = Counter(), Counter(), set(), 0
     for text in texts:
         terms = _TERM.findall(text.lower())
-        own = set(zip(["", *terms[:-1]], terms, [*terms[1:], ""]))
-        new = own - seen
+        own = {hash(c): c[1] for c in zip(["", *terms[:-1]], terms, [*terms[1:], ""])}
+        new = own.keys() - seen
         if 2 * len(new) < len(own):
             continue
         docs.update({s for t in set(terms) for s in _stems(t)})
-        around.update(s for _, t, _ in new for s in _stems(t))
+        around.update(s for c in new for s in _stems(own[c]))
         seen |= new
         counted += 1
     return docs, around, counted
