@@ -12,12 +12,7 @@ MIN_PERSISTENCE_RATIO = 0.7
 CATALOG_MIN, CATALOG_DEFAULT, CATALOG_MAX = 5, 30, 100
 DAILY_SIZE, DAILY_LONG_TERM, DAILY_RECENT = 5, 2, 3
 HITS_PER_RULE = 30
-FEED_ENTRY_CAP = 30
-RANK_ROW_CAP = 10
-MAX_SCAN_FILES = 12_000
-MAX_TEXT_BYTES = 512_000
 MAX_URL_LENGTH = 2_048
-ERROR_TEXT_CAP = 300
 DISPLAY_ZONE = "Asia/Shanghai"
 
 # --- term sets, matched as substrings of the lower-cased repository text -------------

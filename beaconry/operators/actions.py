@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from beaconry.constants import (
     ACTION_STAGES, FEEDBACK_VALUES, IDEMPOTENCY_PATTERN, LEGACY_MATCH_MICROS, RESERVED_KEY_PREFIX)
-from beaconry.operators.skew import if_small, previous_value
+from beaconry.operators.skew import previous_value
 
 c = F.col
 DAY_US = 86_400_000_000
@@ -86,7 +86,7 @@ def weekly_action_metrics(log: DataFrame, as_of: DataFrame) -> DataFrame:
     """
     day = F.floor(c("as_of_us") / DAY_US).cast("bigint")
     marks = as_of.select("as_of_us", F.explode(F.sequence(day - 7, day)).alias("_day"))
-    hits = (log.withColumn("_day", F.floor(c("at_us") / DAY_US).cast("bigint")).join(if_small(marks), "_day")
+    hits = (log.withColumn("_day", F.floor(c("at_us") / DAY_US).cast("bigint")).join(marks, "_day")
             .filter((c("at_us") >= c("as_of_us") - 7 * DAY_US) & (c("at_us") <= c("as_of_us"))))
     # Projects first: one row per (device, as_of, project) with flags, then plain counts.
     per_project = hits.groupBy("device_id", "as_of_us", "project_slug").agg(

@@ -21,7 +21,7 @@ from beaconry.functions import text as X
 from beaconry.functions import timefns as T
 from beaconry.functions.urls import safe_url
 from beaconry.operators.identity import canonical
-from beaconry.operators.skew import if_small, salt
+from beaconry.operators.skew import salt
 from beaconry.plans import texts
 
 c = F.col
@@ -63,7 +63,7 @@ def previous_capture(captures: DataFrame, declared: DataFrame | None = None) ->
 
 def with_growth(snapshot: DataFrame, captures: DataFrame) -> DataFrame:
     """Star growth against the previous capture and presence in the last 30 captures."""
-    rows = (snapshot.join(if_small(number_captures(captures)), "capture_id")
+    rows = (snapshot.join(number_captures(captures), "capture_id")
             .withColumn("canonical", canonical(c("repo"))))
     history = Window.partitionBy("canonical").orderBy("capture_no")
     recent = history.rangeBetween(-(MAX_HEAT_OBSERVATIONS - 1), 0)

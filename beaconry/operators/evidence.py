@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from beaconry.constants import (
     DOCKER_NAMES, ENV_EXAMPLE_NAMES, INDICATORS, LICENSE_SIGNATURES, LICENSE_UNRECOGNISED, LOCK_NAMES, MANIFEST_NAMES,
-    MAX_SCAN_FILES, MAX_TEXT_BYTES, SKIP_DIRECTORIES, SKIP_SUFFIXES, TEXT_SUFFIXES)
+    SKIP_DIRECTORIES, SKIP_SUFFIXES, TEXT_SUFFIXES)
 from beaconry.operators.identity import canonical, project_id
-from beaconry.operators.skew import top_k
 
 c = F.col
 TEST_DIRS = ["test", "tests", "__tests__", "spec", "specs"]
@@ -28,17 +27,16 @@ def suffix_of(name: Column) -> Column:
     return F.regexp_extract(F.lower(name), r"^.+(\.[^.]+)$", 1)
 
 
-def scan_files(files: DataFrame, cap: int = MAX_SCAN_FILES, salts: int = 256) -> DataFrame:
-    """Files that count, first ``cap`` per repository in walk order."""
+def scan_files(files: DataFrame) -> DataFrame:
+    """All files that count, with their place in walk order; no exchange."""
     lower = F.lower("path")
     folders = F.split(F.regexp_replace(lower, r"/?[^/]*$", ""), "/")
     skipped = F.array(*[F.lit(d) for d in SKIP_DIRECTORIES])
     name = F.substring_index("path", "/", -1)
-    kept = (
+    return (
         files.filter(~c("is_symlink") & ~F.arrays_overlap(folders, skipped))
         .withColumn("suffix", suffix_of(name)).filter(~c("suffix").isin(SKIP_SUFFIXES))
         .withColumn("walk_key", walk_key(c("path"))))
-    return top_k(kept, ["repo"], [F.asc("walk_key")], cap, ["path"], salts)
 
 
 def is_test_file(path: Column) -> Column:
@@ -50,8 +48,8 @@ def is_test_file(path: Column) -> Column:
             | F.contains(name, F.lit(".test.")) | F.contains(name, F.lit(".spec.")))
 
 
-def marker_count(text: Column, suffix: Column, size: Column) -> Column:
-    readable = suffix.isin(TEXT_SUFFIXES) & (size <= MAX_TEXT_BYTES) & text.isNotNull()
+def marker_count(text: Column, suffix: Column) -> Column:
+    readable = suffix.isin(TEXT_SUFFIXES) & text.isNotNull()
     return F.when(readable, F.regexp_count(text, F.lit(MARKER))).otherwise(F.lit(0))
 
 
@@ -65,8 +63,8 @@ def indicator_tests(path: Column) -> dict[str, Column]:
         "docs": low.rlike("^(docs|doc)/"), "environment_example": name.isin(ENV_EXAMPLE_NAMES)}
 
 
-def license_name(text: Column, size: Column) -> Column:
-    low = F.lower(F.when(size <= MAX_TEXT_BYTES, F.coalesce(text, F.lit(""))).otherwise(F.lit("")))
+def license_name(text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
     chain = None
     for label, signature in LICENSE_SIGNATURES:
         test = F.contains(low, F.lit(signature))
@@ -82,7 +80,7 @@ def license_hints(files: DataFrame) -> DataFrame:
     """Licence named by the first root-level licence file (by path) of each repository."""
     roots = files.filter(is_root_license(c("path"), c("is_symlink")))
     # The text is reduced to a short label before the shuffle.
-    labelled = roots.select("repo", "path", license_name(c("text"), c("size_bytes")).alias("hint"))
+    labelled = roots.select("repo", "path", license_name(c("text")).alias("hint"))
     return labelled.groupBy("repo").agg(F.min_by("hint", "path").alias("license_hint"))
 
 
@@ -94,18 +92,18 @@ def language_profile(scanned: DataFrame, top: int = 12) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(best)).filter(c("rank") <= top).drop("_first")
 
 
-def file_facts(files: DataFrame, cap: int = MAX_SCAN_FILES) -> DataFrame:
+def file_facts(files: DataFrame) -> DataFrame:
     """Scanned files reduced to the few columns the summary needs; texts never leave the scan."""
     slim = files.select(
         "repo", "path", "is_symlink",
-        marker_count(c("text"), suffix_of(F.substring_index("path", "/", -1)), c("size_bytes")).alias("todo"))
+        marker_count(c("text"), suffix_of(F.substring_index("path", "/", -1))).alias("todo"))
     tests = indicator_tests(c("path"))
-    return scan_files(slim, cap).select("repo", "path", "suffix", "walk_key", "todo", *[v.alias(k) for k, v in tests.items()])
+    return scan_files(slim).select("repo", "path", "suffix", "walk_key", "todo", *[v.alias(k) for k, v in tests.items()])
 
 
-def evidence_summary(files: DataFrame, analyzed_at: str = "2024-01-01T00:00:00Z", cap: int = MAX_SCAN_FILES) -> DataFrame:
+def evidence_summary(files: DataFrame, analyzed_at: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """One evidence row per repository; partial aggregation keeps a repository of any size cheap."""
-    facts = file_facts(files, cap)
+    facts = file_facts(files)
     totals = facts.groupBy("repo").agg(
         F.count("*").alias("scanned_files"), F.count_if(c("tests")).alias("test_files"), F.sum("todo").alias("todo_markers"),
         *[F.bool_or(c(i)).alias(f"ind_{i}") for i in INDICATORS])
@@ -115,7 +113,6 @@ def evidence_summary(files: DataFrame, analyzed_at: str = "2024-01-01T00:00:00Z"
     present = sum((c(f"ind_{i}").cast("int") for i in INDICATORS[1:]), c(f"ind_{INDICATORS[0]}").cast("int"))
     confidence = F.least(F.lit(95), 35 + 6 * present + F.least(c("test_files"), F.lit(12))).cast("int")
     warnings = F.array_compact(F.array(
-        F.when(c("scanned_files") >= cap, F.lit(f"file scan stopped at {cap} files")),
         F.when(~c("ind_license"), F.lit("no license file detected")),
         F.lit("static inspection only; code was not executed")))
     return (

@@ -93,7 +93,7 @@ def commit_coherence(headers: DataFrame) -> DataFrame:
 
 
 def publication_lineage(log: DataFrame) -> DataFrame:
-    """Accepted publications: ready, no errors, built on the current generation, published later than it.
+    """Accepted publications: ready, no errors, built on the current generation (none before the first), published later.
 
     Acceptance depends on what was accepted before, so the log of a dataset is folded in order.  A log holds
     one short row per publication of that dataset.
@@ -105,7 +105,7 @@ def publication_lineage(log: DataFrame) -> DataFrame:
 
     def step(acc, e):
         ok = ((e["state"] == "ready") & (e["error_count"] == 0)
-              & (acc["cur"].isNull() | (F.coalesce(e["base_generation_id"] == acc["cur"], F.lit(False)) & (e["published_us"] > acc["at"]))))
+              & e["base_generation_id"].eqNullSafe(acc["cur"]) & F.coalesce(e["published_us"] > acc["at"], acc["at"].isNull()))
         row = F.struct(e["generation_id"].alias("generation_id"), acc["cur"].alias("previous"), ok.alias("accepted"))
         return F.struct(F.when(ok, e["generation_id"]).otherwise(acc["cur"]).alias("cur"),
                         F.when(ok, e["published_us"]).otherwise(acc["at"]).alias("at"),

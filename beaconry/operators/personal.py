@@ -14,7 +14,6 @@ from beaconry.constants import (
 from beaconry.functions.numeric import half_up_1
 from beaconry.functions.text import feature_normal
 from beaconry.operators.catalog import evidence_base_score
-from beaconry.operators.skew import if_small
 
 c = F.col
 EXACT = "decimal(20,12)"  # sums are exact, so they do not depend on the order of rows
@@ -29,7 +28,7 @@ def _by_value(value: Column, table: dict[str, float]) -> Column:
 
 def valid_feedback(feedback: DataFrame, catalog: DataFrame) -> DataFrame:
     """Last valid value per (device, known project)."""
-    known = if_small(catalog.select("generation_id", "project_slug"))
+    known = catalog.select("generation_id", "project_slug")
     return (feedback.filter(c("value").isin(FEEDBACK_VALUES)).join(known, ["generation_id", "project_slug"], "left_semi")
             .groupBy("device_id", "generation_id", "project_slug").agg(F.max_by("value", F.struct("at_us", "id")).alias("value")))
 
@@ -54,7 +53,7 @@ def project_features(catalog: DataFrame) -> DataFrame:
 def feature_scores(current: DataFrame, features: DataFrame) -> DataFrame:
     """Weight each device gives each feature."""
     share = (_by_value(c("value"), PREFERENCE_WEIGHTS) / F.sqrt(c("n_features").cast("double"))).cast(EXACT)
-    rows = current.repartition("device_id").join(if_small(features), ["generation_id", "project_slug"])
+    rows = current.repartition("device_id").join(features, ["generation_id", "project_slug"])
     return rows.groupBy("device_id", "generation_id", "feature").agg(
         F.sum(share).alias("score"), F.max("label").alias("label"))
 
@@ -67,7 +66,7 @@ def preference_profile(scores: DataFrame, top: int = 8) -> DataFrame:
 
 def affinity(scores: DataFrame, features: DataFrame) -> DataFrame:
     """Clamped affinity and the two best liked features per (device, project)."""
-    known = if_small(features.select("generation_id", "project_slug", "feature", "feature_no", c("label").alias("f_label")))
+    known = features.select("generation_id", "project_slug", "feature", "feature_no", c("label").alias("f_label"))
     hits = scores.filter("score <> 0").join(known, ["generation_id", "feature"])
     liked = F.when(c("score") > 0, F.struct((-c("score")).alias("k"), c("feature_no").alias("n"), c("f_label").alias("label")))
     # A project has at most 25 features, so the list stays tiny.
@@ -83,7 +82,7 @@ def adjusted(current: DataFrame, catalog: DataFrame, features: DataFrame) -> Dat
     """Every project of a device's catalog with base, affinity, direct adjustment and reasons."""
     current = current.repartition("device_id")
     likes = affinity(feature_scores(current, features), features)
-    served = if_small(catalog.select("generation_id", "project_slug", "position", "heat_track", "attention", "readiness"))
+    served = catalog.select("generation_id", "project_slug", "position", "heat_track", "attention", "readiness")
     owners = current.select("device_id", "generation_id").distinct()
     rows = (owners.join(served, "generation_id")
             .join(likes, ["device_id", "generation_id", "project_slug"], "left")
@@ -133,7 +132,7 @@ def cold_start(devices: DataFrame, current: DataFrame, catalog: DataFrame) -> Da
     """Devices without valid feedback get their catalog in catalog order."""
     cold = devices.join(current.select("device_id").distinct(), "device_id", "left_anti")
     base = half_up_1(evidence_base_score(c("attention"), c("readiness")))
-    served = if_small(catalog.select(
+    served = catalog.select(
         "generation_id", "project_slug", "position", base.alias("score"),
-        F.when(c("readiness").isNull(), "by attention; readiness unknown").otherwise("by attention and readiness").alias("reason")))
+        F.when(c("readiness").isNull(), "by attention; readiness unknown").otherwise("by attention and readiness").alias("reason"))
     return cold.join(served, "generation_id").withColumn("adjustment", F.lit(0.0))

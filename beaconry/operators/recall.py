@@ -3,8 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconry.constants import ERROR_TEXT_CAP, HITS_PER_RULE
-from beaconry.functions.text import bounded
+from beaconry.constants import HITS_PER_RULE
 from beaconry.functions.timefns import strict_time
 from beaconry.operators.skew import exact_position
 
@@ -28,7 +27,9 @@ RAW_ITEM_SCHEMA = """full_name STRING, html_url STRING, description STRING, owne
 
 def recall_rules(facts: DataFrame, since_days: int = 14, per_rule: int = HITS_PER_RULE) -> DataFrame:
     """Rows each rule recalls at each capture, best ``per_rule`` by stars (first seen on ties)."""
-    since = max(1, min(since_days, 90))
+    if since_days < 1 or per_rule < 1:
+        raise ValueError("since_days and per_rule start at 1")
+    since = since_days
     day = {c: F.to_date(F.substring(F.col(c), 1, 10)) for c in ("created_at", "pushed_at")}
     captured = F.to_date(strict_time(F.col("captured_at")))
 
@@ -43,7 +44,7 @@ def recall_rules(facts: DataFrame, since_days: int = 14, per_rule: int = HITS_PE
             .withColumn("rule", F.explode(F.array_compact(F.array(*[passes(r) for r in RULES])))))
     best = Window.partitionBy("capture_id", "rule").orderBy(F.desc("stars"), "ord")
     # A small row_number filter is trimmed on the map side, so a hot capture stays cheap.
-    return (hits.withColumn("item_ord", F.row_number().over(best)).filter(F.col("item_ord") <= min(per_rule, 100)))
+    return (hits.withColumn("item_ord", F.row_number().over(best)).filter(F.col("item_ord") <= per_rule))
 
 
 def normalize_repo_items(raw: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def query_health(hits: DataFrame, attempts: DataFrame) -> DataFrame:
         "capture_id", "query",
         F.when(F.col("error").isNull(), "healthy").otherwise("failed").alias("state"),
         F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).alias("item_count"),
-        bounded(F.col("error"), ERROR_TEXT_CAP).alias("error"))
+        "error")
 
 
 def capture_header(query_runs: DataFrame) -> DataFrame:
@@ -96,11 +97,11 @@ def capture_header(query_runs: DataFrame) -> DataFrame:
 def rank_snapshot(snapshot: DataFrame) -> DataFrame:
     """Position by stars, then pushed_at text, both descending, first seen first.
 
-    Buckets are the star count, split by push day where ties are common, so a capture of any size is
+    Buckets are the star count and the push day, so a capture of any size is
     ranked by many tasks and only the bucket sizes meet in one place.
     """
     pushed = F.coalesce("pushed_at", F.lit(""))
-    day = F.when(F.col("stars") < 64, F.substring(pushed, 1, 10)).otherwise(F.lit(""))
+    day = F.substring(pushed, 1, 10)
     return exact_position(
         snapshot, ["capture_id"], [F.desc("stars"), F.desc(pushed), F.asc("ord")],
         [F.col("stars"), day], [F.desc("_b0"), F.desc("_b1")])

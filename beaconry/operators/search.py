@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from beaconry.constants import DEFAULT_CAPABILITIES, INTENT_RULES
 from beaconry.functions.numeric import half_up_0
 from beaconry.functions.text import distinct_head, has_any, query_tokens, search_normal
-from beaconry.operators.skew import if_small
 
 c = F.col
 GRAM = 3
@@ -63,7 +62,7 @@ def token_index(tokens: DataFrame, hay: DataFrame) -> DataFrame:
 
     grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, GRAM + 1)])))
     blocks = hay.select("generation_id", "position", "haystack", F.explode(grams).alias("_gram"))
-    return (vocabulary.join(if_small(blocks), ["generation_id", "_gram"]).filter(F.contains(c("haystack"), c("_t")))
+    return (vocabulary.join(blocks, ["generation_id", "_gram"]).filter(F.contains(c("haystack"), c("_t")))
             .select("generation_id", "token", "position"))
 
 
@@ -74,7 +73,7 @@ def project_match(intents: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     hay = haystacks(catalog)
     rules = intents.select("query_id", "generation_id", F.explode("rules").alias("rule"))
-    by_rule = rules.join(if_small(rule_index(hay)), ["generation_id", "rule"]).select(
+    by_rule = rules.join(rule_index(hay), ["generation_id", "rule"]).select(
         "query_id", "generation_id", "position", "points",
         F.struct("rule_no", F.concat(c("rule"), F.lit(": "), F.array_join("terms", ", ")).alias("text")).alias("rule_hit"),
         F.lit(None).cast("struct<token_no:int,token:string>").alias("token_hit"))
@@ -86,7 +85,7 @@ def project_match(intents: DataFrame, catalog: DataFrame) -> DataFrame:
     pairs = by_rule.unionByName(by_token).groupBy("query_id", "generation_id", "position").agg(
         F.sum("points").alias("_points"), F.count("token_hit").alias("_tokens"),
         F.array_sort(F.collect_list("rule_hit")).alias("_rules"), F.slice(F.array_sort(F.collect_list("token_hit")), 1, 2).alias("_first"))
-    rows = pairs.join(if_small(hay.drop("haystack")), ["generation_id", "position"])
+    rows = pairs.join(hay.drop("haystack"), ["generation_id", "position"])
     score = F.least(F.lit(54), c("_points")) + F.least(F.lit(20), c("_tokens") * 5) + c("base")
     direct = F.concat(F.lit("direct: "), F.array_join(F.transform("_first", lambda x: x["token"]), ", "))
     reasons = F.concat(F.transform("_rules", lambda x: x["text"]), F.array_compact(F.array(F.when(c("_tokens") > 0, direct), c("analysis_state"))))
@@ -108,7 +107,7 @@ def search_topk(intents: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame
     strong = (project_match(intents, catalog).withColumn("rank", F.row_number().over(order)).filter(c("rank") <= k)
               .withColumn("strong", F.lit(True)))
     missed = intents.select("query_id", "generation_id").join(strong.select("query_id").distinct(), "query_id", "left_anti")
-    weak = missed.join(if_small(base_match(catalog, k)), "generation_id").withColumn("strong", F.lit(False))
+    weak = missed.join(base_match(catalog, k), "generation_id").withColumn("strong", F.lit(False))
     return strong.unionByName(weak)
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.constants import FEED_ENTRY_CAP, RANK_ROW_CAP
 from beaconry.functions.text import clean_title
 from beaconry.functions.timefns import feed_time, iso_text, strict_time
 from beaconry.functions.urls import signal_url
@@ -34,10 +33,10 @@ def _in_window(rows: DataFrame, published: Column) -> DataFrame:
 
 
 def extract_feed_entries(payloads: DataFrame) -> DataFrame:
-    """First 30 entries of each RSS or Atom body, any namespace prefix."""
+    """Entries of each RSS or Atom body, any namespace prefix."""
     body = F.regexp_replace(c("body"), r"<(/?)[A-Za-z0-9_.-]+:", "<$1")
     body = F.regexp_replace(body, r"(?i)<(/?)pubdate>", "<$1pubDate>")
-    entries = F.slice(F.regexp_extract_all(body, F.lit(_ENTRY), F.lit(2)), 1, FEED_ENTRY_CAP)
+    entries = F.regexp_extract_all(body, F.lit(_ENTRY), F.lit(2))
     rows = (payloads.filter("format = 'feed'").select(
         "run_id", "source", "fetched_at", "window_hours", F.posexplode(entries).alias("entry_no", "xml"))
         .withColumn("e", F.from_xml(F.concat(F.lit("<r>"), c("xml"), F.lit("</r>")), ENTRY_SCHEMA, {"rowTag": "r"})))
@@ -54,8 +53,8 @@ def extract_feed_entries(payloads: DataFrame) -> DataFrame:
 
 
 def extract_brief_items(payloads: DataFrame) -> DataFrame:
-    """First 30 items of an aggregator document."""
-    parsed = F.slice(F.from_json("body", BRIEF_SCHEMA)["items"], 1, FEED_ENTRY_CAP)
+    """Items of an aggregator document."""
+    parsed = F.from_json("body", BRIEF_SCHEMA)["items"]
     rows = payloads.filter("format = 'brief'").select(
         "run_id", "source", "fetched_at", "window_hours", F.posexplode(parsed).alias("item_no", "i"))
 
@@ -73,11 +72,11 @@ def extract_brief_items(payloads: DataFrame) -> DataFrame:
 
 
 def extract_rank_table(payloads: DataFrame) -> DataFrame:
-    """First 10 rows of a Markdown ranking; the dated heading is midnight at UTC+8."""
+    """Rows of a Markdown ranking; the dated heading is midnight at UTC+8."""
     pattern = r"\|\s*(\d+)\s*\|\s*\[([^\]]+)\]\((https://github\.com/[^)]+)\)\|\s*([^|]+)\|\s*([^|]+)\|"
     heading = F.regexp_extract(c("body"), r"##\s+(\d{4}\.\d{2}\.\d{2})", 1)
     day = F.try_to_timestamp(F.concat(F.translate(heading, ".", "-"), F.lit("T00:00:00+08:00")))
-    groups = [F.slice(F.regexp_extract_all(c("body"), F.lit(pattern), F.lit(i)), 1, RANK_ROW_CAP).alias(n)
+    groups = [F.regexp_extract_all(c("body"), F.lit(pattern), F.lit(i)).alias(n)
               for i, n in ((1, "rank"), (2, "repo"), (3, "url"), (4, "stars"), (5, "growth"))]
     rows = (payloads.filter("format = 'rank_table'")
             .withColumn("published_ts", F.when(heading != "", day).otherwise(strict_time(c("fetched_at"))))

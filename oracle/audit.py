@@ -55,13 +55,13 @@ cte("glog", ["generation_log"], "SELECT *, (row_number() OVER (PARTITION BY data
 SQL["publication_lineage"] = query(["glog"], """
 SELECT dataset, log_no, generation_id, previous, accepted, accepted AND log_no = max(log_no) FILTER (WHERE accepted) OVER (PARTITION BY dataset) AS current FROM (
   WITH RECURSIVE fold AS (
-    SELECT g.dataset, g.log_no, g.generation_id, NULL::VARCHAR AS previous, g.state = 'ready' AND g.error_count = 0 AS accepted,
-      CASE WHEN g.state = 'ready' AND g.error_count = 0 THEN g.generation_id END AS cur, CASE WHEN g.state = 'ready' AND g.error_count = 0 THEN g.published_us END AS cur_at
+    SELECT g.dataset, g.log_no, g.generation_id, NULL::VARCHAR AS previous, g.state = 'ready' AND g.error_count = 0 AND g.base_generation_id IS NULL AS accepted,
+      CASE WHEN g.state = 'ready' AND g.error_count = 0 AND g.base_generation_id IS NULL THEN g.generation_id END AS cur, CASE WHEN g.state = 'ready' AND g.error_count = 0 AND g.base_generation_id IS NULL THEN g.published_us END AS cur_at
     FROM glog g WHERE log_no = 0
     UNION ALL
     SELECT g.dataset, g.log_no, g.generation_id, f.cur, x.ok, CASE WHEN x.ok THEN g.generation_id ELSE f.cur END, CASE WHEN x.ok THEN g.published_us ELSE f.cur_at END
     FROM fold f JOIN glog g ON g.dataset = f.dataset AND g.log_no = f.log_no + 1,
-      LATERAL (SELECT g.state = 'ready' AND g.error_count = 0 AND (f.cur IS NULL OR (coalesce(g.base_generation_id = f.cur, false) AND g.published_us > f.cur_at)) AS ok) x)
+      LATERAL (SELECT g.state = 'ready' AND g.error_count = 0 AND g.base_generation_id IS NOT DISTINCT FROM f.cur AND coalesce(g.published_us > f.cur_at, f.cur_at IS NULL) AS ok) x)
   SELECT * FROM fold) y""")
 SQL["dataset_diff"] = query(["inventory"], """
 SELECT qno, o_custkey, change FROM (SELECT coalesce(a.qno + 1, b.qno) AS qno, coalesce(a.o_custkey, b.o_custkey) AS o_custkey,

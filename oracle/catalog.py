@@ -40,7 +40,7 @@ SQL["merge_candidates"] = query(["merged_hits"], """
 SELECT capture_id, repo, url, description, stars, forks, pushed_at, candidate_query, first_query_ord, first_item_ord FROM merged_hits""")
 cte("query_runs", ["repo_hits", "attempts"], """
 SELECT a.capture_id, a.query, CASE WHEN error IS NULL THEN 'healthy' ELSE 'failed' END AS state,
-       CASE WHEN error IS NULL THEN coalesce(n, 0) ELSE 0 END AS item_count, substr(error, 1, 300) AS error
+       CASE WHEN error IS NULL THEN coalesce(n, 0) ELSE 0 END AS item_count, error
 FROM attempts a LEFT JOIN (SELECT capture_id, rule, count(*) AS n FROM repo_hits GROUP BY ALL) h
   ON h.capture_id = a.capture_id AND h.rule = a.query""")
 SQL["query_health"] = query(["query_runs"], "SELECT capture_id, query, state, item_count, error FROM query_runs")

@@ -10,17 +10,16 @@ _in = lambda items: "(" + ", ".join(f"'{i}'" for i in items) + ")"
 _NAME = "split_part(path, '/', -1)"
 _FOLDERS = "list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1)"
 cte("scanned", ["files"], f"""
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY walk) AS rn FROM (
+SELECT * FROM (
   SELECT *, lower(path) AS low, lower({_NAME}) AS name, {_FOLDERS} AS folders, coalesce(regexp_extract(lower({_NAME}), '^.+(\\.[^.]+)$', 1), '') AS suffix,
     coalesce(list_aggregate(list_transform({_FOLDERS}, lambda f: '1' || f || chr(1)), 'string_agg', ''), '') || '0' || {_NAME} AS walk
   FROM files WHERE NOT is_symlink) f
-  WHERE len(list_intersect(list_transform(folders, lambda f: lower(f)), {list(K.SKIP_DIRECTORIES)})) = 0 AND suffix NOT IN {_in(K.SKIP_SUFFIXES)}) r
-WHERE rn <= 12000""")
+  WHERE len(list_intersect(list_transform(folders, lambda f: lower(f)), {list(K.SKIP_DIRECTORIES)})) = 0 AND suffix NOT IN {_in(K.SKIP_SUFFIXES)}""")
 cte("marked", ["scanned"], f"""
 SELECT *, len(list_intersect(list_transform(folders, lambda f: lower(f)), ['test', 'tests', '__tests__', 'spec', 'specs'])) > 0
     OR stem IN ('test', 'tests', 'spec') OR starts_with(stem, 'test_') OR ends_with(stem, '_test') OR ends_with(stem, '_spec')
     OR contains(name, '.test.') OR contains(name, '.spec.') AS is_test,
-  CASE WHEN suffix IN {_in(K.TEXT_SUFFIXES)} AND size_bytes <= 512000
+  CASE WHEN suffix IN {_in(K.TEXT_SUFFIXES)}
     THEN len(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])(TODO|FIXME|XXX)(?:$|[^\\p{{L}}\\p{{N}}\\p{{M}}_])')) ELSE 0 END AS todo
 FROM (SELECT *, CASE WHEN suffix <> '' THEN left(name, length(name) - length(suffix)) ELSE name END AS stem FROM scanned) s""")
 SQL["scan_files"] = query(["scanned"], "SELECT repo, path, suffix FROM scanned")
@@ -41,13 +40,13 @@ SQL["presence_indicators"] = query(["indicators"], "SELECT repo, " + ", ".join(f
 _sig = " ".join(f"WHEN contains(body, '{s}') THEN '{n}'" for n, s in K.LICENSE_SIGNATURES)
 cte("hints", ["files"], f"""
 SELECT repo, CASE {_sig} ELSE '{K.LICENSE_UNRECOGNISED}' END AS license_hint FROM (
-  SELECT repo, CASE WHEN size_bytes <= 512000 THEN lower(text) ELSE '' END AS body, row_number() OVER (PARTITION BY repo ORDER BY path) AS rn
+  SELECT repo, lower(text) AS body, row_number() OVER (PARTITION BY repo ORDER BY path) AS rn
   FROM files WHERE NOT is_symlink AND NOT contains(path, '/') AND (starts_with(lower(path), 'license') OR starts_with(lower(path), 'copying'))) l WHERE rn = 1""")
 SQL["license_hint"] = query(["hints"], "SELECT repo, license_hint FROM hints")
 SQL["evidence_summary"] = query(["indicators", "languages", "hints"], f"""
 SELECT i.repo, 2 AS schema_version, {project_id('i.repo')} AS project_id, scanned_files, test_files, todo_markers, license_hint,
   least(95, 35 + 6 * ({' + '.join(f'ind_{k}::INT' for k in _IND)}) + least(test_files, 12))::INT AS confidence,
-  concat_ws('|', CASE WHEN scanned_files >= 12000 THEN 'file scan stopped at 12000 files' END, CASE WHEN NOT ind_license THEN 'no license file detected' END,
+  concat_ws('|', CASE WHEN NOT ind_license THEN 'no license file detected' END,
     'static inspection only; code was not executed') AS warnings, language_files
 FROM indicators i JOIN (SELECT repo, string_agg(suffix || '=' || files, '|' ORDER BY rank) AS language_files FROM languages WHERE rank <= 12 GROUP BY repo) l ON l.repo = i.repo
 LEFT JOIN hints h ON h.repo = i.repo""")

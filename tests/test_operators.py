@@ -84,11 +84,11 @@ def test_growth_kinds_and_gaps(spark):
     assert (got["c3", "o/b"]["obs_count"], got["c3", "o/b"]["obs_window"]) == (2, 3)
 
 
-def test_scan_cap_follows_walk_order(spark):
+def test_scan_has_every_file_in_walk_order(spark):
     paths = ["b.py", "a/z.py", "a/b/c.py", "a.py", "node_modules/x.js", "pic.PNG", "ab/q.py"]
     df = spark.createDataFrame([("r", p, 10, False) for p in paths], "repo string, path string, size_bytes long, is_symlink boolean")
-    got = [r["path"] for r in E.scan_files(df, cap=4, salts=2).orderBy("walk_key").collect()]
-    assert got == ["a.py", "b.py", "a/z.py", "a/b/c.py"]
+    got = [r["path"] for r in E.scan_files(df).orderBy("walk_key").collect()]
+    assert got == ["a.py", "b.py", "a/z.py", "a/b/c.py", "ab/q.py"]
 
 
 def test_signal_merge_keeps_highest_kind(spark):
