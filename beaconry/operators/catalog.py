@@ -21,7 +21,7 @@ from beaconry.functions import text as X
 from beaconry.functions import timefns as T
 from beaconry.functions.urls import safe_url
 from beaconry.operators.identity import canonical
-from beaconry.operators.skew import salt
+from beaconry.operators.skew import exact_position, previous_value, salt
 from beaconry.plans import texts
 
 c = F.col
@@ -31,15 +31,17 @@ c = F.col
 def capture_chain(captures: DataFrame) -> DataFrame:
     """Consecutive numbers and predecessors of the capture headers, one capture per instant.
 
-    Headers are one short row per capture run, so the ordered list of all of them is a small array.
+    Captures whose time cannot be read have no place in the chain; ``growth_rejects`` names them.  Numbers and
+    predecessors come from month buckets, so only the bucket sizes meet in one task.
     """
-    heads = captures.groupBy(T.strict_time(c("captured_at")).alias("captured_ts")).agg(F.max("capture_id").alias("capture_id"))
-    ordered = heads.agg(F.array_sort(F.collect_list(F.struct("captured_ts", "capture_id"))).alias("_all"))
-    nothing = F.array(F.lit(None).cast("struct<captured_ts:timestamp,capture_id:string>"))
-    paired = ordered.select(F.arrays_zip(c("_all").alias("now"), F.concat(nothing, F.expr("slice(_all, 1, size(_all) - 1)")).alias("before")).alias("_p"))
-    return paired.select(F.posexplode("_p").alias("_i", "_x")).select(
-        c("_x.now.capture_id").alias("capture_id"), c("_x.now.captured_ts").alias("captured_ts"), (c("_i") + 1).alias("capture_no"),
-        c("_x.before.captured_ts").alias("previous_ts"), c("_x.before.capture_id").alias("previous_capture_id"))
+    heads = (captures.select("capture_id", T.strict_time(c("captured_at")).alias("captured_ts")).filter("captured_ts is not null")
+             .groupBy("captured_ts").agg(F.max("capture_id").alias("capture_id"))
+             .withColumn("_head", F.struct("captured_ts", "capture_id")))
+    month = F.date_trunc("month", "captured_ts")
+    placed = exact_position(heads, [], [F.asc("captured_ts")], [month], [F.asc("_b0")], "capture_no")
+    linked = previous_value(placed, [], month, ["captured_ts"], "_head", "_before")
+    return linked.select("capture_id", "captured_ts", "capture_no", c("_before.captured_ts").alias("previous_ts"),
+                         c("_before.capture_id").alias("previous_capture_id"))
 
 
 def number_captures(captures: DataFrame) -> DataFrame:
@@ -61,10 +63,25 @@ def previous_capture(captures: DataFrame, declared: DataFrame | None = None) ->
         .withColumn("previous_ts", F.coalesce("_ts", "previous_ts")).drop("_ts", "_n", "_id"))
 
 
+def _numbered_rows(snapshot: DataFrame, captures: DataFrame) -> DataFrame:
+    """Rows of the snapshot with their capture's number, ``canonical`` and ``reject``, the reason to leave a row out."""
+    rows = (snapshot.join(number_captures(captures), "capture_id", "left").withColumn("canonical", canonical(c("repo"))))
+    same = Window.partitionBy("canonical", "capture_no").orderBy(F.desc("stars"), "repo")
+    return rows.withColumn("reject", F.when(c("capture_no").isNull(), "unreadable_capture").when(c("canonical").isNull(), "invalid_repository")
+                           .when((F.row_number().over(same) > 1), "duplicate_repository"))
+
+
+def growth_rejects(snapshot: DataFrame, captures: DataFrame) -> DataFrame:
+    """Rows that growth leaves out: captures without a readable time, invalid names, further rows of one repository."""
+    return _numbered_rows(snapshot, captures).filter("reject is not null").select("capture_id", "repo", "reject")
+
+
 def with_growth(snapshot: DataFrame, captures: DataFrame) -> DataFrame:
-    """Star growth against the previous capture and presence in the last 30 captures."""
-    rows = (snapshot.join(number_captures(captures), "capture_id")
-            .withColumn("canonical", canonical(c("repo"))))
+    """Star growth against the previous capture and presence in the last 30 captures, of rows that are not rejected."""
+    # Rows without a name or a capture go before the windows: their shared null key would be a hot one.
+    named = snapshot.filter(canonical(c("repo")).isNotNull()).join(number_captures(captures), "capture_id").withColumn("canonical", canonical(c("repo")))
+    same = Window.partitionBy("canonical", "capture_no").orderBy(F.desc("stars"), "repo")
+    rows = named.withColumn("_same", F.row_number().over(same)).filter("_same = 1").drop("_same")
     history = Window.partitionBy("canonical").orderBy("capture_no")
     recent = history.rangeBetween(-(MAX_HEAT_OBSERVATIONS - 1), 0)
     rows = (rows.withColumn("_pno", F.lag("capture_no").over(history))

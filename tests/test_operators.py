@@ -84,6 +84,17 @@ def test_growth_kinds_and_gaps(spark):
     assert (got["c3", "o/b"]["obs_count"], got["c3", "o/b"]["obs_window"]) == (2, 3)
 
 
+def test_growth_leaves_out_rows_without_name_time_or_place(spark):
+    snap, caps = snapshot(spark, {1: {"o/a": 700, "bad name": 100}, 2: {"o/a": 900, "O/A": 800, "other bad": 900}, 3: {"o/a": 950}})
+    broken = caps.withColumn("captured_at", F.when(F.col("capture_id") == "c3", "no time").otherwise(F.col("captured_at")))
+    got = {(r["capture_id"], r["repo"]): r for r in C.with_growth(snap, broken).collect()}
+    assert set(got) == {("c1", "o/a"), ("c2", "o/a")}
+    assert (got["c2", "o/a"]["growth_value"], got["c2", "o/a"]["obs_count"], got["c2", "o/a"]["obs_window"]) == (200, 2, 2)
+    rejects = {(r["capture_id"], r["repo"], r["reject"]) for r in C.growth_rejects(snap, broken).collect()}
+    assert rejects == {("c1", "bad name", "invalid_repository"), ("c2", "other bad", "invalid_repository"),
+                       ("c2", "O/A", "duplicate_repository"), ("c3", "o/a", "unreadable_capture")}
+
+
 def test_scan_has_every_file_in_walk_order(spark):
     paths = ["b.py", "a/z.py", "a/b/c.py", "a.py", "node_modules/x.js", "pic.PNG", "ab/q.py"]
     df = spark.createDataFrame([("r", p, 10, False) for p in paths], "repo string, path string, size_bytes long, is_symlink boolean")
