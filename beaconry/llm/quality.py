@@ -3,7 +3,8 @@
 The content view sees byte pairs and words of the text.  The metadata view sees language, source, declared length and
 layout (lines, their lengths).  Each view is a logistic regression.  Over several rounds each view labels the unlabelled
 rows it is most sure of, and the other view learns from them too.  A last curve, fitted on labelled rows that neither
-view was fitted on, weighs both views into one score.
+view was fitted on, weighs both views into one score.  The sample has as many rows of each label as it can, so the curve is
+then moved to the odds of a good row among all labelled rows outside the held-out fold.
 
 Fitting takes at most ``per_class`` labelled rows of each label and ``pool`` unlabelled rows, of at most ``max_chars``
 characters each, never from the held-out fold.  Scoring reads every whole text.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from beaconry.llm.hashing import texts_of, word_hashes
 from beaconry.llm.logistic import fit_gradient, fit_newton, sigmoid
-from beaconry.llm.sampling import held_out, labelled_sample
+from beaconry.llm.sampling import held_out, label_counts, labelled_sample
 
 PAIR_BITS, WORD_BITS, META = 10, 10, 64 + 8
 PER_CLASS, POOL, MAX_CHARS, ROUNDS, EXCHANGED = 1500, 2000, 20_000, 4, 150
@@ -96,8 +97,11 @@ def _fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float) -> Vi
 
 
 def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: tuple[np.ndarray, np.ndarray],
-            rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> QualityModel:
-    """Views of the labelled rows, their labels, a flag for rows kept for the blend, and views of the pool."""
+            rounds: int = ROUNDS, exchanged: int = EXCHANGED, log_odds: float | None = None) -> QualityModel:
+    """Views of the labelled rows, their labels, a flag for rows kept for the blend, and views of the pool.
+
+    ``log_odds`` are those of a good row where the model is used; by default those of the labelled rows given.
+    """
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 1.0
         return QualityModel(None, None, np.array([0, 0, math.log(max(share, 1e-9) / max(1 - share, 1e-9))]))
@@ -126,7 +130,11 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarra
             given[1 - k].update(sure)
     last = fold if len(set(y[fold].tolist())) == 2 else np.ones(len(y), bool)
     both = np.column_stack([fitted[k].logit(views[k][last]) for k in (0, 1)])
-    return QualityModel(fitted[0], fitted[1], fit_newton(both, y[last], l2=1.0))
+    blend = fit_newton(both, y[last], l2=1.0)
+    if log_odds is not None:
+        share = float(y[last].mean())
+        blend[2] += log_odds - math.log(share / (1 - share))
+    return QualityModel(fitted[0], fitted[1], blend)
 
 
 def _views(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +150,10 @@ def fit_from(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, poo
              .join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id"))
     ids = other.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
     unlabelled = docs.select("doc_id", *_COLUMNS).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).collect()
+    seen = label_counts(labels, "quality")
+    log_odds = math.log(seen[1] / seen[0]) if seen.get(0) and seen.get(1) else None
     fold = np.array([zlib.crc32(f"blend {r.doc_id}".encode()) % 4 == 0 for r in rows], bool)
-    return cotrain(_views(rows), np.array([r.label for r in rows], float), fold, _views(unlabelled))
+    return cotrain(_views(rows), np.array([r.label for r in rows], float), fold, _views(unlabelled), log_odds=log_odds)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -13,14 +13,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, label`` of each labelled id outside the held-out fold; an id with several labels has their maximum."""
+    return (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
+            .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")))
+
+
+def label_counts(labels: DataFrame, label: str) -> dict[int, int]:
+    """How many ids have each label, over all labelled ids outside the held-out fold."""
+    return {r.label: r.n for r in known_labels(labels, label).groupBy("label").agg(F.count("*").alias("n")).collect()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, columns: list[str]) -> list:
     """At most ``per_class`` rows of each label outside the held-out fold, each of at most ``max_chars`` characters.
 
     Rows are taken in the order of a hash of their id, so reruns agree.  An id with several labels has their maximum;
     null labels and ids are left out.  The chosen ids are a few thousand at most, so the join may be broadcast.
     """
-    known = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
-             .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")))
+    known = known_labels(labels, label)
     chosen = None
     for value in (0, 1):
         part = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
