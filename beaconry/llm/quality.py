@@ -9,7 +9,9 @@ then moved to the odds of a good row among all labelled rows outside the held-ou
 Fitting takes at most ``per_class`` labelled rows of each label and ``pool`` unlabelled rows, of at most ``max_chars``
 characters each, never from the held-out fold.  Scoring reads every whole text.
 
-Edge cases: null and empty texts have zero content features and are scored all the same; null language, source and
+Short texts say little, so their content features are drawn towards the mean: a text of ``HALF_TRUST_BYTES`` by half.
+
+Edge cases: null and empty texts have no content features and are scored all the same; null language, source and
 length count as values of their own.  Without labelled rows of both classes all rows get the share of good rows seen
 (1 if none, so that nothing is rejected for want of labels).  Repeated rows each get their own score.
 """
@@ -29,15 +31,17 @@ from beaconry.llm.hashing import texts_of, word_hashes
 from beaconry.llm.logistic import fit_gradient, fit_newton, sigmoid
 from beaconry.llm.sampling import held_out, label_counts, labelled_sample
 
-PAIR_BITS, WORD_BITS, META = 10, 10, 64 + 8
+PAIR_BITS, WORD_BITS, META = 10, 10, 64 + 8 + 1
 PER_CLASS, POOL, MAX_CHARS, ROUNDS, EXCHANGED = 1500, 2000, 20_000, 4, 150
 _PAIR_SLOT = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 _COLUMNS = ["text", "lang", "source", "n_chars"]
+#: A text of so many bytes is trusted half: its shares may be far from those of longer texts by chance alone.
+HALF_TRUST_BYTES = 200
 
 
 def content_view(raw: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of byte pairs and words by hash slot, then the shares of distinct words and of words like the one before."""
-    out = np.zeros((1 << PAIR_BITS) + (1 << WORD_BITS) + 2, np.float32)
+    """Square roots of the shares of byte pairs and words by hash slot; the shares of distinct words and of words like the one before; trust."""
+    out = np.zeros((1 << PAIR_BITS) + (1 << WORD_BITS) + 3, np.float32)
     if len(raw) > 1:
         pairs = np.zeros(1 << PAIR_BITS)
         for at in range(0, len(raw) - 1, 1 << 20):
@@ -47,9 +51,10 @@ def content_view(raw: np.ndarray) -> np.ndarray:
     words = word_hashes(raw)
     if len(words):
         slots = (words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        out[1 << PAIR_BITS : -2] = np.sqrt(np.bincount(slots, minlength=1 << WORD_BITS) / len(words))
-        out[-2] = len(np.unique(words)) / len(words)
-        out[-1] = (words[1:] == words[:-1]).sum() / len(words)
+        out[1 << PAIR_BITS : -3] = np.sqrt(np.bincount(slots, minlength=1 << WORD_BITS) / len(words))
+        out[-3] = len(np.unique(words)) / len(words)
+        out[-2] = (words[1:] == words[:-1]).sum() / len(words)
+    out[-1] = len(raw) / (len(raw) + HALF_TRUST_BYTES)
     return out
 
 
@@ -59,21 +64,24 @@ def metadata_view(raw: np.ndarray, lang: str | None, source: str | None, n_chars
     out[32 + zlib.crc32(f"source {source}".encode()) % 32] = 1
     ends = np.flatnonzero(raw == 10)
     lines = np.diff(np.concatenate(([-1], ends, [len(raw)]))) - 1
-    out[64:] = [n_chars is None, math.log1p(max(0, n_chars or 0)) / 8, math.log1p(len(raw)) / 8, math.log1p(len(lines)) / 8,
+    out[64:-1] = [n_chars is None, math.log1p(max(0, n_chars or 0)) / 8, math.log1p(len(raw)) / 8, math.log1p(len(lines)) / 8,
                 math.log1p(lines.mean()) / 8, math.log1p(lines.max()) / 8, (lines < 30).mean(),
                 abs(math.log1p(max(0, n_chars or 0)) - math.log1p(len(raw))) / 8]
+    out[-1] = 1
     return out
 
 
 @dataclass
 class View:
+    """A logistic regression on all columns but the last, which says how far a row may stray from the mean."""
+
     weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         slope = (self.weights[:-1] / self.scale).astype(np.float32)
-        return (x @ slope - float(self.mean @ slope) + self.weights[-1]).astype(np.float64)
+        return ((x[:, :-1] @ slope - float(self.mean @ slope)) * x[:, -1] + self.weights[-1]).astype(np.float64)
 
 
 @dataclass
@@ -89,10 +97,12 @@ class QualityModel:
 
 
 def _fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float) -> View:
+    x, trust = x[:, :-1], x[:, -1:]
     mean = x.mean(axis=0)
     scale = np.maximum(x.std(axis=0), np.float32(0.01)) * np.float32(math.sqrt(x.shape[1]))
     x = x - mean
     x /= scale
+    x *= trust
     return View(fit_gradient(x, y, weight, l2), mean, scale)
 
 
@@ -139,7 +149,7 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarra
 
 def _views(rows: list) -> tuple[np.ndarray, np.ndarray]:
     raws = [np.frombuffer((r.text or "").encode(), np.uint8) for r in rows]
-    width = (1 << PAIR_BITS) + (1 << WORD_BITS) + 2
+    width = (1 << PAIR_BITS) + (1 << WORD_BITS) + 3
     return (np.array([content_view(raw) for raw in raws], np.float32).reshape(-1, width),
             np.array([metadata_view(raw, r.lang, r.source, r.n_chars) for raw, r in zip(raws, rows)], np.float32).reshape(-1, META))
 
