@@ -9,7 +9,7 @@ MAX_HEAT_OBSERVATIONS = 30
 MIN_PERSISTENCE_WINDOW = 7
 MIN_PERSISTENCE_COUNT = 5
 MIN_PERSISTENCE_RATIO = 0.7
-CATALOG_MIN, CATALOG_DEFAULT, CATALOG_MAX = 5, 30, 100
+CATALOG_DEFAULT = 30
 DAILY_SIZE, DAILY_LONG_TERM, DAILY_RECENT = 5, 2, 3
 HITS_PER_RULE = 30
 MAX_URL_LENGTH = 2_048

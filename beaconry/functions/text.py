@@ -41,9 +41,9 @@ def repository_text(repo: Column, description: Column, topics: Column) -> Column
         F.coalesce(F.array_join(topics, " "), F.lit(""))))
 
 
-def distinct_head(values: Column, n: int) -> Column:
-    """Ordered distinct values, first ``n``."""
-    return F.slice(F.array_distinct(values), 1, n)
+def distinct_head(values: Column, n: int | None = None) -> Column:
+    """Ordered distinct values; with ``n``, the first ones for display."""
+    return F.array_distinct(values) if n is None else F.slice(F.array_distinct(values), 1, n)
 
 
 def clean_title(raw: Column) -> Column:

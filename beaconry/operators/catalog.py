@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry.constants import (
-    CATALOG_MAX, CATALOG_MIN, CATEGORY_TERMS, DAILY_LONG_TERM, DAILY_RECENT, DAILY_SIZE, DEFAULT_CATEGORY,
+    CATEGORY_TERMS, DAILY_LONG_TERM, DAILY_RECENT, DAILY_SIZE, DEFAULT_CATEGORY,
     INDICATORS, LOW_ACTIONABILITY_TERMS, MAX_HEAT_OBSERVATIONS, MIN_PERSISTENCE_COUNT, MIN_PERSISTENCE_RATIO,
     MIN_PERSISTENCE_WINDOW, PRODUCTIVITY_TERMS, READINESS_WEIGHTS, RISK_TERMS)
 from beaconry.functions import numeric as N
@@ -328,8 +328,8 @@ def with_narrative(rows: DataFrame) -> DataFrame:
     topics = F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: F.replace(t, F.lit("-"), F.lit(" ")))
     language = F.when(F.coalesce(c("language"), F.lit("")) != "", F.array(F.concat(c("language"), F.lit(" project")))).otherwise(
         F.array().cast("array<string>"))
-    own_caps = X.distinct_head(F.concat(F.array("base_category"), F.slice(topics, 1, 4), language), 5)
-    own_terms = X.distinct_head(F.concat(F.array("base_category"), c("terms"), topics), 16)
+    own_caps = X.distinct_head(F.concat(F.array("base_category"), topics, language))
+    own_terms = X.distinct_head(F.concat(F.array("base_category"), c("terms"), topics))
     rows = rows.withColumns({"own_capabilities": own_caps, "own_task_terms": own_terms})
 
     def profile(field, own):
@@ -340,13 +340,13 @@ def with_narrative(rows: DataFrame) -> DataFrame:
     hypothesis = F.concat(F.lit("Placed in "), c("base_category"), F.lit(" with "), c("term_count").cast("string"),
                           F.lit(" productivity terms; match it against a concrete task next."))
     enr_caps = F.when(F.size("enr_capabilities") > 0, c("enr_capabilities")).otherwise(c("own_capabilities"))
-    enr_terms = X.distinct_head(F.concat(c("own_task_terms"), F.coalesce("enr_task_terms", F.array().cast("array<string>"))), 32)
+    enr_terms = X.distinct_head(F.concat(c("own_task_terms"), F.coalesce("enr_task_terms", F.array().cast("array<string>"))))
     return rows.withColumns({
         "why_now": why, "risk_text": risk_text, "title": profile("title", F.substring_index("repo", "/", -1)),
         "project_description": profile("summary", F.coalesce(F.nullif(c("description"), F.lit("")), no_description)),
         "category": profile("category", c("base_category")), "fit_hypothesis": profile("best_for", hypothesis),
         "reuse_plan": profile("reuse_plan", F.lit("Read the readme and the inspection first, then decide on an isolated trial.")),
-        "capabilities": F.when(c("has_enrichment"), F.slice(enr_caps, 1, 6)).otherwise(c("own_capabilities")),
+        "capabilities": F.when(c("has_enrichment"), enr_caps).otherwise(c("own_capabilities")),
         "task_terms": F.when(c("has_enrichment"), enr_terms).otherwise(c("own_task_terms")),
         "captured_label": T.display_label(c("captured_ts"))})
 
@@ -383,7 +383,9 @@ def lasting_order() -> list:
 
 
 def catalog_limit(limit: int) -> int:
-    return max(CATALOG_MIN, min(limit, CATALOG_MAX))
+    if limit < 1:
+        raise ValueError("a catalog has at least one row")
+    return limit
 
 
 def _picks(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -438,8 +440,7 @@ def build_catalog(snapshot, captures, evidence=None, enrichment=None, limit: int
 
 def analysis_targets(snapshot, captures, top_n: int = 5) -> DataFrame:
     """Repositories worth inspecting, from a catalog without evidence."""
-    n = max(0, min(top_n, 10))
-    return balanced_order(scored_snapshot(snapshot, captures)).filter(c("position") <= n).select("capture_id", "position", "repo")
+    return balanced_order(scored_snapshot(snapshot, captures), top_n).select("capture_id", "position", "repo")
 
 
 def analysis_failures(targets: DataFrame, evidence: DataFrame) -> DataFrame:

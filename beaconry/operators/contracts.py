@@ -11,20 +11,19 @@ from beaconry.functions.urls import is_http_url
 from beaconry.operators.identity import canonical, carried_error, legacy_slug
 
 c = F.col
-REPORT_CAP = 50
 
 # column, rule, argument
 SNAPSHOT_RULES = [
     ("repo", "required", None), ("repo", "pattern", REPOSITORY_PATTERN), ("url", "http_url", None), ("url", "max_length", 2048),
     ("stars", "required", None), ("stars", "minimum", 0), ("forks", "required", None), ("forks", "minimum", 0),
-    ("open_issues", "minimum", 0), ("description", "max_length", 350), ("license", "enum", ["MIT", "Apache-2.0", "NOASSERTION"]),
-    ("topics", "unique_items", None), ("topics", "max_items", 20), ("created_at", "timestamp", None), ("pushed_at", "timestamp", None),
-    ("candidate_query", "min_length", 1),
+    ("open_issues", "minimum", 0), ("description", "max_length", 4000), ("license", "min_length", 1), ("license", "max_length", 100),
+    ("topics", "unique_items", None), ("topics", "max_items", 100), ("created_at", "required", None), ("created_at", "timestamp", None), ("pushed_at", "required", None), ("pushed_at", "timestamp", None),
+    ("candidate_query", "min_length", 1), ("candidate_query", "max_length", 5000),
 ]
 SIGNAL_RULES = [
     ("kind", "enum", ["official", "curated", "ranking", "aggregated"]), ("title", "min_length", 1), ("url", "http_url", None),
     ("score", "required", None), ("score", "finite", None), ("score", "minimum", 0.0), ("score", "maximum", 1.0),
-    ("published_at", "required", None), ("published_at", "timestamp", None), ("window_hours", "const", 48),
+    ("published_at", "required", None), ("published_at", "timestamp", None), ("window_hours", "minimum", 1), ("window_hours", "maximum", 720),
     ("repo", "paired", "reported_daily_growth"), ("repo", "required_if", ("kind", "ranking")), ("evidence", "min_items", 1),
 ]
 
@@ -54,10 +53,13 @@ def contract_issues(rows: DataFrame, kind: str, scope: str, key: Column, rules:
             .select("scope", "kind", "key", "i.path", "i.rule"))
 
 
-def bounded_report(issues: DataFrame, cap: int = REPORT_CAP) -> DataFrame:
-    """First issues per scope in order, and one row that counts the rest."""
+def bounded_report(issues: DataFrame, cap: int | None = None) -> DataFrame:
+    """Issues per scope in order; with ``cap``, the first ones and one row that counts the rest."""
     order = Window.partitionBy("scope").orderBy("path", "rule", "key")
-    first = issues.withColumn("issue_no", F.row_number().over(order)).filter(c("issue_no") <= cap)
+    first = issues.withColumn("issue_no", F.row_number().over(order))
+    if cap is None:
+        return first
+    first = first.filter(c("issue_no") <= cap)
     rest = (issues.groupBy("scope").agg(F.count("*").alias("n")).filter(c("n") > cap)
             .select("scope", F.lit("report").alias("kind"), F.concat((c("n") - cap).cast("string"), F.lit(" more")).alias("key"),
                     F.lit("/").alias("path"), F.lit("overflow").alias("rule"), F.lit(cap + 1).alias("issue_no")))

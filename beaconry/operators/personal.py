@@ -38,8 +38,8 @@ def project_features(catalog: DataFrame) -> DataFrame:
     def tagged(prefix, values):
         return F.transform(values, lambda v: F.struct(F.lit(prefix).alias("prefix"), v.alias("raw")))
 
-    every = F.concat(tagged("category", F.array("category")), tagged("capability", F.slice("capabilities", 1, 12)),
-                     tagged("task", F.slice("task_terms", 1, 12)))
+    every = F.concat(tagged("category", F.array("category")), tagged("capability", c("capabilities")),
+                     tagged("task", c("task_terms")))
     rows = catalog.select("generation_id", "project_slug", F.posexplode(every).alias("feature_no", "f"))
     name = feature_normal(c("f.raw"))
     rows = rows.select("generation_id", "project_slug", "feature_no", F.concat_ws(":", "f.prefix", name).alias("feature"),

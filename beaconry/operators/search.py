@@ -27,7 +27,7 @@ def query_intents(queries: DataFrame) -> DataFrame:
         F.when(matched[label], F.array(*[F.lit(x) for x in caps])).otherwise(empty) for label, _, caps, _ in INTENT_RULES]))
     default = F.array(*[F.lit(x) for x in DEFAULT_CAPABILITIES])
     return (rows.withColumn("rules", rules).withColumn("_caps", F.array_distinct(offered))
-            .withColumn("capabilities", F.slice(F.when(F.size("_caps") > 0, c("_caps")).otherwise(default), 1, 6))
+            .withColumn("capabilities", F.when(F.size("_caps") > 0, c("_caps")).otherwise(default))
             .withColumn("tokens", query_tokens(c("text"))).drop("_n", "_caps"))
 
 
@@ -52,7 +52,10 @@ def rule_index(hay: DataFrame) -> DataFrame:
 
 
 def token_index(tokens: DataFrame, hay: DataFrame) -> DataFrame:
-    """(generation, token) -> positions whose text contains the token; distinct tokens only."""
+    """(generation, token) -> positions whose text contains the token; distinct tokens only.
+
+    The pieces of a text travel without it; the text joins the tokens whose first piece it has.
+    """
     vocabulary = tokens.select("generation_id", "token").distinct().withColumn("_t", search_normal(c("token")))
     vocabulary = vocabulary.withColumn("_gram", F.substring("_t", 1, GRAM))
     starts = F.sequence(F.lit(1), F.length("haystack"))
@@ -61,8 +64,9 @@ def token_index(tokens: DataFrame, hay: DataFrame) -> DataFrame:
         return F.transform(starts, lambda i: F.substring(c("haystack"), i, F.lit(n)))
 
     grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, GRAM + 1)])))
-    blocks = hay.select("generation_id", "position", "haystack", F.explode(grams).alias("_gram"))
-    return (vocabulary.join(blocks, ["generation_id", "_gram"]).filter(F.contains(c("haystack"), c("_t")))
+    blocks = hay.select("generation_id", "position", F.explode(grams).alias("_gram"))
+    met = vocabulary.join(blocks, ["generation_id", "_gram"]).drop("_gram")
+    return (met.join(hay.select("generation_id", "position", "haystack"), ["generation_id", "position"]).filter(F.contains(c("haystack"), c("_t")))
             .select("generation_id", "token", "position"))
 
 

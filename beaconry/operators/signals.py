@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry.constants import (
-    CATALOG_MAX, CATALOG_MIN, SIGNAL_AI_TERMS, SIGNAL_KIND_PRIORITY, SIGNAL_MARKETING_TERMS, SIGNAL_PRODUCT_TERMS)
+    SIGNAL_AI_TERMS, SIGNAL_KIND_PRIORITY, SIGNAL_MARKETING_TERMS, SIGNAL_PRODUCT_TERMS)
 from beaconry.functions.numeric import half_up_0
 from beaconry.functions.text import filled, hit_count
 from beaconry.functions.timefns import hours_between, strict_time
@@ -111,10 +111,11 @@ def merge_signals(signals: DataFrame) -> DataFrame:
 
 def rank_signals(merged: DataFrame, limit: int = 30) -> DataFrame:
     """Best rows per run by kind, score and time; the first five are the top signals."""
-    keep = max(CATALOG_MIN, min(limit, CATALOG_MAX))
+    if limit < 1:
+        raise ValueError("a ranking has at least one row")
     order = Window.partitionBy("run_id").orderBy(
         F.desc(priority(c("kind"))), F.desc("score"), F.desc(strict_time(c("published_at"))), F.asc("ord"))
-    return (merged.withColumn("position", F.row_number().over(order)).filter(c("position") <= keep)
+    return (merged.withColumn("position", F.row_number().over(order)).filter(c("position") <= limit)
             .withColumn("top", c("position") <= 5))
 
 

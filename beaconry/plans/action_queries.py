@@ -21,10 +21,10 @@ def signal_items(t: Tables, limit: int = 10):
 
 
 def both_items(t: Tables):
-    """Queue of a capture, joined with the signal run that has the same ordinal."""
+    """Queue of a capture, with the signal run that has the same ordinal; a run without a capture is a queue of its own."""
     projects = project_items(t).withColumn("queue_id", F.col("capture_id"))
     cap = number_captures(t.captures).select("capture_id", F.concat(F.lit("r"), (F.col("capture_no") - 1).cast("string")).alias("run_id"))
-    signals = signal_items(t).join(cap, "run_id").withColumn("queue_id", F.col("capture_id")).drop("run_id")
+    signals = signal_items(t).join(cap, "run_id", "left").withColumn("queue_id", F.coalesce("capture_id", "run_id")).drop("run_id")
     return projects, signals
 
 
@@ -39,9 +39,8 @@ def log(t: Tables):
 
 
 def calendar(t: Tables):
-    """Every third midnight of the log's days."""
-    days = t.action_events.select((F.floor(F.col("at_us") / A.DAY_US) * A.DAY_US).cast("bigint").alias("as_of_us")).distinct()
-    return days.filter((F.col("as_of_us") / A.DAY_US) % 3 == 0)
+    """Every midnight of the log's days."""
+    return t.action_events.select((F.floor(F.col("at_us") / A.DAY_US) * A.DAY_US).cast("bigint").alias("as_of_us")).distinct()
 
 
 def tampered(t: Tables):

@@ -77,7 +77,7 @@ def report(t: Tables):
 
 
 def _no(col="capture_id"):
-    return F.substring(col, 2, 4).cast("int") * 4 + F.substring(col, 7, 1).cast("int") - 1
+    return F.substring(col, 2, 4).try_cast("int") * 4 + F.substring(col, 7, 1).try_cast("int") - 1
 
 
 def recorded_catalog(t: Tables):

@@ -14,25 +14,21 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """Folder all executors see: the one the cluster names, or a temporary one on a single machine."""
+def shared_dir(spark: SparkSession) -> str:
+    """Folder all executors see: the one the cluster names; only a local master may go without and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    return tempfile.mkdtemp(prefix="beaconry-") if spark.sparkContext.master.startswith("local") else None
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="beaconry-")
 
 
 def written(rows: DataFrame) -> DataFrame:
-    """Rows written once to the checkpoint folder, for results that several steps read.
-
-    Without a shared folder the plan is left as it is and recomputed.
-    """
+    """Rows written once to the checkpoint folder, for results that several steps read."""
     spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = shared_dir(spark)
-        if folder is None:
-            return rows
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return rows.checkpoint()
 
 

@@ -61,13 +61,13 @@ def faulty_snapshot(d):
     return f"""
     SELECT capture_id, ord, CASE WHEN ord % 101 = 1 THEN NULL WHEN ord % 103 = 2 THEN repo || '/x' ELSE repo END AS repo,
            CASE WHEN ord % 107 = 3 THEN 'nowhere' ELSE 'https://git.example.org/' || repo END AS url,
-           CASE WHEN ord % 109 = 4 THEN repeat('d', 351) ELSE description END AS description,
-           CASE WHEN ord % 113 = 5 THEN 'GPL' ELSE license END AS license,
+           CASE WHEN ord % 109 = 4 THEN repeat('d', 4001) ELSE description END AS description,
+           CASE WHEN ord % 113 = 5 THEN '' WHEN ord % 211 = 5 THEN repeat('l', 101) WHEN ord % 223 = 5 THEN 'BSD-3-Clause' ELSE license END AS license,
            CASE WHEN ord % 127 = 6 THEN {d.arr("'a'", "'b'", "'a'")} ELSE topics END AS topics,
            CASE WHEN ord % 131 = 7 THEN -1 WHEN ord % 137 = 8 THEN NULL ELSE stars END AS stars,
            CASE WHEN ord % 139 = 9 THEN NULL ELSE forks END AS forks, CASE WHEN ord % 149 = 10 THEN -5 ELSE open_issues END AS open_issues,
-           CASE WHEN ord % 151 = 11 THEN '2020-01-01T00:00:00' ELSE created_at END AS created_at,
-           CASE WHEN ord % 157 = 12 THEN '2020-13-01T00:00:00Z' ELSE pushed_at END AS pushed_at,
+           CASE WHEN ord % 151 = 11 THEN '2020-01-01T00:00:00' WHEN ord % 227 = 11 THEN NULL ELSE created_at END AS created_at,
+           CASE WHEN ord % 157 = 12 THEN '2020-13-01T00:00:00Z' WHEN ord % 229 = 12 THEN NULL ELSE pushed_at END AS pushed_at,
            CASE WHEN ord % 163 = 13 THEN '' ELSE candidate_query END AS candidate_query
     FROM ({repo_facts(d)}) f"""
 
@@ -77,7 +77,7 @@ def faulty_signals(d):
     SELECT run_id, ord, CASE WHEN ord % 17 = 1 THEN 'rumour' ELSE kind END AS kind, title,
            CASE WHEN ord % 19 = 2 THEN 'ftp://x/y' ELSE url END AS url,
            CASE WHEN ord % 23 = 3 THEN {d.if_nan()} WHEN ord % 29 = 4 THEN 1.5 WHEN ord % 31 = 5 THEN NULL WHEN ord % 37 = 6 THEN -0.25 ELSE 0.5 END AS score,
-           published_at, CASE WHEN ord % 41 = 7 THEN 24 ELSE window_hours END AS window_hours,
+           published_at, CASE WHEN ord % 41 = 7 THEN 721 WHEN ord % 59 = 7 THEN 0 WHEN ord % 61 = 7 THEN 24 ELSE window_hours END AS window_hours,
            CASE WHEN ord % 43 = 8 THEN NULL ELSE repo END AS repo, CASE WHEN ord % 47 = 9 THEN NULL ELSE reported_daily_growth END AS reported_daily_growth,
            CASE WHEN ord % 53 = 10 THEN {d.arr()} ELSE evidence END AS evidence
     FROM ({signals_raw(d)}) s"""

@@ -586,11 +586,13 @@ def feedback_changes(d):
     FROM {d.t('events')} WHERE event_type <> 'signup'"""
 
 
-_SERVED = "('c1999q1', 'c1999q2', 'c1999q3', 'c1999q4')"
+def _served_by(n):
+    """Capture that the n-th reader is served: one of the 28 quarters that the lines were shipped in."""
+    return f"'c' || CAST(1995 + CAST(floor({n} / 4.0) AS BIGINT) % 7 AS STRING) || 'q' || CAST({n} % 4 + 1 AS STRING)"
 
 
 def served_catalog(d):
-    """Four published catalogs of 100 projects each."""
+    """The published catalog, of 100 projects, of each capture."""
     return f"""
     SELECT capture_id AS generation_id, position, 'p' || CAST(position - 1 AS STRING) AS project_slug, repo,
            'Title ' || CAST(ord % 9 AS STRING) AS title, coalesce(description, 'no description') AS description,
@@ -604,21 +606,21 @@ def served_catalog(d):
            CASE WHEN ord % 4 < 2 THEN CAST((ord * 13) % 101 AS INT) END AS readiness,
            'Placed in ' || CAST(ord % 5 AS STRING) AS fit_hypothesis, 'Read the docs-first/then try' AS reuse_plan
     FROM (SELECT f.*, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY stars DESC, ord) AS INT) AS position
-          FROM ({repo_facts(d)}) f WHERE capture_id IN {_SERVED}) r WHERE position <= 100"""
+          FROM ({repo_facts(d)}) f) r WHERE position <= 100"""
 
 
 def served_feedback(d):
-    """Feedback of devices against the served catalogs; some values and projects are unknown."""
+    """Feedback of devices against the served catalogs; some values and projects are unknown, and some devices never say anything known."""
     return f"""
-    SELECT event_id AS id, 'd' || CAST(user_id AS STRING) AS device_id, 'c1999q' || CAST(user_id % 4 + 1 AS STRING) AS generation_id,
+    SELECT event_id AS id, 'd' || CAST(user_id AS STRING) AS device_id, {_served_by('user_id')} AS generation_id,
            'p' || CAST({d.json_int('props', 'k')} + 3 AS STRING) AS project_slug,
-           {_case('event_type', {**_FEEDBACK_BY_TYPE, 'signup': 'liked'})} AS value, {d.us('ts')} AS at_us
-    FROM {d.t('events')} WHERE user_id % 10 <> 0"""
+           CASE WHEN user_id % 10 = 0 THEN 'seen' ELSE {_case('event_type', {**_FEEDBACK_BY_TYPE, 'signup': 'liked'})} END AS value, {d.us('ts')} AS at_us
+    FROM {d.t('events')}"""
 
 
 def devices(d):
     return f"""
-    SELECT DISTINCT 'd' || CAST(user_id AS STRING) AS device_id, 'c1999q' || CAST(user_id % 4 + 1 AS STRING) AS generation_id
+    SELECT DISTINCT 'd' || CAST(user_id AS STRING) AS device_id, {_served_by('user_id')} AS generation_id
     FROM {d.t('events')}"""
 
 
@@ -627,7 +629,7 @@ def search_queries(d):
     case = " ".join(f"WHEN {i} THEN ' {w}'" for i, w in enumerate(words) if w)
     return f"""
     SELECT 'q' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS query_id,
-           'c1999q' || CAST(conv_id % 4 + 1 AS STRING) AS generation_id,
+           {_served_by('conv_id')} AS generation_id,
            {d.clean('text')} || CASE conv_id % 8 {case} ELSE '' END AS text
     FROM {d.t('conversations')} WHERE role = 'user'"""
 

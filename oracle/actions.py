@@ -34,8 +34,8 @@ SELECT run_id, id, priority, title, url, source, reason, source_published_at, pr
 cte("wq", ["pq", "sq", "caps"], f"""
 SELECT capture_id AS queue_id, id, kind, priority, title, reason, evidence_state, repository, NULL AS url, output_path, input_paths,
   '{"|".join(PROJECT_REQUIRED)}' AS required_fields, completed FROM pq
-UNION ALL SELECT c.capture_id, id, kind, priority, title, reason, NULL, NULL, url, 'data/signals/enrichment.json', input_paths, '{"|".join(SIGNAL_REQUIRED)}', completed
-FROM sq JOIN caps c ON 'r' || (c.capture_no - 1) = sq.run_id""")
+UNION ALL SELECT coalesce(c.capture_id, sq.run_id), id, kind, priority, title, reason, NULL, NULL, url, 'data/signals/enrichment.json', input_paths, '{"|".join(SIGNAL_REQUIRED)}', completed
+FROM sq LEFT JOIN caps c ON 'r' || (c.capture_no - 1) = sq.run_id""")
 SQL["work_queue"] = query(["wq"], """
 SELECT queue_id, row_number() OVER (PARTITION BY queue_id ORDER BY priority DESC, id)::INT AS position, id, kind, priority, title, reason, evidence_state, repository, url,
   output_path, input_paths, required_fields FROM wq WHERE NOT completed""")
@@ -66,7 +66,7 @@ SQL["action_projection"] = query(["log"], "SELECT device_id, project_slug, actio
 SQL["action_state_order"] = query(["state"], """
 SELECT device_id, project_slug, row_number() OVER (PARTITION BY device_id ORDER BY updated_us DESC, project_slug)::INT AS position FROM state""")
 _D = 86400000000
-cte("marks", ["action_events"], f"SELECT DISTINCT (at_us // {_D}) * {_D} AS as_of_us FROM action_events WHERE (at_us // {_D}) % 3 = 0")
+cte("marks", ["action_events"], f"SELECT DISTINCT (at_us // {_D}) * {_D} AS as_of_us FROM action_events")
 _dist = ", ".join(f"count(DISTINCT project_slug) FILTER (WHERE action = '{a}') AS {a}_projects" for a in ACTION_STAGES)
 SQL["weekly_action_metrics"] = query(["log", "marks"], f"""
 SELECT device_id, as_of_us, count(DISTINCT project_slug) FILTER (WHERE action IN ('tried', 'cloned', 'reused')) AS acted_projects, {_dist}

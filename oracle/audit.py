@@ -80,21 +80,21 @@ def rules(table, kind, scope, checks):
 cte("snap_issues", ["faulty_snapshot"], rules("faulty_snapshot", "snapshot", "capture_id", [
     ("repo", "required", "repo IS NULL"), ("repo", "pattern", f"NOT {valid_repo('repo')}"), ("url", "http_url", f"NOT {_http('url')}"),
     ("stars", "required", "stars IS NULL"), ("stars", "minimum", "stars < 0"), ("forks", "required", "forks IS NULL"), ("forks", "minimum", "forks < 0"),
-    ("open_issues", "minimum", "open_issues < 0"), ("description", "max_length", "length(description) > 350"),
-    ("license", "enum", "license NOT IN ('MIT', 'Apache-2.0', 'NOASSERTION')"), ("topics", "unique_items", "len(list_distinct(topics)) < len(topics)"),
+    ("open_issues", "minimum", "open_issues < 0"), ("description", "max_length", "length(description) > 4000"),
+    ("license", "min_length", "length(license) < 1"), ("license", "max_length", "length(license) > 100"), ("topics", "unique_items", "len(list_distinct(topics)) < len(topics)"), ("topics", "max_items", "len(topics) > 100"),
+    ("created_at", "required", "created_at IS NULL"), ("pushed_at", "required", "pushed_at IS NULL"), ("candidate_query", "max_length", "length(candidate_query) > 5000"),
     ("created_at", "timestamp", f"created_at IS NOT NULL AND {us('created_at')} IS NULL"), ("pushed_at", "timestamp", f"pushed_at IS NOT NULL AND {us('pushed_at')} IS NULL"),
     ("candidate_query", "min_length", "length(candidate_query) < 1")]))
 cte("sig_issues", ["faulty_signals"], rules("faulty_signals", "signals", "run_id", [
     ("kind", "enum", "kind = 'rumour'"), ("title", "min_length", "title = ''"), ("url", "http_url", f"NOT {_http('url')}"), ("score", "required", "score IS NULL"),
     ("score", "finite", "isnan(score)"), ("score", "minimum", "score < 0"), ("score", "maximum", "score > 1"), ("published_at", "required", "published_at IS NULL"),
-    ("window_hours", "const", "window_hours <> 48"), ("repo", "paired", "(repo IS NULL) <> (reported_daily_growth IS NULL)"),
+    ("window_hours", "minimum", "window_hours < 1"), ("window_hours", "maximum", "window_hours > 720"), ("repo", "paired", "(repo IS NULL) <> (reported_daily_growth IS NULL)"),
     ("repo", "required_if", "repo IS NULL AND kind = 'ranking'"), ("evidence", "min_items", "len(evidence) < 1")]))
 SQL["contract_issues"] = query(["snap_issues"], "SELECT scope, kind, key, path, rule FROM snap_issues")
 SQL["signal_contract_issues"] = query(["sig_issues"], "SELECT scope, kind, key, path, rule FROM sig_issues")
 cte("all_issues", ["snap_issues", "sig_issues"], "SELECT * FROM snap_issues UNION ALL SELECT * FROM sig_issues")
 SQL["bounded_contract_report"] = query(["all_issues"], """
-SELECT scope, kind, key, path, rule, issue_no FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY path, rule, key)::INT AS issue_no FROM all_issues) i WHERE issue_no <= 50
-UNION ALL SELECT scope, 'report', (count(*) - 50) || ' more', '/', 'overflow', 51 FROM all_issues GROUP BY scope HAVING count(*) > 50""")
+SELECT scope, kind, key, path, rule, issue_no FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY path, rule, key)::INT AS issue_no FROM all_issues) i""")
 _stem = f"CASE WHEN schema_version = 2 THEN project_id ELSE {slug('repository')} END"
 cte("af", ["artifact_files"], f"""
 SELECT *, {_stem} AS stem, CASE WHEN schema_version = 2 THEN {carried_error('repository', 'project_id', 'project_id_version')} END AS carried,
@@ -226,7 +226,7 @@ SELECT h.*, coalesce(bad, 0) AS bad, coalesce(n, 0) AS n_fail FROM audit_headers
 audit("analysis_failures", ["fl"], found("fl", [("invalid_analysis_failure_rows", "NOT failures_is_list"), ("invalid_analysis_failure_row", "bad"), ("partial_static_analysis_failure", "n_fail")]))
 
 # recorded catalog: the job's rows with altered fields
-_no = "(substr({}, 2, 4)::INT * 4 + substr({}, 7)::INT - 1)".format
+_no = "(try_cast(substr({}, 2, 4) AS INT) * 4 + try_cast(substr({}, 7) AS INT) - 1)".format
 cte("recorded", ["catalog_rows"], """
 SELECT * REPLACE (
   (obs_count + CASE WHEN no % 6 = 1 AND position = 2 THEN 1 ELSE 0 END) AS obs_count, CASE WHEN no % 7 = 2 AND position = 3 THEN NULL ELSE long_term_evidence END AS long_term_evidence,

@@ -244,7 +244,7 @@ _ordered("ordered", "scored")
 _ordered("ordered100", "scored", 100)
 _ordered("targets", "scored_none", 5)
 SQL["balanced_order"] = query(["ordered100"], "SELECT capture_id, position, repo, daily, attention, readiness FROM ordered100")
-SQL["catalog_limit"] = query(["ordered100"], "SELECT capture_id, position, repo FROM ordered100 WHERE position <= 5")
+SQL["catalog_limit"] = query(["ordered100"], "SELECT capture_id, position, repo FROM ordered100 WHERE position <= 1")
 SQL["analysis_targets"] = query(["targets"], "SELECT capture_id, position, repo FROM targets")
 SQL["analysis_failures"] = query(["targets", "evidence_one"], """
 SELECT capture_id, position, repo, 'static inspection returned no evidence' AS error FROM targets
@@ -312,14 +312,14 @@ def dedup(expr):
 
 
 cte("terms0", ["told"], f"""
-SELECT *, list_concat([base_category], list_slice({_TOP}, 1, 4), CASE WHEN coalesce(language, '') <> '' THEN [language || ' project'] ELSE [] END) AS caps0,
+SELECT *, list_concat([base_category], {_TOP}, CASE WHEN coalesce(language, '') <> '' THEN [language || ' project'] ELSE [] END) AS caps0,
   list_concat([base_category], terms, {_TOP}) AS tt0 FROM told""")
-cte("terms1", ["terms0"], f"SELECT *, list_slice({dedup('caps0')}, 1, 5) AS own_caps, list_slice({dedup('tt0')}, 1, 16) AS own_terms FROM terms0")
+cte("terms1", ["terms0"], f"SELECT *, {dedup('caps0')} AS own_caps, {dedup('tt0')} AS own_terms FROM terms0")
 cte("terms2", ["terms1"], "SELECT *, list_concat(own_terms, coalesce(enr_task_terms, [])) AS tt1 FROM terms1")
 cte("catalog_rows", ["terms2"], f"""
 SELECT *, CASE WHEN has_enrichment THEN coalesce(nullif(enr_title, ''), split_part(repo, '/', 2)) ELSE split_part(repo, '/', 2) END AS title,
-  CASE WHEN has_enrichment THEN list_slice(CASE WHEN len(enr_capabilities) > 0 THEN enr_capabilities ELSE own_caps END, 1, 6) ELSE own_caps END AS capabilities,
-  CASE WHEN has_enrichment THEN list_slice({dedup('tt1')}, 1, 32) ELSE own_terms END AS task_terms,
+  CASE WHEN has_enrichment THEN CASE WHEN len(enr_capabilities) > 0 THEN enr_capabilities ELSE own_caps END ELSE own_caps END AS capabilities,
+  CASE WHEN has_enrichment THEN {dedup('tt1')} ELSE own_terms END AS task_terms,
   CASE WHEN has_enrichment THEN coalesce(nullif(enr_category, ''), base_category) ELSE base_category END AS category,
   CASE WHEN has_enrichment AND coalesce(enr_summary, '') <> '' THEN enr_summary
     ELSE coalesce(nullif(description, ''), 'No public description yet; inspect before judging what it does.') END AS project_description,

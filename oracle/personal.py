@@ -71,7 +71,7 @@ SELECT query_id, generation_id, text, list_filter([{_rules}], lambda x: x IS NOT
   list_concat(regexp_extract_all(lower(text), '[a-z0-9+#.]{{2,}}'), list_filter(string_split_regex(lower(text), '[\\s，。,.、/：:；;（）()]+'), lambda x: length(x) > 1)) AS toks
 FROM (SELECT *, {_norm('text')} AS nt FROM search_queries) q""")
 cte("qi", ["qi0"], f"""
-SELECT *, CASE WHEN len(caps) > 0 THEN list_slice(list_filter(caps, lambda x, i: list_position(caps, x) = i), 1, 6) ELSE {_lst(K.DEFAULT_CAPABILITIES)} END AS capabilities,
+SELECT *, CASE WHEN len(caps) > 0 THEN list_filter(caps, lambda x, i: list_position(caps, x) = i) ELSE {_lst(K.DEFAULT_CAPABILITIES)} END AS capabilities,
   list_filter(toks, lambda x, i: list_position(toks, x) = i) AS tokens FROM qi0""")
 SQL["query_intents"] = query(["qi"], f"SELECT query_id, {joined('rules')} AS rules, {joined('capabilities')} AS capabilities, {joined('tokens')} AS tokens FROM qi")
 cte("hay", ["served_catalog"], f"""
