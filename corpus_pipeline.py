@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from beaconry.llm import mixing, ngram_join, packing, quality, toxicity
 from beaconry.llm.common import stored, table
 
+#: Near duplicates share shingles of five words with a Jaccard similarity of at least 0.8.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose blended score calls them good."""
@@ -25,7 +28,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates; rows without an id belong to no group."""
-    groups = ngram_join.near_duplicates(docs)
+    groups = ngram_join.near_duplicates(docs, NEAR_WIDTH, NEAR_PERCENT)
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.filter("doc_id is null"))
 
