@@ -304,8 +304,8 @@ def audit_analysis_failures(headers: DataFrame, failures: DataFrame) -> DataFram
 
 # A16
 def audit_report(headers: DataFrame, snapshot: DataFrame, catalog: DataFrame, signals: DataFrame, sources: DataFrame, queue: DataFrame,
-                 status: DataFrame, found: DataFrame) -> DataFrame:
-    """One summary row per generation."""
+                 status: DataFrame, failures: DataFrame, found: DataFrame) -> DataFrame:
+    """One summary row per generation; ``found`` holds the rows of every check group."""
     observed = c("growth_kind") == "observed"
     value = F.when(observed, c("growth_value"))
     rows = per_generation(
@@ -323,6 +323,7 @@ def audit_report(headers: DataFrame, snapshot: DataFrame, catalog: DataFrame, si
         sources.groupBy(G).agg(F.count_if(c("state") == "healthy").alias("healthy_source_count"), F.count_if(c("state") == "failed").alias("failed_source_count")),
         queue.groupBy(G).agg(F.count("*").alias("queue_pending_count"),
                              F.count_if((c("kind") == "project") & (c("evidence_state") == "static_analysis_required")).alias("static_analysis_required_count")),
+        failures.groupBy(G).agg(F.count("*").alias("analysis_failure_count")),
         found.groupBy(G).agg(F.count_if(c("severity") == "error").alias("error_count"), F.count_if(c("severity") == "warning").alias("warning_count")))
     mode = (F.when(c("observed_project_count") == c("project_count"), "observed")
             .when(c("observed_project_count") > 0, "mixed_observation").otherwise("first_observation_proxy"))

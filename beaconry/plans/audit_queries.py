@@ -64,16 +64,40 @@ def references(t: Tables):
     return A.audit_references(t.audit_headers, t.audit_snapshot, t.audit_catalog, t.audit_rules, t.audit_artifacts)
 
 
-def cheap_issues(t: Tables):
-    """The checks the report counts."""
-    return A.union(counts(t), A.audit_query_health(t.audit_headers, t.audit_rules, t.audit_status), A.audit_tracks(t.audit_headers, t.audit_catalog),
-                   A.audit_sources(t.audit_headers, t.audit_sources))
+def presence(t: Tables):
+    return A.audit_presence(t.audit_headers, t.audit_inventory, ["snapshot", "catalog", "signals", "queue"])
+
+
+def query_health(t: Tables):
+    return A.audit_query_health(t.audit_headers, t.audit_rules, t.audit_status)
+
+
+def sources(t: Tables):
+    return A.audit_sources(t.audit_headers, t.audit_sources)
+
+
+def times(t: Tables):
+    """Time checks under the ids of the captures that the headers belong to."""
+    ids = t.audit_headers.select("generation_id", F.concat(F.lit("g"), "gno").alias("header_id"))
+    found = A.audit_times(t.generation_headers).withColumnRenamed("generation_id", "header_id")
+    return found.join(ids, "header_id").drop("header_id")
+
+
+def every_issue(t: Tables):
+    """The rows of all fifteen check groups; those that rebuild other results are written first, each as a job of its own."""
+    rebuilt = [t.once(f"_issues_{f.__name__}", lambda f=f: f(t)) for f in (heat, queue_rebuild, catalog_rebuild, growth)]
+    return A.union(presence(t), A.audit_shape(t.intake_documents, t.intake_rows), times(t), counts(t), uniqueness(t), references(t), query_health(t),
+                   A.audit_tracks(t.audit_headers, t.audit_catalog),
+                   A.audit_urls_scores(t.audit_headers, t.audit_catalog, t.audit_signals, t.audit_sources), sources(t),
+                   A.audit_analysis_failures(t.audit_headers, t.audit_failures), *rebuilt)
 
 
 def report(t: Tables):
-    heads = t.audit_headers.select("generation_id", F.col("signals_at").alias("snapshot_at"), F.col("signals_at").alias("catalog_at"),
-                                   F.lit(None).cast("string").alias("previous_at"))
-    return A.audit_report(heads, t.audit_snapshot, t.audit_catalog, t.audit_signals, t.audit_sources, t.audit_queue, t.audit_status, cheap_issues(t))
+    written = t.generation_headers.select(F.col("generation_id").alias("header_id"), "snapshot_at", "catalog_at")
+    heads = (t.audit_headers.select("generation_id", F.concat(F.lit("g"), "gno").alias("header_id")).join(written, "header_id", "left").drop("header_id")
+             .join(declared_previous(t), "generation_id", "left"))
+    return A.audit_report(heads, t.audit_snapshot, t.audit_catalog, t.audit_signals, t.audit_sources, t.audit_queue, t.audit_status, t.audit_failures,
+                          every_issue(t))
 
 
 def _no(col="capture_id"):
@@ -136,14 +160,18 @@ def catalog_rebuild(t: Tables):
     return A.audit_catalog_rebuild(heads, recorded_catalog(t), catalog(t).withColumn("generation_id", F.col("capture_id")), REBUILT)
 
 
-def growth(t: Tables):
+def declared_previous(t: Tables):
+    """The time of the capture before as recorded, wrong or absent here and there."""
     previous = C.previous_capture(t.captures).select("capture_id", "previous_ts")
     no = _no("generation_id")
     at = F.date_format("previous_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    heads = previous.withColumn("generation_id", F.col("capture_id")).select(
+    return previous.withColumn("generation_id", F.col("capture_id")).select(
         "generation_id", F.when(no % 11 == 6, "1980-01-01T00:00:00Z").when(no % 13 == 7, None).otherwise(at).alias("previous_at"))
+
+
+def growth(t: Tables):
     snapshot = t.repo_snapshot.withColumn("generation_id", F.col("capture_id"))
-    return A.audit_growth(heads, recorded_catalog(t).drop("capture_id"), snapshot, t.repo_snapshot)
+    return A.audit_growth(declared_previous(t), recorded_catalog(t).drop("capture_id"), snapshot, t.repo_snapshot)
 
 
 QUERIES = {
@@ -161,21 +189,22 @@ QUERIES = {
     "identity_contract_issues": lambda t: V.identity_contract_issues(t.artifact_files),
     "capture_required_fields": lambda t: V.capture_required_fields(t.capture_headers),
     "manifest_contract": lambda t: V.manifest_contract(t.manifest_artifacts, t.manifest_hashes, t.manifests),
-    "audit_presence": lambda t: A.audit_presence(t.audit_headers, t.audit_inventory, ["snapshot", "catalog", "signals", "queue"]),
+    "audit_presence": presence,
     "audit_shape": lambda t: A.audit_shape(t.intake_documents, t.intake_rows),
     "audit_times": lambda t: A.audit_times(t.generation_headers),
     "audit_counts": counts,
     "audit_uniqueness": uniqueness,
     "audit_references": references,
-    "audit_query_health": lambda t: A.audit_query_health(t.audit_headers, t.audit_rules, t.audit_status),
+    "audit_query_health": query_health,
     "audit_tracks": lambda t: A.audit_tracks(t.audit_headers, t.audit_catalog),
     "audit_heat": heat,
     "audit_urls_scores": lambda t: A.audit_urls_scores(t.audit_headers, t.audit_catalog, t.audit_signals, t.audit_sources),
-    "audit_sources": lambda t: A.audit_sources(t.audit_headers, t.audit_sources),
+    "audit_sources": sources,
     "audit_queue_rebuild": queue_rebuild,
     "audit_catalog_rebuild": catalog_rebuild,
     "audit_growth": growth,
     "audit_analysis_failures": lambda t: A.audit_analysis_failures(t.audit_headers, t.audit_failures),
+    "audit_issues": every_issue,
     "audit_report": report,
     "run_status": lambda t: A.run_status(report(t)),
 }

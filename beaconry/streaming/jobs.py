@@ -122,18 +122,23 @@ def stream_signals(raw: DataFrame, work: str) -> DataFrame:
 
 
 def stream_decisions(changes: DataFrame, work: str) -> DataFrame:
-    """First values and changed values, comparing each batch with the newest earlier decision of its keys."""
-    spark, path = changes.sparkSession, f"{work}/decisions"
+    """First values and changed values in the order of time, also when changes arrive late.
+
+    The changes are kept.  A batch decides the keys that it touches anew from all their changes, since a late one may
+    turn a later decision into a repetition; of each key the rows of the newest batch that touched it count.
+    """
+    spark, log, path = changes.sparkSession, f"{work}/changes", f"{work}/decisions"
+    _ensure(spark, log, DECISIONS)
     _ensure(spark, path, DECISIONS)
     keys = ["device_id", "project_slug"]
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("id", *keys, "value", "at_us").withColumn("_old", F.lit(False))
-        earlier = stored(batch.sparkSession, path, DECISIONS, batch_id).join(rows.select(*keys).distinct(), keys, "left_semi")
-        last = (earlier.groupBy(*keys).agg(F.max_by(F.struct("id", "value", "at_us"), F.struct("at_us", "id")).alias("_l"))
-                .select("_l.id", *keys, "_l.value", "_l.at_us", F.lit(True).alias("_old")))
-        decided = A.decision_events(rows.unionByName(last))
-        _save(decided.filter("NOT _old").select("id", *keys, "value", "at_us"), path, batch_id)
+        _save(batch.select("id", *keys, "value", "at_us"), log, batch_id)
+        known = stored(batch.sparkSession, log, DECISIONS, batch_id + 1)
+        touched = known.join(batch.select(*keys).distinct(), keys, "left_semi")
+        _save(A.decision_events(touched).select("id", *keys, "value", "at_us"), path, batch_id)
 
     run_available(changes, work, decide)
-    return stored(spark, path, DECISIONS)
+    rows = spark.read.schema(f"{DECISIONS}, batch_id BIGINT").parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, [*keys, "batch_id"], "left_semi").drop("batch_id")

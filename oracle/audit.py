@@ -277,16 +277,24 @@ FROM (SELECT DISTINCT generation_id, no FROM rq) g""")
 audit("queue_rebuild", ["q12"], found("q12", [
     ("invalid_queue_kind", "kinds"), ("pending_deep_analysis_mismatch", "no % 8 = 3"), ("stale_queue_items", "stale > 0"), ("completed_project_count_mismatch", "no % 8 = 1"),
     ("completed_signal_count_mismatch", "no % 8 = 2"), ("deep_analysis_without_current_evidence", "deep_open"), ("current_enrichment_not_applied", "not_applied")]))
-cte("some_issues", ["issues_counts", "issues_query_health", "issues_tracks", "issues_sources"],
-    " UNION ALL ".join(f"SELECT * FROM issues_{n}" for n in ("counts", "query_health", "tracks", "sources")))
+_GROUPS = ["presence", "shape", "counts", "uniqueness", "references", "query_health", "tracks", "heat", "urls_scores", "sources", "queue_rebuild", "catalog_rebuild",
+           "growth", "analysis_failures"]
+cte("every_issue", [f"issues_{n}" for n in [*_GROUPS, "times"]] + ["audit_headers"],
+    " UNION ALL ".join(f"SELECT generation_id, severity, code, n FROM issues_{n}" for n in _GROUPS)
+    + " UNION ALL SELECT h.generation_id, severity, code, n FROM issues_times t JOIN audit_headers h ON t.generation_id = 'g' || h.gno")
+SQL["audit_issues"] = query(["every_issue"], "SELECT generation_id, severity, code, n FROM every_issue")
 _obs = "growth_kind = 'observed'"
-cte("report", ["some_issues", "ac", "qh", "so", "audit_catalog", "audit_queue"], f"""
-SELECT a.generation_id, a.signals_at AS snapshot_at, a.signals_at AS catalog_at, NULL::VARCHAR AS previous_at, a.n_snapshot AS repository_count, c.*, qh.ok AS successful_query_count, qh.bad AS failed_query_count,
+cte("said_before", ["caps"], f"""
+SELECT capture_id, CASE WHEN no % 11 = 6 THEN '1980-01-01T00:00:00Z' WHEN no % 13 = 7 THEN NULL ELSE strftime(make_timestamp(prev), '%Y-%m-%dT%H:%M:%SZ') END AS previous_at
+FROM (SELECT *, {_no('capture_id', 'capture_id')} AS no, lag(captured_us) OVER (ORDER BY capture_no) AS prev FROM caps) c""")
+cte("report", ["every_issue", "ac", "qh", "so", "audit_catalog", "audit_queue", "audit_failures", "generation_headers", "said_before"], f"""
+SELECT a.generation_id, g.snapshot_at, g.catalog_at, p.previous_at,
+  (SELECT count(*) FROM audit_failures f WHERE f.generation_id = a.generation_id) AS analysis_failure_count, a.n_snapshot AS repository_count, c.*, qh.ok AS successful_query_count, qh.bad AS failed_query_count,
   a.n_signals AS signal_count, so.ok AS healthy_source_count, so.bad AS failed_source_count, a.n_queue AS queue_pending_count,
   (SELECT count(*) FROM audit_queue q WHERE q.generation_id = a.generation_id AND kind = 'project' AND evidence_state = 'static_analysis_required') AS static_analysis_required_count,
-  (SELECT count(*) FROM some_issues i WHERE i.generation_id = a.generation_id AND severity = 'error') AS error_count,
-  (SELECT count(*) FROM some_issues i WHERE i.generation_id = a.generation_id AND severity = 'warning') AS warning_count
-FROM ac a JOIN qh ON qh.generation_id = a.generation_id JOIN so ON so.generation_id = a.generation_id JOIN (
+  (SELECT count(*) FROM every_issue i WHERE i.generation_id = a.generation_id AND severity = 'error') AS error_count,
+  (SELECT count(*) FROM every_issue i WHERE i.generation_id = a.generation_id AND severity = 'warning') AS warning_count
+FROM ac a LEFT JOIN generation_headers g ON g.generation_id = 'g' || a.gno LEFT JOIN said_before p ON p.capture_id = a.generation_id JOIN qh ON qh.generation_id = a.generation_id JOIN so ON so.generation_id = a.generation_id JOIN (
   SELECT generation_id AS gid, count(*) AS project_count, count(*) FILTER (WHERE analysis_state = 'deep') AS deep_analysis_count, count(*) FILTER (WHERE {_obs}) AS observed_project_count,
     count(*) FILTER (WHERE {_obs} AND growth_value > 0) AS positive_growth_count, count(*) FILTER (WHERE {_obs} AND growth_value = 0) AS flat_growth_count,
     count(*) FILTER (WHERE {_obs} AND growth_value < 0) AS negative_growth_count, coalesce(sum(growth_value) FILTER (WHERE {_obs}), 0)::BIGINT AS observed_net_star_change,

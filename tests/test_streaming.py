@@ -40,3 +40,16 @@ def test_decisions_match_batch(spark, tmp_path):
     rows.coalesce(1).write.parquet(folder)
     got = J.stream_decisions(stream(spark, folder, rows.schema), str(tmp_path / "out"))
     assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in A.decision_events(rows).collect())
+
+
+def test_late_decisions_match_batch(spark, tmp_path):
+    schema = "id long, device_id string, project_slug string, value string, at_us long"
+    rows = [(1, "d", "p", "useful", 10), (2, "d", "p", "reuse", 30), (3, "d", "p", "useful", 20), (4, "d", "q", "reuse", 5), (5, "d", "p", "unsure", 1), (6, "e", "p", "useful", 7)]
+    folder = str(tmp_path / "in")
+    for row in rows:  # one file and so one batch each, the third and fifth late
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+    got = J.stream_decisions(stream(spark, folder, schema), str(tmp_path / "out"))
+    want = A.decision_events(spark.createDataFrame(rows, schema))
+    cols = ["id", "device_id", "project_slug", "value", "at_us"]
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+    assert sorted(r["id"] for r in got.collect()) == [1, 2, 4, 5, 6]
