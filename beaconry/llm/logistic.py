@@ -45,6 +45,6 @@ def fit_gradient(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, st
     return w
 
 
-def log_loss(p: np.ndarray, y: np.ndarray) -> float:
+def log_loss(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
     p = np.clip(p, 1e-6, 1 - 1e-6)
-    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    return float(-np.average(y * np.log(p) + (1 - y) * np.log(1 - p), weights=weight))

@@ -5,11 +5,16 @@ by default of one word each, so that the neighbours' noise stays out.  Each wind
 that the toxic dictionary saves are the window's gain.  A fixed pad that both dictionaries hold is added to each window,
 so that the cost of having any match at all is always paid.  Gains above a
 threshold add up to the document's evidence, and a logistic curve turns evidence into a score.  Threshold and curve are
-calibrated on the labelled sample.
+calibrated on the labelled sample, each class weighed as often as it is among all labelled rows outside the held-out
+fold.
+
+Words that are harmless alone may be toxic together, so two words in a row are one more window where a toxic pair has
+their seam; its gain is what a dictionary of the toxic pairs saves over one that holds the same words apart.
 
 Both dictionaries begin with the same dictionary of ordinary language, so that everyday wording cancels out.  The toxic
-samples are the word stems of toxic rows that are tied to the label: by share of texts, by lift, and by a likelihood
-ratio over distinct contexts, which copies of a text do not inflate.
+samples are chosen, not raw toxic text: word stems, and pairs of words without such a stem, that are tied to the label
+by lift and by a likelihood ratio over texts and over distinct contexts, which copies of a text do not inflate.  There is no least share
+of texts; the ratio grows with the number of stems or pairs it is asked of.
 
 Fitting takes at most ``per_class`` labelled rows of each label, of at most ``max_chars`` characters, outside the
 held-out fold.  Scoring reads every whole text.
@@ -33,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.llm.logistic import fit_newton, log_loss, sigmoid
-from beaconry.llm.sampling import held_out, labelled_sample
+from beaconry.llm.sampling import held_out, label_counts, labelled_sample
 
 WINDOW_WORDS, PER_CLASS, MAX_CHARS = 1, 2500, 20_000
 BASE_BYTES, TOXIC_BYTES = 24 * 1024, 4 * 1024
-STEM, MIN_SUPPORT, MIN_LIFT, MIN_RATIO = 4, 0.01, 8.0, 30.0
+STEM, MIN_LIFT = 4, 8.0
 CACHED = 300_000
 _PAD = b" the pad both dictionaries hold, 0123456789 "
 _TERM = re.compile(r"[^\W_]+")
@@ -51,6 +56,9 @@ class ToxicityModel:
     slope: float
     intercept: float
     window: int = WINDOW_WORDS
+    seams: frozenset[str] = frozenset()
+    apart: bytes = b""
+    paired: bytes = b""
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return sigmoid(self.intercept + self.slope * np.log1p(evidence))
@@ -78,6 +86,7 @@ class GainMeter:
 
     def __init__(self, model: ToxicityModel):
         self.model, self.one, self.two, self.seen = model, _compressor(model.ordinary), _compressor(model.toxic), {}
+        self.apart, self.paired = (_compressor(model.apart), _compressor(model.paired)) if model.seams else (None, None)
 
     def gain(self, window: bytes) -> int:
         known = self.seen.get(window)
@@ -89,7 +98,18 @@ class GainMeter:
         return known
 
     def gains(self, text: str | None) -> list[int]:
-        return [self.gain(w) for w in windows(text, self.model.window)]
+        found = [self.gain(w) for w in windows(text, self.model.window)]
+        if self.model.seams and text:
+            terms = _TERM.findall(text.lower())
+            for one, two in zip(terms, terms[1:]):
+                if _seam(one, two) in self.model.seams:
+                    padded = f" {one[-2048:]} {two[:2048]} ".encode() + _PAD
+                    found.append(len(self.apart.compress(padded)) - len(self.paired.compress(padded)))
+        return found
+
+
+def _seam(one: str, two: str) -> str:
+    return f"{one[-3:]} {two[:3]}"
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -105,44 +125,75 @@ def _stems(term: str) -> Iterator[str]:
     yield from (term[:n] for n in range(min(STEM, len(term)), len(term) + 1))
 
 
-def _contexts(texts: list[str]) -> tuple[Counter, Counter, int]:
-    """Of each stem: texts that have it; distinct neighbourhoods it stands in.  And the number of texts counted.
+def _new_contexts(texts: list[str]) -> Iterator[tuple[list[str], list[tuple[str, str]]]]:
+    """Of each text its terms, and each term with the next of the neighbourhoods not seen before.
 
     A text most of whose neighbourhoods were seen before is a copy of earlier ones and is passed over.
     """
-    docs, around, seen, counted = Counter(), Counter(), set(), 0
+    seen: set[int] = set()
     for text in texts:
         terms = _TERM.findall(text.lower())
-        own = {hash(c): c[1] for c in zip(["", *terms[:-1]], terms, [*terms[1:], ""])}
+        own = {hash(c): c[1:] for c in zip(["", *terms[:-1]], terms, [*terms[1:], ""])}
         new = own.keys() - seen
         if 2 * len(new) < len(own):
             continue
-        docs.update({s for t in set(terms) for s in _stems(t)})
-        around.update(s for c in new for s in _stems(own[c]))
+        yield terms, [own[c] for c in new]
         seen |= new
+
+
+def _contexts(texts: list[str]) -> tuple[Counter, Counter, int]:
+    """Of each stem: texts that have it; distinct neighbourhoods it stands in.  And the number of texts counted."""
+    docs, around, counted = Counter(), Counter(), 0
+    for terms, new in _new_contexts(texts):
+        docs.update({s for t in set(terms) for s in _stems(t)})
+        around.update(s for term, _ in new for s in _stems(term))
         counted += 1
     return docs, around, counted
 
 
+def _ratio(k: int, m: int, nt: int, no: int) -> float:
+    """Likelihood ratio of k of nt against m of no; 0 if k is no more than expected."""
+    expected = (k + m) * nt / max(1, nt + no)
+    return 2 * (k * math.log(k / expected) + (m * math.log(m / (k + m - expected)) if m else 0.0)) if k > expected else 0.0
+
+
+def _least_ratio(asked: int) -> float:
+    """Chance lifts about one in e**(r / 2) candidates to a ratio of r, so of all asked hardly one gets so far."""
+    return 2 * math.log(max(1, asked)) + 4
+
+
 def toxic_stems(toxic: list[str], ordinary: list[str]) -> set[str]:
     """Stems of toxic texts that are tied to the label."""
     (td, tc, toxics), (od, oc, others) = _contexts(toxic), _contexts(ordinary)
     nt, no = sum(tc.values()), sum(oc.values())
-    out = set()
-    for stem, k in tc.items():
-        share, other = td[stem] / max(1, toxics), od[stem] / max(1, others)
-        if share < MIN_SUPPORT or share < MIN_LIFT * other:
-            continue
-        m = oc[stem]
-        expected = (k + m) * nt / max(1, nt + no)
-        ratio = 2 * (k * math.log(k / expected) + (m * math.log(m / (k + m - expected)) if m else 0.0))
-        if k > expected and ratio >= MIN_RATIO:
-            out.add(stem)
-    return out
+    least = _least_ratio(sum(k > 2 for k in tc.values()))
+    return {stem for stem, k in tc.items() if td[stem] / max(1, toxics) >= MIN_LIFT * od[stem] / max(1, others)
+            and min(_ratio(k, oc[stem], nt, no), _ratio(td[stem], od[stem], toxics, others)) >= least}
+
 
+def toxic_pairs(toxic: list[str], ordinary: list[str], tied: set[str]) -> set[tuple[str, str]]:
+    """Pairs of words in a row, neither with a stem of ``tied``, that are tied to the label; counted by texts that have them."""
+    def counts(texts: list[str], among: set[int] | None = None) -> tuple[Counter, int]:
+        found, counted = Counter(), 0
+        for _, new in _new_contexts(texts):
+            found.update({h for pair in set(new) if (h := hash(pair)) and (among is None or h in among)})
+            counted += 1
+        return found, counted
 
-def fit(rows: list[tuple[str | None, int]], window: int = WINDOW_WORDS) -> ToxicityModel:
-    """Dictionaries, threshold and curve from (text, label) rows; equal texts count once per label."""
+    tc, nt = counts(toxic)
+    often = {h for h, k in tc.items() if k > 2}
+    oc, no = counts(ordinary, often)
+    least = _least_ratio(len(often))
+    good = {h for h in often if tc[h] / max(1, nt) >= MIN_LIFT * oc[h] / max(1, no) and _ratio(tc[h], oc[h], nt, no) >= least}
+    return {pair for _, new in _new_contexts(toxic) for pair in new
+            if pair[1] and hash(pair) in good and not any(s in tied for t in pair for s in _stems(t))} if good else set()
+
+
+def fit(rows: list[tuple[str | None, int]], window: int = WINDOW_WORDS, log_odds: float | None = None) -> ToxicityModel:
+    """Dictionaries, threshold and curve from (text, label) rows; equal texts count once per label.
+
+    ``log_odds`` are those of a toxic row where the model is used; by default those of the rows given.
+    """
     rows = list(dict.fromkeys((t or "", int(y)) for t, y in rows))
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     if not toxic or not ordinary:
@@ -153,15 +204,25 @@ def fit(rows: list[tuple[str | None, int]], window: int = WINDOW_WORDS) -> Toxic
     tied = toxic_stems(toxic, ordinary)
     found = (max((s for s in _stems(t) if s in tied), key=len, default=None) for text in toxic for t in _TERM.findall(text.lower()))
     phrases = [f" {s}".encode() for s in found if s]
-    model = ToxicityModel(base, base + (_trained(phrases, TOXIC_BYTES) if phrases else b""), 0.0, 0.0, 0.0, window)
+    held = _trained(phrases, TOXIC_BYTES) if phrases else b""
+    # Training keeps what is frequent; the rarer windows are held as well.
+    held = b"".join(p for p in dict.fromkeys(phrases) if p not in held) + held
+    pairs = sorted(toxic_pairs(toxic, ordinary, tied))
+    apart = b"".join(f" {word} ".encode() for words in zip(*pairs) for word in words)
+    paired = b"".join(f" {one} {two} ".encode() for one, two in pairs)
+    model = ToxicityModel(base, base + held, 0.0, 0.0, 0.0, window, frozenset(_seam(*pair) for pair in pairs),
+                          base + apart, base + paired.rjust(len(apart)))
     meter = GainMeter(model)
     gains = [np.array(meter.gains(t) or [0]) for t, _ in rows]
     labels = np.array([y for _, y in rows], float)
-    best = np.inf
+    best, weight = np.inf, np.ones(len(labels))
+    if log_odds is not None:
+        weight[labels == 0] = len(toxic) / len(ordinary) / math.exp(log_odds)
+        weight *= len(weight) / weight.sum()
     for threshold in range(6):
         x = np.log1p(np.array([np.maximum(g - threshold, 0).sum() for g in gains], float))
-        slope, intercept = fit_newton(x[:, None], labels)
-        loss = log_loss(sigmoid(intercept + slope * x), labels)
+        slope, intercept = fit_newton(x[:, None], labels, weight=weight)
+        loss = log_loss(sigmoid(intercept + slope * x), labels, weight)
         if loss < best - 1e-9:
             best, model.threshold, model.slope, model.intercept = loss, float(threshold), float(slope), float(intercept)
     return model
@@ -169,7 +230,9 @@ def fit(rows: list[tuple[str | None, int]], window: int = WINDOW_WORDS) -> Toxic
 
 def fit_from(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> ToxicityModel:
     rows = labelled_sample(docs, labels, "toxic", per_class, max_chars, ["text"])
-    return fit([(r.text, r.label) for r in rows])
+    seen = label_counts(labels, "toxic")
+    log_odds = math.log(seen[1] / seen[0]) if seen.get(0) and seen.get(1) else None
+    return fit([(r.text, r.label) for r in rows], log_odds=log_odds)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
