@@ -6,8 +6,9 @@ rows it is most sure of, and the other view learns from them too.  A last curve,
 view was fitted on, weighs both views into one score.  The sample has as many rows of each label as it can, so the curve is
 then moved to the odds of a good row among all labelled rows outside the held-out fold.
 
-Fitting takes at most ``per_class`` labelled rows of each label and ``pool`` unlabelled rows, of at most ``max_chars``
-characters each, never from the held-out fold.  Scoring reads every whole text.
+Fitting takes at most ``per_class`` labelled rows of each label.  Each round of co-training scores all unlabelled rows on
+Spark and brings back the ``EXCHANGED`` rows that each view is most sure of, as features.  No row is left out for its
+length, and none of the held-out fold takes part.  Scoring reads every whole text.
 
 Short texts say little, so their content features are drawn towards the mean: a text of ``HALF_TRUST_BYTES`` by half.
 
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beaconry.llm.common import stored
 from beaconry.llm.hashing import texts_of, word_hashes
 from beaconry.llm.logistic import fit_gradient, fit_newton, sigmoid
-from beaconry.llm.sampling import held_out, label_counts, labelled_sample
+from beaconry.llm.sampling import held_out, label_counts, labelled_ids
 
-PAIR_BITS, WORD_BITS, META = 10, 10, 64 + 8 + 1
-PER_CLASS, POOL, MAX_CHARS, ROUNDS, EXCHANGED = 1500, 2000, 20_000, 4, 150
+PAIR_BITS, WORD_BITS, META = 11, 11, 64 + 8 + 1
+PER_CLASS, ROUNDS, EXCHANGED = 2000, 4, 150
 _PAIR_SLOT = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 _COLUMNS = ["text", "lang", "source", "n_chars"]
 #: A text of so many bytes is trusted half: its shares may be far from those of longer texts by chance alone.
@@ -106,38 +108,97 @@ def _fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float) -> Vi
     return View(fit_gradient(x, y, weight, l2), mean, scale)
 
 
-def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: tuple[np.ndarray, np.ndarray],
+class ArrayPool:
+    """Unlabelled rows given by their two views."""
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray]):
+        self.views = views
+
+    def sure(self, fitted: list[View], good: int, bad: int, taken: list[set]) -> list[dict]:
+        """For each view the rows that the other is most sure of and that are not ``taken``: id to label and features."""
+        out: list[dict] = [{}, {}]
+        for k in (0, 1) if len(self.views[0]) else ():
+            logit = fitted[k].logit(self.views[k])
+            order = np.argsort(logit, kind="stable")
+            sure = [(i, 1) for i in order[::-1] if i not in taken[1 - k] and logit[i] > 1.0][:good]
+            sure += [(i, 0) for i in order if i not in taken[1 - k] and logit[i] < -1.0][:bad]
+            out[1 - k].update((i, (label, self.views[1 - k][i])) for i, label in sure)
+        return out
+
+
+class SparkPool:
+    """All rows of ``docs``, scored where they lie; only the rows asked for reach the driver."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+
+    def sure(self, fitted: list[View], good: int, bad: int, taken: list[set]) -> list[dict]:
+        most = {1: good, 0: bad}
+
+        def run(batches):
+            # Of each view and label the surest rows of the task: more of them cannot be among the surest of all.
+            best: dict[tuple[int, int], dict[int, float]] = {(k, label): {} for k in (0, 1) for label in (0, 1)}
+            for batch in batches:
+                ids = batch.column("doc_id").to_pylist()
+                for at, views in _batch_views(batch):
+                    for k in (0, 1):
+                        logit = fitted[k].logit(views[k])
+                        for label, sign in ((1, 1.0), (0, -1.0)):
+                            held = best[k, label]
+                            for i in np.flatnonzero(sign * logit > 1.0):
+                                doc_id = ids[at + int(i)]
+                                if doc_id not in taken[1 - k]:
+                                    held[doc_id] = max(held.get(doc_id, 0.0), float(sign * logit[i]))
+                            if len(held) > most[label]:
+                                best[k, label] = dict(sorted(held.items(), key=lambda e: (-e[1], e[0]))[: most[label]])
+            rows = [(k, label, doc_id, far) for (k, label), held in best.items() for doc_id, far in held.items()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64()]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["k", "label", "doc_id", "far"])
+
+        found = stored(self.docs.mapInArrow(run, "k int, label int, doc_id long, far double"), "sure")
+        found = found.groupBy("k", "label", "doc_id").agg(F.max("far").alias("far"))
+        chosen = [[{r.doc_id for r in found.filter((F.col("k") == k) & (F.col("label") == label)).orderBy(F.desc("far"), "doc_id").limit(most[label]).collect()}
+                   for label in (0, 1)] for k in (0, 1)]
+        every = sorted(set().union(*chosen[0], *chosen[1]))
+        if not every:
+            return [{}, {}]
+        ids = self.docs.sparkSession.createDataFrame([(i,) for i in every], "doc_id long")
+        rows = (self.docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id")
+                .agg(F.min(F.struct(F.xxhash64("text").alias("h"), *_COLUMNS)).alias("m")).select("doc_id", *[f"m.{c}" for c in _COLUMNS]))
+        features = _collected(rows)
+        return [{i: (label, features[i][k]) for label in (0, 1) for i in sorted(chosen[1 - k][label])} for k in (0, 1)]
+
+
+def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | SparkPool,
             rounds: int = ROUNDS, exchanged: int = EXCHANGED, log_odds: float | None = None) -> QualityModel:
-    """Views of the labelled rows, their labels, a flag for rows kept for the blend, and views of the pool.
+    """Views of the labelled rows, their labels, a flag for rows kept for the blend, and the pool or its views.
 
     ``log_odds`` are those of a good row where the model is used; by default those of the labelled rows given.
     """
+    pool = ArrayPool(pool) if isinstance(pool, tuple) else pool
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 1.0
         return QualityModel(None, None, np.array([0, 0, math.log(max(share, 1e-9) / max(1 - share, 1e-9))]))
     own = ~fold if len(set(y[~fold].tolist())) == 2 else np.ones(len(y), bool)
-    given: list[dict[int, int]] = [{}, {}]  # for each view, pool rows and labels that the other is sure of
+    given: list[dict] = [{}, {}]  # for each view, labels and features of pool rows that the other is sure of
     fitted: list[View] = []
     for turn in range(rounds):
         fitted = []
         for k in (0, 1):
-            extra = list(given[k])
-            x = np.concatenate([views[k][own], pool[k][extra]]) if extra else views[k][own]
-            labels = np.concatenate([y[own], [given[k][i] for i in extra]])
+            extra = list(given[k].values())
+            x = np.concatenate([views[k][own], np.array([features for _, features in extra])]) if extra else views[k][own]
+            labels = np.concatenate([y[own], [label for label, _ in extra]])
             ones = max(1.0, labels.sum())
             balance = np.where(labels == 1, len(labels) / (2 * ones), len(labels) / (2 * max(1.0, len(labels) - ones)))
             trust = np.concatenate([np.ones(own.sum()), np.full(len(extra), 0.5)])
             fitted.append(_fit_view(x, labels, balance * trust, 1e-4))
-        if turn == rounds - 1 or not len(pool[0]):
+        if turn == rounds - 1:
             break
+        share = float(y[own].mean())
+        new = pool.sure(fitted, max(1, round(exchanged * share)), max(1, round(exchanged * (1 - share))), [set(g) for g in given])
         for k in (0, 1):
-            logit = fitted[k].logit(pool[k])
-            order = np.argsort(logit, kind="stable")
-            share = float(y[own].mean())
-            good, bad = max(1, round(exchanged * share)), max(1, round(exchanged * (1 - share)))
-            sure = [(i, 1) for i in order[::-1] if i not in given[1 - k] and logit[i] > 1.0][:good]
-            sure += [(i, 0) for i in order if i not in given[1 - k] and logit[i] < -1.0][:bad]
-            given[1 - k].update(sure)
+            given[k].update(new[k])
     last = fold if len(set(y[fold].tolist())) == 2 else np.ones(len(y), bool)
     both = np.column_stack([fitted[k].logit(views[k][last]) for k in (0, 1)])
     blend = fit_newton(both, y[last], l2=1.0)
@@ -147,23 +208,43 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarra
     return QualityModel(fitted[0], fitted[1], blend)
 
 
-def _views(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    raws = [np.frombuffer((r.text or "").encode(), np.uint8) for r in rows]
-    width = (1 << PAIR_BITS) + (1 << WORD_BITS) + 3
-    return (np.array([content_view(raw) for raw in raws], np.float32).reshape(-1, width),
-            np.array([metadata_view(raw, r.lang, r.source, r.n_chars) for raw, r in zip(raws, rows)], np.float32).reshape(-1, META))
+def _batch_views(batch: pa.RecordBatch):
+    """Both views of each 256 rows, and where these begin."""
+    langs, sources, lengths = (batch.column(c).to_pylist() for c in ("lang", "source", "n_chars"))
+    raws = texts_of(batch.column("text"))
+    for at in range(0, len(raws), 256):
+        part = range(at, min(len(raws), at + 256))
+        yield at, (np.array([content_view(raws[i]) for i in part]),
+                   np.array([metadata_view(raws[i], langs[i], sources[i], lengths[i]) for i in part]))
 
 
-def fit_from(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: int = POOL, max_chars: int = MAX_CHARS) -> QualityModel:
-    rows = labelled_sample(docs, labels, "quality", per_class, max_chars, _COLUMNS)
-    other = (docs.select("doc_id", *_COLUMNS).filter(F.col("doc_id").isNotNull() & ~held_out() & (F.coalesce(F.length("text"), F.lit(0)) <= max_chars))
-             .join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id"))
-    ids = other.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    unlabelled = docs.select("doc_id", *_COLUMNS).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).collect()
+def _collected(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Both views of each id of a bounded table, made where the texts lie."""
+    def run(batches):
+        for batch in batches:
+            views = [[row.tobytes() for _, both in _batch_views(batch) for row in both[k]] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.binary()) for v in views)], ["doc_id", "content", "metadata"])
+
+    found = rows.mapInArrow(run, "doc_id long, content binary, metadata binary").collect()
+    return {r.doc_id: (np.frombuffer(r.content, np.float32), np.frombuffer(r.metadata, np.float32)) for r in found}
+
+
+def fit_from(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_COLUMNS)
+    chosen = labelled_ids(docs, labels, "quality", per_class).collect()
+    known = {r.doc_id: r.label for r in sorted(chosen, key=lambda r: r.doc_id)}
+    ids = docs.sparkSession.createDataFrame([(i,) for i in known], "doc_id long")
+    rows = (docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id")
+            .agg(F.min(F.struct(F.xxhash64("text").alias("h"), *_COLUMNS)).alias("m")).select("doc_id", *[f"m.{c}" for c in _COLUMNS]))
+    features = _collected(rows)
+    width = (1 << PAIR_BITS) + (1 << WORD_BITS) + 3
+    views = tuple(np.array([features[i][k] for i in known], np.float32).reshape(-1, w) for k, w in ((0, width), (1, META)))
+    del features
+    unlabelled = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
     seen = label_counts(labels, "quality")
     log_odds = math.log(seen[1] / seen[0]) if seen.get(0) and seen.get(1) else None
-    fold = np.array([zlib.crc32(f"blend {r.doc_id}".encode()) % 4 == 0 for r in rows], bool)
-    return cotrain(_views(rows), np.array([r.label for r in rows], float), fold, _views(unlabelled), log_odds=log_odds)
+    fold = np.array([zlib.crc32(f"blend {i}".encode()) % 4 == 0 for i in known], bool)
+    return cotrain(views, np.array(list(known.values()), float), fold, SparkPool(unlabelled), log_odds=log_odds)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -172,12 +253,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            langs, sources, lengths = (batch.column(c).to_pylist() for c in ("lang", "source", "n_chars"))
-            raws, out = texts_of(batch.column("text")), []
-            for at in range(0, len(raws), 256):
-                part = range(at, min(len(raws), at + 256))
-                out.append(model.probability(np.array([content_view(raws[i]) for i in part]),
-                                             np.array([metadata_view(raws[i], langs[i], sources[i], lengths[i]) for i in part])))
+            out = [model.probability(*views) for _, views in _batch_views(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.empty(0))], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)

@@ -24,16 +24,22 @@ def label_counts(labels: DataFrame, label: str) -> dict[int, int]:
     return {r.label: r.n for r in known_labels(labels, label).groupBy("label").agg(F.count("*").alias("n")).collect()}
 
 
+def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """``doc_id, label`` of at most ``per_class`` ids of each label outside the held-out fold, of those that ``docs`` has.
+
+    Ids are taken in the order of a hash, so reruns agree.  An id with several labels has their maximum; null labels and
+    ids are left out.
+    """
+    known = known_labels(labels, label).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    parts = [known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for value in (0, 1)]
+    return parts[0].union(parts[1])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, columns: list[str]) -> list:
     """At most ``per_class`` rows of each label outside the held-out fold, each of at most ``max_chars`` characters.
 
-    Rows are taken in the order of a hash of their id, so reruns agree.  An id with several labels has their maximum;
-    null labels and ids are left out.  The chosen ids are a few thousand at most, so the join may be broadcast.
+    The chosen ids are a few thousand at most, so the join may be broadcast.
     """
-    known = known_labels(labels, label)
-    chosen = None
-    for value in (0, 1):
-        part = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen = part if chosen is None else chosen.union(part)
     rows = docs.select("doc_id", *columns).filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
+    chosen = labelled_ids(rows, labels, label, per_class)
     return rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).collect()
