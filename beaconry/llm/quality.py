@@ -127,37 +127,33 @@ class ArrayPool:
 
 
 class SparkPool:
-    """All rows of ``docs``, scored where they lie; only the rows asked for reach the driver."""
+    """The rows of ``docs`` whose id is not among ``known``, scored where they lie; only the rows asked for reach the driver.
 
-    def __init__(self, docs: DataFrame):
-        self.docs = docs
+    Texts are never shuffled: known ids are left out of the narrow scores.
+    """
+
+    def __init__(self, docs: DataFrame, known: DataFrame):
+        self.docs, self.known = docs, known
 
     def sure(self, fitted: list[View], good: int, bad: int, taken: list[set]) -> list[dict]:
         most = {1: good, 0: bad}
 
         def run(batches):
-            # Of each view and label the surest rows of the task: more of them cannot be among the surest of all.
-            best: dict[tuple[int, int], dict[int, float]] = {(k, label): {} for k in (0, 1) for label in (0, 1)}
             for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                for at, views in _batch_views(batch):
+                ids, far = batch.column("doc_id").to_pylist(), [[], []]
+                for _, views in _batch_views(batch):
                     for k in (0, 1):
-                        logit = fitted[k].logit(views[k])
-                        for label, sign in ((1, 1.0), (0, -1.0)):
-                            held = best[k, label]
-                            for i in np.flatnonzero(sign * logit > 1.0):
-                                doc_id = ids[at + int(i)]
-                                if doc_id not in taken[1 - k]:
-                                    held[doc_id] = max(held.get(doc_id, 0.0), float(sign * logit[i]))
-                            if len(held) > most[label]:
-                                best[k, label] = dict(sorted(held.items(), key=lambda e: (-e[1], e[0]))[: most[label]])
-            rows = [(k, label, doc_id, far) for (k, label), held in best.items() for doc_id, far in held.items()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64()]
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["k", "label", "doc_id", "far"])
+                        far[k].append(fitted[k].logit(views[k]))
+                for k in (0, 1):
+                    logit = np.concatenate(far[k]) if far[k] else np.empty(0)
+                    at = np.array([i for i in np.flatnonzero(np.abs(logit) > 1.0) if ids[i] not in taken[1 - k]], np.int64)
+                    columns = [pa.array(np.full(len(at), k, np.int32)), pa.array((logit[at] > 0).astype(np.int32)),
+                               pa.array([ids[i] for i in at], pa.int64()), pa.array(np.abs(logit[at]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["k", "label", "doc_id", "far"])
 
         found = stored(self.docs.mapInArrow(run, "k int, label int, doc_id long, far double"), "sure")
-        found = found.groupBy("k", "label", "doc_id").agg(F.max("far").alias("far"))
+        found = (found.join(self.known.select("doc_id").distinct(), "doc_id", "left_anti")
+                 .groupBy("k", "label", "doc_id").agg(F.max("far").alias("far")))
         chosen = [[{r.doc_id for r in found.filter((F.col("k") == k) & (F.col("label") == label)).orderBy(F.desc("far"), "doc_id").limit(most[label]).collect()}
                    for label in (0, 1)] for k in (0, 1)]
         every = sorted(set().union(*chosen[0], *chosen[1]))
@@ -240,11 +236,11 @@ def fit_from(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     width = (1 << PAIR_BITS) + (1 << WORD_BITS) + 3
     views = tuple(np.array([features[i][k] for i in known], np.float32).reshape(-1, w) for k, w in ((0, width), (1, META)))
     del features
-    unlabelled = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+    pool = SparkPool(docs.filter(F.col("doc_id").isNotNull() & ~held_out()), labels)
     seen = label_counts(labels, "quality")
     log_odds = math.log(seen[1] / seen[0]) if seen.get(0) and seen.get(1) else None
     fold = np.array([zlib.crc32(f"blend {i}".encode()) % 4 == 0 for i in known], bool)
-    return cotrain(views, np.array(list(known.values()), float), fold, SparkPool(unlabelled), log_odds=log_odds)
+    return cotrain(views, np.array(list(known.values()), float), fold, pool, log_odds=log_odds)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

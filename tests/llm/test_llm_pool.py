@@ -1,8 +1,8 @@
-"""Fitting sees all unlabelled rows and only labelled ids that the input has."""
+"""Co-training sees all unlabelled rows."""
 
 import numpy as np
 
-from beaconry.llm import quality, sampling
+from beaconry.llm import quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -20,16 +20,9 @@ def test_surest_rows_come_from_the_whole_pool(spark):
     views = [np.array([features[k][v] for k in range(200)]) for v in (0, 1)]
     y = np.array([k % 2 for k in range(200)], float)
     fitted = [quality._fit_view(x, y, y * 0 + 1, 1e-4) for x in views]
-    pool = quality.SparkPool(docs.filter("doc_id >= 200"))
+    pool = quality.SparkPool(docs, docs.filter("doc_id < 200"))
     found = pool.sure(fitted, 500, 500, [set(), {201}])
     assert {9_000, 9_001, 9_002} <= set(found[1])  # of 45,900 characters each
     assert 201 not in found[1] and all(label == i % 2 for i, (label, _) in found[1].items() if i < 9_000)
     few = pool.sure(fitted, 2, 3, [set(), set()])
     assert sorted(label for label, _ in few[1].values()) == [0, 0, 0, 1, 1]
-
-
-def test_sample_is_filled_from_ids_that_the_input_has(spark):
-    labels = spark.createDataFrame([(k, k % 2) for k in range(4_000)], "doc_id long, toxic int")
-    docs = spark.createDataFrame([(k, "text") for k in range(3_900, 4_000)], "doc_id long, text string")
-    rows = sampling.labelled_sample(docs, labels, "toxic", 20, 1_000, ["text"])
-    assert sorted(r.label for r in rows) == [0] * 20 + [1] * 20
