@@ -36,10 +36,20 @@ def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, per_class: int)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, columns: list[str]) -> list:
-    """At most ``per_class`` rows of each label outside the held-out fold, each of at most ``max_chars`` characters.
+    """At most ``per_class`` rows of each label outside the held-out fold, of ``max_chars`` characters in all per label.
 
+    Rows are taken in the order of a hash of their id; one longer than what is left of the characters is passed over.
     The chosen ids are a few thousand at most, so the join may be broadcast.
     """
-    rows = docs.select("doc_id", *columns).filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    chosen = labelled_ids(rows, labels, label, per_class)
-    return rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).collect()
+    chosen = labelled_ids(docs, labels, label, per_class)
+    rows = docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id")
+    sizes = (rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.xxhash64("text").alias("h"))).alias("m"))
+             .select("doc_id", "label", "m.n", "m.h").orderBy(F.xxhash64("doc_id"), "doc_id").collect())
+    left, taken = {0: max_chars, 1: max_chars}, []
+    for r in sizes:
+        if r.n <= left[r.label]:
+            left[r.label] -= r.n
+            taken.append((r.doc_id, r.h))
+    ids = docs.sparkSession.createDataFrame(taken, "doc_id long, h long")
+    held = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "h"]).dropDuplicates(["doc_id"])
+    return held.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", *columns, "label").collect()

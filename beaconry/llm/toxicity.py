@@ -16,8 +16,8 @@ samples are chosen, not raw toxic text: word stems, and pairs of words without s
 by lift and by a likelihood ratio over texts and over distinct contexts, which copies of a text do not inflate.  There is no least share
 of texts; the ratio grows with the number of stems or pairs it is asked of.
 
-Fitting takes at most ``per_class`` labelled rows of each label, of at most ``max_chars`` characters, outside the
-held-out fold.  Scoring reads every whole text.
+Fitting takes at most ``per_class`` labelled rows of each label, of ``max_chars`` characters in all per label, outside the
+held-out fold; long rows take part.  Scoring reads every whole text.
 
 Edge cases: null and empty texts have no window, hence no evidence, and get the score of no evidence.  Without labelled
 rows of both classes every row gets the share of toxic rows seen (0 if none).  Repeated rows each get their own row.
@@ -30,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from beaconry.llm.logistic import fit_newton, log_loss, sigmoid
 from beaconry.llm.sampling import held_out, label_counts, labelled_sample
 
-WINDOW_WORDS, PER_CLASS, MAX_CHARS = 1, 2500, 20_000
+WINDOW_WORDS, PER_CLASS, MAX_CHARS = 1, 4000, 16_000_000
 BASE_BYTES, TOXIC_BYTES = 24 * 1024, 4 * 1024
 STEM, MIN_LIFT = 4, 8.0
 CACHED = 300_000
@@ -199,8 +200,8 @@ def fit(rows: list[tuple[str | None, int]], window: int = WINDOW_WORDS, log_odds
     if not toxic or not ordinary:
         share = len(toxic) / len(rows) if rows else 0.0
         return ToxicityModel(b"", b"", 0.0, 0.0, math.log(max(share, 1e-9) / max(1 - share, 1e-9)), window)
-    samples = [w for t in ordinary for w in windows(t, window)]
-    base = _trained(samples[:: max(1, len(samples) // 40_000)], BASE_BYTES) + _PAD
+    step = max(1, sum(1 for t in ordinary for _ in windows(t, window)) // 40_000)
+    base = _trained(list(islice((w for t in ordinary for w in windows(t, window)), 0, None, step)), BASE_BYTES) + _PAD
     tied = toxic_stems(toxic, ordinary)
     found = (max((s for s in _stems(t) if s in tied), key=len, default=None) for text in toxic for t in _TERM.findall(text.lower()))
     phrases = [f" {s}".encode() for s in found if s]
@@ -213,7 +214,7 @@ def fit(rows: list[tuple[str | None, int]], window: int = WINDOW_WORDS, log_odds
     model = ToxicityModel(base, base + held, 0.0, 0.0, 0.0, window, frozenset(_seam(*pair) for pair in pairs),
                           base + apart, base + paired.rjust(len(apart)))
     meter = GainMeter(model)
-    gains = [np.array(meter.gains(t) or [0]) for t, _ in rows]
+    gains = [np.array([g for g in meter.gains(t) if g > 0], np.int32) for t, _ in rows]
     labels = np.array([y for _, y in rows], float)
     best, weight = np.inf, np.ones(len(labels))
     if log_odds is not None:
