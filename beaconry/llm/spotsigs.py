@@ -3,7 +3,7 @@
 Anchors are the ``ANCHORS`` most common words of the whole corpus.  At each anchor a chain is read: the next ``CHAIN``
 words that are not anchors, passing at most ``SKIPPED`` anchors before each of them.  Anchor and chain make a signature; the beginning
 of a text is an anchor too, so short texts have one.  A fingerprint is the sorted set of 32-bit signature hashes.  Two
-fingerprints are compared by Jaccard; candidates for similar pairs are sought within partitions of like set length.
+fingerprints are compared by Jaccard.  ``similar_pairs``, which no query calls, seeks pairs within partitions of like set length.
 
 Words are runs of letters and digits, lower-cased.  A break (full stop, question or exclamation mark, bar, line end)
 counts as a common word, so lists without common words have anchors.  Everything is text and array functions of Spark.
@@ -58,7 +58,7 @@ def fingerprint(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard of two signature sets; sets whose lengths leave no overlap are not compared."""
+    """Jaccard of two signature sets, whatever their lengths; an empty set is not intersected."""
     shared = F.size(F.array_intersect(a, b))
     return (F.when(F.greatest(F.size(a), F.size(b)) == 0, F.lit(1.0)).when(F.least(F.size(a), F.size(b)) == 0, F.lit(0.0))
             .otherwise(shared / (F.size(a) + F.size(b) - shared)))
