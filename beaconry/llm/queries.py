@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.llm import caps, chat, licenses, mixing, ngram_join, packing, quality, spotsigs, toxicity, warc
+from beaconry.llm import caps, chat, licenses, mixing, ngram_join, packing, quality, repair, spotsigs, toxicity, warc
 from beaconry.llm.common import table
 from beaconry.llm.sql import SQL  # noqa: F401
 
@@ -51,5 +51,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))[0]
+
+
 QUERIES = {f.__name__: f for f in (op1_embedding_caps, op2_license_scan, op3_toxicity, op4_warc_archives, op5_best_fit_packing, op6_spot_signatures, op7_ngram_jaccard_join,
-                                   op8_quality_classifier, op9_chat_formatting, op10_source_mixing)}
+                                   op8_quality_classifier, op9_chat_formatting, op10_source_mixing, op13_conversation_repair)}

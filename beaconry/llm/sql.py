@@ -50,4 +50,64 @@ summed AS (
 SELECT doc_id, size, source_size, target, ((upto // 1000000 - (upto - units) // 1000000) * size)::BIGINT AS taken FROM summed
 """
 
-SQL = {"op9_chat_formatting": OP9, "op10_source_mixing": OP10.format(documents="documents")}
+OP13 = r"""
+WITH RECURSIVE bit AS (SELECT CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS x, v FROM (SELECT range AS v FROM range(256))),
+grind AS (
+  SELECT 0 AS i, v, v AS x FROM bit
+  UNION ALL SELECT i + 1, v, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM grind WHERE i < 8),
+crc AS (SELECT list(x ORDER BY v) AS t FROM grind WHERE i = 8),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+coded AS (
+  SELECT r.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT)),
+         lambda a, b: xor(a >> 8, t[(xor(a & 255, b) + 1)::INT])), 4294967295) % 20 AS kind FROM raw r, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM coded, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS k,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged),
+turns AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (k > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id),
+inserted(p, q, edits, said, price) AS (VALUES
+  (0, 0, '', '', 0), (0, 2, 'I', chr(10) || 'user:', 3), (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 6),
+  (1, 1, '', '', 0), (1, 2, 'I', chr(10) || 'user:', 3), (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 6),
+  (2, 2, '', '', 0), (2, 3, 'I', chr(10) || 'assistant:', 3), (3, 3, '', '', 0), (3, 2, 'I', chr(10) || 'user:', 3)),
+edit(q, letter, initial, r, role) AS (VALUES
+  (0, 'D', NULL, 0, NULL), (1, 'D', NULL, 1, NULL), (2, 'D', NULL, 2, NULL), (3, 'D', NULL, 3, NULL),
+  (0, 'K', 's', 1, NULL), (0, 'K', 'u', 2, NULL), (1, 'K', 'u', 2, NULL), (2, 'K', 'a', 3, NULL), (3, 'K', 'u', 2, NULL),
+  (0, 'R', NULL, 2, 'user'), (1, 'R', NULL, 2, 'user'), (3, 'R', NULL, 2, 'user'), (2, 'R', NULL, 3, 'assistant')),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS k, 0 AS p, 0 AS cost, '' AS audit, '' AS said FROM counts
+  UNION ALL
+  SELECT conv_id, k, r, cost, audit, said FROM (
+    SELECT t.conv_id, t.k, e.r, w.cost + i.price + CASE e.letter WHEN 'D' THEN 4 ELSE CASE e.letter WHEN 'R' THEN 3 ELSE 0 END
+             + CASE t.fault WHEN 'truncated' THEN 3 ELSE 0 END END AS cost,
+           w.audit || i.edits || e.letter AS audit,
+           w.said || i.said || CASE e.letter WHEN 'D' THEN '' ELSE chr(10) || coalesce(e.role, t.role) || ':' || t.text END AS said
+    FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.k = w.k + 1
+    JOIN inserted i ON i.p = w.p JOIN edit e ON e.q = i.q
+    WHERE (e.initial IS NULL OR left(t.role, 1) = e.initial) AND (e.letter = 'D' OR t.fault NOT IN ('blank', 'duplicate')))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, k, r ORDER BY cost, audit) = 1),
+ended AS (
+  SELECT c.*, w.cost + i.price AS cost, w.audit || i.edits AS audit, w.said || i.said AS said
+  FROM counts c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.k = c.n JOIN inserted i ON i.p = w.p AND i.q IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY w.cost + i.price, w.audit || i.edits) = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(substr(said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+SQL = {"op9_chat_formatting": OP9, "op10_source_mixing": OP10.format(documents="documents"),
+       "op13_conversation_repair": OP13}
