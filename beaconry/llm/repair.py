@@ -262,8 +262,10 @@ def marked(rows: DataFrame) -> DataFrame:
     ended = F.rtrim("text", F.lit(BLANKS))
     alone = (F.when(F.col("lost"), LOST).when(ended == "", BLANK).when(~F.right(ended, F.lit(1)).isin(".", "!", "?"), TRUNCATED).otherwise(SOUND))
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.length("role").cast("string"), "role", "text"), 256)
-    rows = rows.withColumn("alone", alone).drop("lost").withColumn("digest", F.when(F.col("alone").isin(SOUND, TRUNCATED), key))
-    repeated = (rows.filter("digest is not null").groupBy("digest")
+    # Rows that cannot repeat anything get keys of their own turn, so that they do not meet in one task.
+    own = F.concat_ws(":", F.lit("own"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("turn").cast("string"))
+    rows = rows.withColumn("alone", alone).drop("lost").withColumn("digest", F.when(F.col("alone").isin(SOUND, TRUNCATED), key).otherwise(own))
+    repeated = (rows.filter(F.col("alone").isin(SOUND, TRUNCATED)).groupBy("digest")
                 .agg(F.count("*").alias("n"), F.bool_or(F.col("turn").isNull()).alias("from_null"), F.min("turn").alias("first"))
                 .filter("n > 1").drop("n"))
     later = F.coalesce(F.col("turn").isNotNull() & (F.col("from_null") | (F.col("turn") > F.col("first"))), F.lit(False))
