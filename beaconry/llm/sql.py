@@ -50,6 +50,26 @@ summed AS (
 SELECT doc_id, size, source_size, target, ((upto // 1000000 - (upto - units) // 1000000) * size)::BIGINT AS taken FROM summed
 """
 
+OP12 = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+known AS (SELECT k, doc_id, terms, len(terms) AS n FROM words WHERE len(terms) > 0),
+total AS (SELECT count(*) AS n, sum(n)::BIGINT AS l FROM known),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+vectors AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM known) GROUP BY k, term HAVING term IN (SELECT term FROM asked)),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(t.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM vectors, total t GROUP BY term),
+scored AS (
+  SELECT a.item_id, v.k, any_value(d.doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * d.n * t.n) // t.l))))::BIGINT AS score
+  FROM asked a JOIN vectors v USING (term) JOIN weights USING (term) JOIN known d ON d.k = v.k, total t GROUP BY a.item_id, v.k)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
 OP13 = r"""
 WITH RECURSIVE bit AS (SELECT CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS x, v FROM (SELECT range AS v FROM range(256))),
 grind AS (
@@ -110,4 +130,4 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON o.conv_
 """
 
 SQL = {"op9_chat_formatting": OP9, "op10_source_mixing": OP10.format(documents="documents"),
-       "op13_conversation_repair": OP13}
+       "op12_ranked_search": OP12, "op13_conversation_repair": OP13}
