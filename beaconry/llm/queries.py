@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.llm import caps, chat, fptree, licenses, mixing, ngram_join, packing, quality, repair, spotsigs, toxicity, warc
+from beaconry.llm import caps, chat, fptree, lexicon, licenses, mixing, ngram_join, packing, quality, repair, spotsigs, toxicity, warc
 from beaconry.llm.common import table
 from beaconry.llm.sql import SQL  # noqa: F401
 
@@ -51,6 +51,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fptree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,4 +64,4 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_caps, op2_license_scan, op3_toxicity, op4_warc_archives, op5_best_fit_packing, op6_spot_signatures, op7_ngram_jaccard_join,
-                                   op8_quality_classifier, op9_chat_formatting, op10_source_mixing, op12_ranked_search, op13_conversation_repair)}
+                                   op8_quality_classifier, op9_chat_formatting, op10_source_mixing, op11_bpe_transducer, op12_ranked_search, op13_conversation_repair)}
