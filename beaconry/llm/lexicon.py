@@ -2,7 +2,7 @@
 
 1. One scan counts blank-separated words: each task keeps a mergeable summary of bounded size (counts that outgrow it are
    lowered together, so a word is at most ``words seen / SUMMARY`` short), a combining aggregate adds them up.
-2. The ``LEXICON_WORDS`` most frequent become a minimal acyclic transducer: words that end alike share states.  Arcs carry
+2. The most frequent, at most ``LEXICON_WORDS`` in whole classes of like counts, become a minimal acyclic transducer: words that end alike share states.  Arcs carry
    how many words come before, so their sum along a path numbers the word, and the number leads to its token ids.
    The transducer is one flat file in the shared folder; Spark hands it to each executor, whose tasks map it into memory.
 3. A second scan walks all distinct words of a slice through the transducer at once, a byte at a time.  Unseen words are
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from beaconry.llm.common import shared_folder
+from beaconry.llm.common import shared_folder, stored
 
 TOKENIZER, LEXICON_WORDS, SUMMARY = "word_bpe_49k.json", 100_000, 200_000
 SLICE_CHARS, CACHED_WORDS = 2_000_000, 150_000
@@ -276,15 +276,21 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS, summary: int = S
                 if len(counts) > 2 * summary:
                     floor = sorted(counts.values(), reverse=True)[summary]
                     counts = Counter({w: n - floor for w, n in counts.items() if n > floor})
-        # What one task saw only once cannot rank among the frequent words of a large corpus, but may of a small one.
         best = counts.most_common(summary)
         for at in range(0, len(best), 10_000):
             part = best[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["word", "n"])
 
     found = docs.select("text").mapInArrow(run, "word string, n long").filter("word <> '' AND length(word) <= 64")
-    ordered = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [r.word for r in ordered.select("word").collect()]
+    counted = stored(found.groupBy("word").agg(F.sum("n").alias("n"))
+                     .withColumn("size", F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")), "words")
+    # Whole classes of counts from the top, so that no task and no sort sends more than the lexicon holds to the driver.
+    least, taken = None, 0
+    for r in counted.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():
+        if taken + r.n > words:
+            break
+        least, taken = r.size, taken + r.n
+    return [] if least is None else sorted(r.word for r in counted.filter(F.col("size") >= least).select("word").collect())
 
 
 def published(spark: SparkSession, data: bytes) -> str:
