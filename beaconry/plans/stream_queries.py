@@ -24,7 +24,8 @@ def actions(t: Tables):
     return stream(t.spark, t.sf_dir, "events", "action_events")
 
 
-def accepted_log(t: Tables):
+def judged(t: Tables):
+    """The accepted log and the conflicts of one run of the stream."""
     return J.stream_dedupe_actions(actions(t), work_dir(t, "dedupe"))
 
 
@@ -35,6 +36,14 @@ def action_state(t: Tables):
     return J.stream_action_state(log, work_dir(t, "state"))
 
 
+def weekly_metrics(t: Tables):
+    """Weeks of the accepted log; all its files are one batch here or many, so nothing counts as late."""
+    work = work_dir(t, "dedupe")
+    J.stream_dedupe_actions(actions(t), work)
+    log = t.spark.readStream.schema(f"{J.ACTION_LOG}, batch_id BIGINT").parquet(f"{work}/log")
+    return J.stream_weekly_metrics(log, work_dir(t, "weeks"))
+
+
 def generation(t: Tables):
     """Write the accepted log and states as one generation and read it back."""
     root = work_dir(t, "generations")
@@ -47,10 +56,10 @@ def generation(t: Tables):
 
 
 QUERIES = {
-    "stream_dedupe_actions": lambda t: accepted_log(t).select("id", "device_id", "idempotency_key"),
-    "stream_action_conflicts": lambda t: J.conflicts(t.action_events, accepted_log(t)).select("id"),
+    "stream_dedupe_actions": lambda t: judged(t)[0].select("id", "device_id", "idempotency_key"),
+    "stream_action_conflicts": lambda t: judged(t)[1].select("id"),
     "stream_action_state": action_state,
-    "stream_weekly_metrics": lambda t: J.stream_weekly_metrics(actions(t), work_dir(t, "weeks")),
+    "stream_weekly_metrics": weekly_metrics,
     "stream_signals": lambda t: J.stream_signals(stream(t.spark, t.sf_dir, "pages", "signals_raw"), work_dir(t, "signals")).select(
         "run_id", "url_key", "score", "arrivals", "kind", "title", "id", joined("sources")),
     "stream_decisions": lambda t: J.stream_decisions(stream(t.spark, t.sf_dir, "events", "feedback_changes"), work_dir(t, "decisions")).select(

@@ -1,16 +1,18 @@
 """Streaming twins of the action, decision and signal jobs.
 
 Each micro-batch writes its own ``batch_id`` partition and replaces it on a retry, so a restarted query neither
-loses nor repeats rows.  Readers see the union of the partitions.  Batches are small next to the log: a batch is
-first reduced by the batch job and then compared with what was written before on equality keys.
+loses nor repeats rows.  Readers see the union of the partitions, or the newest fold of them and what came after it.
+What a job must remember of earlier batches is in the state store or in such parts, not in the log.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from beaconry.operators import actions as A
@@ -37,6 +39,27 @@ def _ensure(spark: SparkSession, path: str, schema: str) -> None:
     (spark.createDataFrame([], f"{schema}, batch_id BIGINT").write.mode("append").partitionBy("batch_id").parquet(path))
 
 
+def read_folded(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The newest fold below ``path`` and the batches after it; earlier parts are of no more use."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/folds")
+    system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(f.getPath().getName().split("=")[1]) for f in system.listStatus(files) if system.exists(f.getPath().suffix("/_SUCCESS"))] if system.exists(files) else []
+    upto = max((n for n in done if before is None or n < before), default=None)
+    recent = spark.read.schema(f"{schema}, batch_id BIGINT").option("ignoreMissingFiles", "true").parquet(f"{path}/batches") if system.exists(files.getParent().suffix("/batches")) \
+        else spark.createDataFrame([], f"{schema}, batch_id BIGINT")
+    recent = recent if upto is None else recent.filter(c("batch_id") > upto)
+    recent = (recent if before is None else recent.filter(c("batch_id") < before)).drop("batch_id")
+    return recent if upto is None else recent.unionByName(spark.read.schema(schema).parquet(f"{path}/folds/upto={upto}"))
+
+
+def save_folded(rows: DataFrame, path: str, schema: str, batch_id: int, combine: Callable[[DataFrame], DataFrame], every: int = 16) -> None:
+    """Write a batch's part; every so many batches, combine all parts so far into a fold that replaces them for readers."""
+    _save(rows.select(*[f.split()[0] for f in schema.split(", ")]), f"{path}/batches", batch_id)
+    if batch_id % every == every - 1:
+        folded = combine(read_folded(rows.sparkSession, path, schema, batch_id + 1))
+        folded.select(*[f.split()[0] for f in schema.split(", ")]).write.mode("overwrite").parquet(f"{path}/folds/upto={batch_id}")
+
+
 def run_available(stream: DataFrame, work: str, on_batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Process everything that is available and stop."""
     query = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{work}/offsets")
@@ -45,29 +68,49 @@ def run_available(stream: DataFrame, work: str, on_batch: Callable[[DataFrame, i
     return query
 
 
-def stream_dedupe_actions(events: DataFrame, work: str) -> DataFrame:
-    """Accepted log: the first event of every (device, key); replays and conflicts stay out."""
-    spark, log = events.sparkSession, f"{work}/log"
-    _ensure(spark, log, ACTION_LOG)
+def _first_of_key(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Status of the new events of one (device, key); the state holds the first project and action."""
+    rows = pd.concat(frames).sort_values(["at_us", "id"], kind="stable")
+    first = state.get if state.exists else None
+    status = []
+    for project, action in zip(rows["project_slug"], rows["action"]):
+        if first is None:
+            first = (project, action)
+            state.update(first)
+            status.append("recorded")
+        else:
+            status.append("replayed" if first == (project, action) else "conflict")
+    yield rows.assign(status=status)[[*_LOG_COLUMNS, "status"]]
+
 
-    def accept(batch: DataFrame, batch_id: int) -> None:
-        first = A.recorded_actions(batch.select("id", "device_id", "project_slug", "action", "at_us", "idempotency_key"))
-        seen = stored(batch.sparkSession, log, ACTION_LOG, batch_id).select("device_id", "idempotency_key")
-        _save(first.join(seen, ["device_id", "idempotency_key"], "left_anti"), log, batch_id)
+_LOG_COLUMNS = [f.split()[0] for f in ACTION_LOG.split(", ")]
 
-    run_available(events, work, accept)
-    return stored(spark, log, ACTION_LOG)
 
+def stream_dedupe_actions(events: DataFrame, work: str) -> tuple[DataFrame, DataFrame]:
+    """Accepted log and conflicts: the first event of every (device, key) is accepted, one that differs from it conflicts.
 
-def conflicts(events: DataFrame, log: DataFrame) -> DataFrame:
-    """Events whose key is in the log with another project or action."""
-    known = log.select("device_id", "idempotency_key", c("project_slug").alias("_p"), c("action").alias("_a"))
-    return (events.join(known, ["device_id", "idempotency_key"])
-            .filter((c("project_slug") != c("_p")) | (c("action") != c("_a"))).drop("_p", "_a"))
+    The state store keeps the first project and action of each key, so a batch costs what its own events cost and the
+    log is never read.  Among events of one batch the earliest is first, across batches the one that came first.
+    """
+    spark = events.sparkSession
+    paths = {"recorded": f"{work}/log", "conflict": f"{work}/conflicts"}
+    for path in paths.values():
+        _ensure(spark, path, ACTION_LOG)
+    judged = (events.select(*_LOG_COLUMNS).groupBy("device_id", "idempotency_key")
+              .applyInPandasWithState(_first_of_key, f"{ACTION_LOG}, status STRING", "project_slug STRING, action STRING", "append", GroupStateTimeout.NoTimeout))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        for status, path in paths.items():
+            _save(batch.filter(c("status") == status).drop("status"), path, batch_id)
+        batch.unpersist()
+
+    run_available(judged, work, save)
+    return stored(spark, paths["recorded"], ACTION_LOG), stored(spark, paths["conflict"], ACTION_LOG)
 
 
 def dedupe_within_watermark(events: DataFrame, delay: str = "3 days") -> DataFrame:
-    """State-store variant with bounded memory: replays later than the delay count as new."""
+    """Variant with bounded state: replays later than the delay count as new."""
     return events.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["device_id", "idempotency_key"])
 
 
@@ -78,33 +121,64 @@ STATE = ("device_id STRING, project_slug STRING, opened_us BIGINT, saved_us BIGI
 def stream_action_state(log: DataFrame, work: str) -> DataFrame:
     """Running state per (device, project): every field is a maximum, so partial states simply combine."""
     spark, path = log.sparkSession, f"{work}/state"
-    _ensure(spark, path, STATE)
+    times = [f"{a}_us" for a in A.ACTION_STAGES] + ["updated_us"]
 
-    def update(batch: DataFrame, batch_id: int) -> None:
-        _save(A.action_state(batch).select(*[f.split()[0] for f in STATE.split(", ")]), path, batch_id)
+    def combined(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("device_id", "project_slug").agg(
+            *[F.max(n).alias(n) for n in times], F.max_by("highest_stage", A.stage_rank(c("highest_stage"))).alias("highest_stage"))
 
-    run_available(log, work, update)
-    parts = stored(spark, path, STATE)
-    times = [f"{a}_us" for a in A.ACTION_STAGES] + ["updated_us"]
-    return parts.groupBy("device_id", "project_slug").agg(
-        *[F.max(n).alias(n) for n in times], F.max_by("highest_stage", A.stage_rank(c("highest_stage"))).alias("highest_stage"))
+    run_available(log, work, lambda batch, batch_id: save_folded(A.action_state(batch), path, STATE, batch_id, combined))
+    return combined(read_folded(spark, path, STATE))
 
 
-def weekly_windows(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Acted projects per device in seven-day windows that move by a day (approximate distinct count)."""
-    acted = events.filter(c("action").isin("tried", "cloned", "reused"))
-    return (acted.withWatermark("occurred_at", delay).groupBy(F.window("occurred_at", "7 days", "1 day"), "device_id")
-            .agg(F.approx_count_distinct("project_slug").alias("acted_projects"), F.count("*").alias("events")))
+WEEK_FLAGS = [*A.ACTION_STAGES, "acted"]
+WEEKS = "device_id STRING, as_of_us BIGINT, " + ", ".join(f"{f}_projects BIGINT" for f in WEEK_FLAGS)
 
 
-def stream_weekly_metrics(events: DataFrame, work: str) -> DataFrame:
-    """Closed windows, appended as the watermark passes them."""
-    query = (weekly_windows(events).writeStream.outputMode("append").format("parquet").option("path", f"{work}/weeks")
-             .option("checkpointLocation", f"{work}/offsets").trigger(availableNow=True).start())
-    query.awaitTermination()
-    rows = events.sparkSession.read.schema(
-        "window STRUCT<start: TIMESTAMP, end: TIMESTAMP>, device_id STRING, acted_projects BIGINT, events BIGINT").parquet(f"{work}/weeks")
-    return rows.select("device_id", F.unix_micros("window.end").alias("window_end_us"), "acted_projects", "events")
+def _seen_in_week(day: Column, at_midnight: Column) -> Column:
+    """The midnights whose closed seven days before hold an event of this day; one at midnight sees its own too."""
+    return F.transform(F.sequence(F.when(at_midnight, 0).otherwise(1), F.lit(7)), lambda k: day + F.make_dt_interval(k))
+
+
+def weekly_firsts(events: DataFrame, late_days: int = 3) -> DataFrame:
+    """Each (device, project, flag, midnight) once, when first seen; flags are the actions and ``acted``.
+
+    A day's repeated actions are dropped first, then each new one is spread over the midnights that see it.  Keys stay in
+    the state store for the week they matter in and ``late_days`` more; events later than that are left out.  Rows without a
+    device say that a day has events at all.
+    """
+    day = F.timestamp_seconds(F.floor(c("at_us") / A.DAY_US) * (A.DAY_US // 1_000_000))
+    edge = c("at_us") % A.DAY_US == 0
+    rows = events.select("device_id", "project_slug", "action", day.alias("day"), edge.alias("at_midnight"))
+    rows = rows.withWatermark("day", f"{late_days + 8} days").dropDuplicates(["device_id", "project_slug", "action", "day", "at_midnight"])
+    flags = F.when(c("action").isin("tried", "cloned", "reused"), F.array(c("action"), F.lit("acted"))).otherwise(F.array("action"))
+    seen = F.flatten(F.transform(flags, lambda f: F.transform(_seen_in_week(c("day"), c("at_midnight")), lambda m: F.struct(
+        c("device_id").alias("device_id"), c("project_slug").alias("project_slug"), f.alias("flag"), m.alias("as_of")))))
+    own = F.struct(F.lit(None).cast("string").alias("device_id"), F.lit(None).cast("string").alias("project_slug"), F.lit("day").alias("flag"), c("day").alias("as_of"))
+    spread = rows.select("day", F.explode(F.concat(seen, F.array(own))).alias("s")).select("day", "s.*")
+    return spread.dropDuplicatesWithinWatermark(["device_id", "project_slug", "flag", "as_of"])
+
+
+def stream_weekly_metrics(events: DataFrame, work: str, late_days: int = 3) -> DataFrame:
+    """Exact distinct projects per device in the closed seven days before each midnight of a day with events.
+
+    Every first sighting adds one to its midnight, so counts of a batch are added up with those of others, also while a
+    week is open.  Counts of sixteen batches are folded into one part.
+    """
+    spark, path = events.sparkSession, f"{work}/weeks"
+    counts = [f"{f}_projects" for f in WEEK_FLAGS]
+
+    def combined(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("device_id", "as_of_us").agg(*[F.sum(n).alias(n) for n in counts])
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.groupBy("device_id", F.unix_micros("as_of").alias("as_of_us")).agg(*[F.count_if(c("flag") == f).alias(f"{f}_projects") for f in WEEK_FLAGS])
+        save_folded(rows, path, WEEKS, batch_id, combined)
+
+    run_available(weekly_firsts(events, late_days), work, save)
+    rows = combined(read_folded(spark, path, WEEKS))
+    days = rows.filter("device_id IS NULL").select("as_of_us")
+    return rows.filter("device_id IS NOT NULL").join(days, "as_of_us", "left_semi")
 
 
 def stream_signals(raw: DataFrame, work: str) -> DataFrame:

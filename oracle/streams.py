@@ -7,6 +7,7 @@ SQL: dict[str, str] = {
     "stream_dedupe_actions": query(["log"], "SELECT id, device_id, idempotency_key FROM log"),
     "stream_action_conflicts": query(["arrivals"], "SELECT id FROM arrivals WHERE fp <> project_slug OR fa <> action"),
     "stream_action_state": actions.SQL["action_state"],
+    "stream_weekly_metrics": actions.SQL["weekly_action_metrics"],
     "stream_signals": query(["sig_merged"], "SELECT run_id, url_key, score, arrivals, kind, title, id, sources FROM sig_merged"),
     "stream_decisions": actions.SQL["decision_events"],
     "write_generation": query(["log", "state"], """

@@ -24,8 +24,9 @@ def test_log_and_state_match_batch(spark, tmp_path):
     folder = str(tmp_path / "in")
     for lo in range(0, 240, 80):  # files arrive in time order
         rows.filter(F.col("id").between(lo, lo + 79)).coalesce(1).write.mode("append").parquet(folder)
-    log = J.stream_dedupe_actions(stream(spark, folder, rows.schema), str(tmp_path / "log"))
+    log, conflicts = J.stream_dedupe_actions(stream(spark, folder, rows.schema), str(tmp_path / "log"))
     want = A.recorded_actions(rows)
+    assert sorted(r.id for r in conflicts.collect()) == sorted(r.id for r in A.dedupe_actions(rows).filter("status = 'conflict'").collect())
     assert sorted(log.select("device_id", "idempotency_key").collect()) == sorted(want.select("device_id", "idempotency_key").collect())
     state = J.stream_action_state(stream(spark, folder, rows.schema), str(tmp_path / "state"))
     cols = ["device_id", "project_slug", "highest_stage", "updated_us"]
@@ -53,3 +54,35 @@ def test_late_decisions_match_batch(spark, tmp_path):
     cols = ["id", "device_id", "project_slug", "value", "at_us"]
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
     assert sorted(r["id"] for r in got.collect()) == [1, 2, 4, 5, 6]
+
+
+def test_first_of_a_key_is_remembered_without_the_log(spark, tmp_path):
+    schema = "id long, device_id string, project_slug string, action string, at_us long, idempotency_key string"
+    batches = [[(1, "d", "p", "opened", 30, "k"), (2, "d", "q", "opened", 20, "k")], [(3, "d", "p", "opened", 10, "k"), (4, "d", "q", "opened", 90, "k"), (5, None, "p", "saved", 1, None)],
+               [(6, "d", "q", "saved", 91, "k"), (7, None, "p", "saved", 2, None), (8, "e", "p", "saved", 2, "k")]]
+    folder = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    log, conflicts = J.stream_dedupe_actions(stream(spark, folder, schema), str(tmp_path / "out"))
+    assert sorted(r.id for r in log.collect()) == [2, 5, 8]  # the earliest of a batch, then whoever came first
+    assert sorted(r.id for r in conflicts.collect()) == [1, 3, 6]
+
+
+def test_weeks_over_files_with_late_rows_match_batch(spark, tmp_path):
+    day = A.DAY_US
+    i = F.col("id")
+    rows = spark.range(400).select(
+        "id", F.concat(F.lit("d"), (i % 3).cast("string")).alias("device_id"), F.concat(F.lit("p"), (i * 7 % 11).cast("string")).alias("project_slug"),
+        F.element_at(F.array(*[F.lit(a) for a in A.ACTION_STAGES]), (i * 3 % 5 + 1).cast("int")).alias("action"),
+        # Days with gaps, some events at midnight itself; every fifth row comes three days late, twelve across a gap.
+        ((F.floor(i / 12) + F.floor(i / 100) * 9 + 19_000) * day + F.when(i % 8 == 0, 0).otherwise(i % 12 * 7_000_000)).alias("at_us"), F.concat(F.lit("key"), i.cast("string")).alias("idempotency_key"))
+    arrival = F.floor((i + F.when(i % 5 == 0, 36).otherwise(0)) / 20)
+    folder = str(tmp_path / "in")
+    parts = sorted({r.k for r in rows.select(arrival.alias("k")).collect()})
+    for k in parts:
+        rows.filter(arrival == k).coalesce(1).write.mode("append").parquet(folder)
+    assert len(parts) > 18  # more batches than one fold takes
+    got = J.stream_weekly_metrics(stream(spark, folder, rows.schema), str(tmp_path / "out"), late_days=12)
+    calendar = rows.select((F.floor(F.col("at_us") / day) * day).cast("bigint").alias("as_of_us")).distinct()
+    want = A.weekly_action_metrics(rows, calendar)
+    assert sorted(got.select(*want.columns).collect()) == sorted(want.collect()) and want.count() > 60
