@@ -5,7 +5,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.sources import audit_bindings  # noqa: F401  (adds its projections)
+from beaconry.sources import audit_bindings, document_samples  # noqa: F401  (add their projections)
 from beaconry.sources.bindings import bind
 
 

@@ -59,6 +59,9 @@ class SparkSql:
     def word(self, text, i):
         return f"element_at(split({text}, ' '), {i})"
 
+    def sha256(self, text):
+        return f"sha2({text}, 256)"
+
     def json_int(self, col, key):
         return f"CAST(get_json_object({col}, '$.{key}') AS BIGINT)"
 
@@ -121,6 +124,9 @@ class DuckSql(SparkSql):
     def word(self, text, i):
         return f"split_part({text}, ' ', {i})"
 
+    def sha256(self, text):
+        return f"sha256({text})"
+
     def json_int(self, col, key):
         return f"CAST(json_extract_string({col}, '$.{key}') AS BIGINT)"
 

@@ -1,6 +1,6 @@
 """Assembly of the checking SQL: named CTEs with dependencies, all materialized."""
 
-from beaconry.sources import audit_bindings  # noqa: F401  (adds its projections)
+from beaconry.sources import audit_bindings, document_samples  # noqa: F401  (add their projections)
 from beaconry.sources.bindings import LOGICAL, DuckSql
 
 D = DuckSql()
