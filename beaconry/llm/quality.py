@@ -99,10 +99,12 @@ class QualityModel:
 
 
 def _fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float) -> View:
+    """Fits on ``x``, which is scaled in place: no second copy of the sample is made."""
     x, trust = x[:, :-1], x[:, -1:]
     mean = x.mean(axis=0)
-    scale = np.maximum(x.std(axis=0), np.float32(0.01)) * np.float32(math.sqrt(x.shape[1]))
-    x = x - mean
+    x -= mean
+    spread = np.sqrt(sum((x[at : at + 256].astype(np.float64) ** 2).sum(axis=0) for at in range(0, len(x), 256)) / len(x)).astype(np.float32)
+    scale = np.maximum(spread, np.float32(0.01)) * np.float32(math.sqrt(x.shape[1]))
     x /= scale
     x *= trust
     return View(fit_gradient(x, y, weight, l2), mean, scale)
@@ -162,8 +164,8 @@ class SparkPool:
         ids = self.docs.sparkSession.createDataFrame([(i,) for i in every], "doc_id long")
         rows = (self.docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id")
                 .agg(F.min(F.struct(F.xxhash64("text").alias("h"), *_COLUMNS)).alias("m")).select("doc_id", *[f"m.{c}" for c in _COLUMNS]))
-        features = _collected(rows)
-        return [{i: (label, features[i][k]) for label in (0, 1) for i in sorted(chosen[1 - k][label])} for k in (0, 1)]
+        features, at = _collected(rows, every), {i: n for n, i in enumerate(every)}
+        return [{i: (label, features[k][at[i]]) for label in (0, 1) for i in sorted(chosen[1 - k][label])} for k in (0, 1)]
 
 
 def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | SparkPool,
@@ -183,7 +185,10 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarra
         fitted = []
         for k in (0, 1):
             extra = list(given[k].values())
-            x = np.concatenate([views[k][own], np.array([features for _, features in extra])]) if extra else views[k][own]
+            x = np.empty((int(own.sum()) + len(extra), views[k].shape[1]), np.float32)
+            np.take(views[k], np.flatnonzero(own), axis=0, out=x[: int(own.sum())])
+            for at, (_, features) in enumerate(extra, int(own.sum())):
+                x[at] = features
             labels = np.concatenate([y[own], [label for label, _ in extra]])
             ones = max(1.0, labels.sum())
             balance = np.where(labels == 1, len(labels) / (2 * ones), len(labels) / (2 * max(1.0, len(labels) - ones)))
@@ -214,15 +219,20 @@ def _batch_views(batch: pa.RecordBatch):
                    np.array([metadata_view(raws[i], langs[i], sources[i], lengths[i]) for i in part]))
 
 
-def _collected(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Both views of each id of a bounded table, made where the texts lie."""
+def _collected(rows: DataFrame, known: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of each of ``known``, in that order, made where the texts lie; they come to the driver a partition at a time."""
     def run(batches):
         for batch in batches:
             views = [[row.tobytes() for _, both in _batch_views(batch) for row in both[k]] for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.binary()) for v in views)], ["doc_id", "content", "metadata"])
 
-    found = rows.mapInArrow(run, "doc_id long, content binary, metadata binary").collect()
-    return {r.doc_id: (np.frombuffer(r.content, np.float32), np.frombuffer(r.metadata, np.float32)) for r in found}
+    place = {i: k for k, i in enumerate(known)}
+    out = tuple(np.empty((len(known), width), np.float32) for width in ((1 << PAIR_BITS) + (1 << WORD_BITS) + 3, META))
+    found = stored(rows.mapInArrow(run, "doc_id long, content binary, metadata binary"), "features")
+    for r in found.toLocalIterator():
+        for k in (0, 1):
+            out[k][place[r.doc_id]] = np.frombuffer(r[1 + k], np.float32)
+    return out
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
@@ -232,10 +242,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     ids = docs.sparkSession.createDataFrame([(i,) for i in known], "doc_id long")
     rows = (docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id")
             .agg(F.min(F.struct(F.xxhash64("text").alias("h"), *_COLUMNS)).alias("m")).select("doc_id", *[f"m.{c}" for c in _COLUMNS]))
-    features = _collected(rows)
-    width = (1 << PAIR_BITS) + (1 << WORD_BITS) + 3
-    views = tuple(np.array([features[i][k] for i in known], np.float32).reshape(-1, w) for k, w in ((0, width), (1, META)))
-    del features
+    views = _collected(rows, list(known))
     pool = SparkPool(docs.filter(F.col("doc_id").isNotNull() & ~held_out()), labels)
     seen = label_counts(labels, "quality")
     log_odds = math.log(seen[1] / seen[0]) if seen.get(0) and seen.get(1) else None

@@ -16,10 +16,9 @@ def test_surest_rows_come_from_the_whole_pool(spark):
     rows = [_doc(k, (good if k % 2 else bad) * (1 + k % 5)) for k in range(400)]
     rows += [_doc(9_000 + k, good * 900) for k in range(3)]
     docs = spark.createDataFrame(rows, DOCS)
-    features = quality._collected(docs.select("doc_id", *quality._COLUMNS))
-    views = [np.array([features[k][v] for k in range(200)]) for v in (0, 1)]
+    views = quality._collected(docs.filter("doc_id < 200").select("doc_id", *quality._COLUMNS), list(range(200)))
     y = np.array([k % 2 for k in range(200)], float)
-    fitted = [quality._fit_view(x, y, y * 0 + 1, 1e-4) for x in views]
+    fitted = [quality._fit_view(x.copy(), y, y * 0 + 1, 1e-4) for x in views]
     pool = quality.SparkPool(docs, docs.filter("doc_id < 200"))
     found = pool.sure(fitted, 500, 500, [set(), {201}])
     assert {9_000, 9_001, 9_002} <= set(found[1])  # of 45,900 characters each
