@@ -23,23 +23,23 @@ def fit_newton(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, weight: np.ndarra
     return w
 
 
-def fit_gradient(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, steps: int = 200) -> np.ndarray:
+def fit_gradient(x, y: np.ndarray, weight: np.ndarray, l2: float, steps: int = 200) -> np.ndarray:
     """Coefficients, the intercept last, by accelerated gradient steps; meant for thousands of scaled features.
 
-    Products are taken in the type of ``x``, so that no copy of it is made.
+    ``x`` has ``shape``, ``dtype``, ``x @ v`` and ``x.back(r)``, the transposed product, so no scaled copy need exist.
     """
     d, kind = x.shape[1], x.dtype
     w, v = np.zeros(d + 1), np.zeros(d + 1)
     norm = weight.sum()
     top = np.ones(d, kind)
     for _ in range(8):  # largest curvature, by power iteration
-        top = x.T @ (weight * (x @ top)).astype(kind)
+        top = x.back((weight * (x @ top)).astype(kind)).astype(kind)
         top /= np.linalg.norm(top) + 1e-12
     rate = 1.0 / (0.25 * (float((weight * (x @ top) ** 2).sum()) / norm + 1.0) + l2)
     for k in range(steps):
         p = sigmoid((x @ v[:d].astype(kind)).astype(float) + v[d])
         r = weight * (p - y) / norm
-        new = v - rate * np.append(x.T @ r.astype(kind) + l2 * v[:d], r.sum())
+        new = v - rate * np.append(x.back(r.astype(kind)) + l2 * v[:d], r.sum())
         v = new + k / (k + 3) * (new - w)
         w = new
     return w

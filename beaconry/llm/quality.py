@@ -98,16 +98,51 @@ class QualityModel:
         return sigmoid(np.column_stack([self.content.logit(content), self.metadata.logit(metadata)]) @ self.blend[:2] + self.blend[2])
 
 
-def _fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float) -> View:
-    """Fits on ``x``, which is scaled in place: no second copy of the sample is made."""
-    x, trust = x[:, :-1], x[:, -1:]
-    mean = x.mean(axis=0)
-    x -= mean
-    spread = np.sqrt(sum((x[at : at + 256].astype(np.float64) ** 2).sum(axis=0) for at in range(0, len(x), 256)) / len(x)).astype(np.float32)
-    scale = np.maximum(spread, np.float32(0.01)) * np.float32(math.sqrt(x.shape[1]))
-    x /= scale
-    x *= trust
-    return View(fit_gradient(x, y, weight, l2), mean, scale)
+class Scaled:
+    """Blocks of raw rows seen as one matrix that is centred, scaled and drawn to the mean by trust; nothing is copied.
+
+    ``share`` weighs rows in mean and spread; rows of weight 0 stay in their block and count for nothing.
+    """
+
+    def __init__(self, blocks: list[np.ndarray], share: np.ndarray):
+        self.blocks, self.dtype = [b[:, :-1] for b in blocks], np.float32
+        self.trust = np.concatenate([b[:, -1] for b in blocks]).astype(np.float64)
+        self.shape = (len(self.trust), self.blocks[0].shape[1])
+        self.mean = self._moment(share, np.zeros(self.shape[1], np.float32), 1) / share.sum()
+        spread = np.sqrt(self._moment(share, self.mean, 2) / share.sum())
+        self.scale = np.maximum(spread, 0.01) * math.sqrt(self.shape[1])
+
+    def _pieces(self, size: int):
+        begin = 0
+        for block in self.blocks:
+            for at in range(0, len(block), size):
+                part = block[at : at + size]
+                yield slice(begin + at, begin + at + len(part)), part
+            begin += len(block)
+
+    def _moment(self, share: np.ndarray, centre: np.ndarray, power: int) -> np.ndarray:
+        total = np.zeros(self.shape[1])
+        for rows, part in self._pieces(128):
+            total += share[rows] @ (part - centre).astype(np.float64) ** power
+        return total
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        slope = v / self.scale
+        out = np.concatenate([b @ slope.astype(np.float32) for b in self.blocks]).astype(np.float64)
+        return ((out - self.mean @ slope) * self.trust).astype(np.float32)
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """The transpose times ``r``."""
+        r, out, begin = r * self.trust, np.zeros(self.shape[1]), 0
+        for block in self.blocks:
+            out += block.T @ r[begin : begin + len(block)].astype(np.float32)
+            begin += len(block)
+        return (out - self.mean * r.sum()) / self.scale
+
+
+def _fit_view(blocks: list[np.ndarray], y: np.ndarray, weight: np.ndarray, l2: float) -> View:
+    x = Scaled(blocks, (weight > 0).astype(np.float64))
+    return View(fit_gradient(x, y, weight, l2), x.mean.astype(np.float32), x.scale.astype(np.float32))
 
 
 class ArrayPool:
@@ -185,15 +220,13 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarra
         fitted = []
         for k in (0, 1):
             extra = list(given[k].values())
-            x = np.empty((int(own.sum()) + len(extra), views[k].shape[1]), np.float32)
-            np.take(views[k], np.flatnonzero(own), axis=0, out=x[: int(own.sum())])
-            for at, (_, features) in enumerate(extra, int(own.sum())):
-                x[at] = features
-            labels = np.concatenate([y[own], [label for label, _ in extra]])
-            ones = max(1.0, labels.sum())
-            balance = np.where(labels == 1, len(labels) / (2 * ones), len(labels) / (2 * max(1.0, len(labels) - ones)))
-            trust = np.concatenate([np.ones(own.sum()), np.full(len(extra), 0.5)])
-            fitted.append(_fit_view(x, labels, balance * trust, 1e-4))
+            blocks = [views[k], np.array([features for _, features in extra], np.float32)] if extra else [views[k]]
+            labels = np.concatenate([y, [label for label, _ in extra]])
+            seen = np.concatenate([own, np.ones(len(extra), bool)])
+            ones = max(1.0, labels[seen].sum())
+            balance = np.where(labels == 1, seen.sum() / (2 * ones), seen.sum() / (2 * max(1.0, seen.sum() - ones)))
+            trust = np.concatenate([own.astype(float), np.full(len(extra), 0.5)])
+            fitted.append(_fit_view(blocks, labels, balance * trust, 1e-4))
         if turn == rounds - 1:
             break
         share = float(y[own].mean())
