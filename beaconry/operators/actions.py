@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from beaconry.constants import (
     ACTION_STAGES, FEEDBACK_VALUES, IDEMPOTENCY_PATTERN, LEGACY_MATCH_MICROS, RESERVED_KEY_PREFIX)
-from beaconry.operators.skew import previous_value
+from beaconry.operators.skew import exact_position, previous_value
 
 c = F.col
 DAY_US = 86_400_000_000
@@ -73,9 +73,9 @@ def action_projection(state: DataFrame) -> DataFrame:
 
 
 def state_order(state: DataFrame) -> DataFrame:
-    """States of each device, newest first, then by project."""
-    order = Window.partitionBy("device_id").orderBy(F.desc("updated_us"), "project_slug")
-    return state.withColumn("position", F.row_number().over(order))
+    """States of each device, newest first, then by project; day by day, so no task sorts a whole device."""
+    day = F.floor(c("updated_us") / DAY_US).cast("bigint")
+    return exact_position(state, ["device_id"], [F.desc("updated_us"), "project_slug"], [day], [F.desc("_b0")])
 
 
 def weekly_action_metrics(log: DataFrame, as_of: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry.functions.timefns import strict_time
+from beaconry.operators.skew import exact_position
 
 c = F.col
 REQUIRED_ARTIFACTS = ["snapshot", "catalog", "signals", "queue", "history"]
@@ -92,30 +95,40 @@ def commit_coherence(headers: DataFrame) -> DataFrame:
     return headers.select("generation_id", ok.alias("committed"), F.when(ok, c("snapshot_at")).alias("capture_at"))
 
 
-def publication_lineage(log: DataFrame) -> DataFrame:
+def publication_lineage(log: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Accepted publications: ready, no errors, built on the current generation (none before the first), published later.
 
-    Acceptance depends on what was accepted before, so the log of a dataset is folded in order.  A log holds
-    one short row per publication of that dataset.
+    While a generation is current, only entries built on it can be accepted, so the first later entry that passes its own
+    tests and names it as base follows it.  These links are followed from the first entry in rounds, twice as far each time;
+    places in the log and the current generation come from day buckets.  No task holds the log of a dataset.  ``cut``
+    writes what the next round reads.  Entries without an id are refused.
     """
-    entry = F.struct("created_us", "generation_id", "base_generation_id", "state", "error_count", "published_us")
-    logs = log.groupBy("dataset").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    start = F.struct(F.lit(None).cast("string").alias("cur"), F.lit(None).cast("bigint").alias("at"),
-                     F.array().cast("array<struct<generation_id:string,previous:string,accepted:boolean>>").alias("out"))
-
-    def step(acc, e):
-        ok = ((e["state"] == "ready") & (e["error_count"] == 0)
-              & e["base_generation_id"].eqNullSafe(acc["cur"]) & F.coalesce(e["published_us"] > acc["at"], acc["at"].isNull()))
-        row = F.struct(e["generation_id"].alias("generation_id"), acc["cur"].alias("previous"), ok.alias("accepted"))
-        return F.struct(F.when(ok, e["generation_id"]).otherwise(acc["cur"]).alias("cur"),
-                        F.when(ok, e["published_us"]).otherwise(acc["at"]).alias("at"),
-                        F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = logs.select("dataset", F.aggregate("entries", start, step)["out"].alias("out"))
-    rows = folded.select("dataset", F.posexplode("out").alias("log_no", "r")).select("dataset", "log_no", "r.*")
-    newest = Window.partitionBy("dataset")
-    last = F.max(F.when(c("accepted"), c("log_no"))).over(newest)
-    return rows.withColumn("current", c("accepted") & (c("log_no") == last))
+    order = ["created_us", "generation_id", "base_generation_id", "state", "error_count", "published_us"]
+    day = F.coalesce(F.floor(c("created_us") / 86_400_000_000).cast("bigint"), F.lit(-(2**40)))
+    named = log.withColumn("_set", F.coalesce(F.concat(F.lit("="), "dataset"), F.lit("")))
+    rows = exact_position(named, ["_set"], order, [day], ["_b0"], "log_no").withColumn("log_no", c("log_no") - 1).withColumn("_day", day)
+    rows = cut(rows.select("_set", "dataset", "_day", "log_no", "generation_id", "base_generation_id", "state", "error_count", "published_us"))
+    fit = rows.filter((c("state") == "ready") & (c("error_count") == 0) & c("generation_id").isNotNull())
+    built = fit.select("_set", c("log_no").alias("b"), c("base_generation_id").alias("id"), c("published_us").alias("later"))
+    links = (fit.select("_set", c("log_no").alias("a"), c("generation_id").alias("id"), c("published_us").alias("at")).join(built, ["_set", "id"])
+             .filter((c("b") > c("a")) & F.coalesce(c("later") > c("at"), c("at").isNull())).groupBy("_set", "a").agg(F.min("b").alias("b")))
+    links = cut(links)
+    reached = cut(fit.filter("base_generation_id IS NULL").groupBy("_set").agg(F.min("log_no").alias("log_no")))
+    known, fresh = reached, reached
+    while not fresh.isEmpty():
+        fresh = cut(known.join(links.withColumnRenamed("a", "log_no"), ["_set", "log_no"]).select("_set", c("b").alias("log_no")))
+        known = cut(known.unionByName(fresh))
+        links = cut(links.join(links.select("_set", c("a").alias("b"), c("b").alias("c")), ["_set", "b"]).select("_set", "a", c("c").alias("b")))
+    marked = rows.join(known.withColumn("accepted", F.lit(True)), ["_set", "log_no"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    marked = cut(marked.withColumn("_kept", F.when(c("accepted"), c("generation_id"))))
+    days = marked.groupBy("_set", "_day").agg(F.max_by("_kept", F.when(c("accepted"), c("log_no"))).alias("_last"), F.max(F.when(c("accepted"), c("log_no"))).alias("_no"))
+    earlier = Window.partitionBy("_set").orderBy("_day")
+    carried = days.select("_set", "_day", F.last("_last", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+                          F.max("_no").over(Window.partitionBy("_set")).alias("_newest"))
+    inside = Window.partitionBy("_set", "_day").orderBy("log_no").rowsBetween(Window.unboundedPreceding, -1)
+    return (marked.withColumn("_here", F.last("_kept", ignorenulls=True).over(inside)).join(carried, ["_set", "_day"])
+            .select("dataset", "log_no", "generation_id", F.coalesce("_here", "_before").alias("previous"), "accepted",
+                    F.coalesce(c("accepted") & (c("log_no") == c("_newest")), F.lit(False)).alias("current")))
 
 
 def dataset_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:

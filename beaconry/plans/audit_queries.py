@@ -8,7 +8,7 @@ from beaconry.operators import contracts as V
 from beaconry.operators import generations as N
 from beaconry.plans.action_queries import both_items
 from beaconry.plans.catalog_queries import stored_catalog as catalog
-from beaconry.plans.common import Tables
+from beaconry.plans.common import Tables, written
 
 HASHED = ["row_key", "o_custkey", "o_orderstatus", "cents"]
 
@@ -181,7 +181,7 @@ QUERIES = {
     "refresh_baseline_check": lambda t: N.refresh_baseline_check(t.baseline_pairs, t.baseline_rows),
     "derive_baseline_check": lambda t: N.derive_baseline_check(t.baseline_pairs, t.baseline_rows),
     "commit_coherence": lambda t: N.commit_coherence(t.generation_headers),
-    "publication_lineage": lambda t: N.publication_lineage(t.generation_log),
+    "publication_lineage": lambda t: N.publication_lineage(t.generation_log, written),
     "dataset_diff": dataset_diff,
     "contract_issues": snapshot_issues,
     "signal_contract_issues": signal_issues,
