@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from beaconry.operators import generations as N
+from beaconry.plans.common import written
 
 LOG = "dataset string, generation_id string, base_generation_id string, state string, error_count long, created_us long, published_us long"
 DAY = 86_400_000_000
@@ -44,7 +45,7 @@ def test_links_equal_the_fold(spark):
     rng = random.Random(8)
     rows = [row for d in range(12) for row in history(rng, f"d{d}", rng.randint(1, 60))] + history(rng, None, 20)
     rows += [("none", "g0", "gone", "ready", 0, 5, 6), ("one", "g0", None, "ready", 0, 5, 6)]
-    got = N.publication_lineage(spark.createDataFrame(rows, LOG).repartition(3), lambda t: t.persist())
+    got = N.publication_lineage(spark.createDataFrame(rows, LOG).repartition(3), written)
     cols = ["dataset", "log_no", "generation_id", "previous", "accepted", "current"]
     assert sorted((tuple(r) for r in got.select(*cols).collect()), key=str) == folded(rows)
     assert got.filter("accepted").count() > 60
@@ -53,7 +54,7 @@ def test_links_equal_the_fold(spark):
 def test_long_chain_and_empty_log(spark):
     chain = spark.range(300).select(F.lit("d").alias("dataset"), F.concat(F.lit("g"), "id").alias("generation_id"), F.when(F.col("id") > 0, F.concat(F.lit("g"), F.col("id") - 1)).alias("base_generation_id"),
                                     F.lit("ready").alias("state"), F.lit(0).cast("long").alias("error_count"), (F.col("id") * 7_000_000_000).alias("created_us"), F.col("id").alias("published_us"))
-    got = N.publication_lineage(chain, lambda t: t.persist()).collect()
+    got = N.publication_lineage(chain, written).collect()
     assert len(got) == 300 and all(r.accepted for r in got) and [r.log_no for r in got if r.current] == [299]
     assert all(r.previous == (f"g{r.log_no - 1}" if r.log_no else None) for r in got)
-    assert N.publication_lineage(chain.limit(0), lambda t: t.persist()).collect() == []
+    assert N.publication_lineage(chain.limit(0), written).collect() == []
