@@ -15,7 +15,7 @@ HITS_PER_RULE = 30
 MAX_URL_LENGTH = 2_048
 DISPLAY_ZONE = "Asia/Shanghai"
 
-# --- term sets, matched as substrings of the lower-cased repository text -------------
+# --- term sets, matched as substrings of the lower-cased repository text (fixed values) ---
 PRODUCTIVITY_TERMS = [
     "agent", "automation", "cli", "code", "developer", "github", "llm", "mcp",
     "productivity", "research", "sdk", "self-hosted", "tool", "video", "workflow",
@@ -29,7 +29,7 @@ RISK_TERMS = [
     "jailbreak", "offensive-security", "redeem only", "spoof", "unrestricted mode",
     "关闭所有内容过滤器", "关闭内容过滤", "无限制模式",
 ]
-# First category whose terms occur wins; the last one is the default.
+# First category whose terms occur wins; the last one is the default (fixed values).
 CATEGORY_TERMS = [
     ("video", ["video", "视频", "douyin", "youtube", "公众号"]),
     ("ai_agent", ["agent", "mcp", "llm", "artificial-intelligence", "人工智能"]),
@@ -40,6 +40,7 @@ CATEGORY_TERMS = [
 ]
 DEFAULT_CATEGORY = "open_source"
 
+# --- terms and priorities of signals (fixed values) -----------------------------------
 SIGNAL_AI_TERMS = [
     "agent", "ai", "claude", "codex", "copilot", "developer", "github", "gpt", "hugging face",
     "llm", "model", "open source", "人工智能", "大模型", "开源", "智能体",

@@ -55,11 +55,11 @@ def upgrade_versions(copies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
         F.when(c("schema_version") == 2, "already_current").otherwise("legacy_unmigrated").alias("status"))
     every = rows.unionByName(kept)
     totals = every.groupBy("status").agg(F.count("*").alias("n"))
-    # The gate is a one-row aggregate joined back, not a driver decision.
+    # The gate is a one-row aggregate, broadcast so that the constant key moves no other rows; not a driver decision.
     conflicts = totals.filter("status = 'conflict'").select(c("n").alias("_conflicts"))
     gate = conflicts.agg(F.coalesce(F.sum("_conflicts"), F.lit(0)).alias("conflicts"))
     applied = every.filter("status = 'migrated'").withColumn("one", F.lit(1)).join(
-        gate.withColumn("one", F.lit(1)), "one").filter("conflicts = 0").select(
+        F.broadcast(gate.withColumn("one", F.lit(1))), "one").filter("conflicts = 0").select(
         F.lit(2).alias("schema_version"), *body, c("target_id").alias("project_id"), F.lit(1).alias("project_id_version"), "ord")
     return every, totals, applied
 
