@@ -82,6 +82,39 @@ def test_caps_equal_brute_force(spark):
     assert caps.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def brute_vectors(rows):
+    """Links and components of rows (vec_id, vector), each row a vector of its own."""
+    u = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    links = [(i, j) for i in range(len(u)) for j in range(i) if len(u[i]) == len(u[j]) and u[i] @ u[j] >= 0.95]
+    count = [sum(i in link for link in links) for i in range(len(u))]
+    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    place = {i: k for k, i in enumerate(order)}
+    comp = brute.smallest_reachable(range(len(u)), [(place[i], place[j]) for i, j in links])
+    return sorted((rows[i][0], count[i], rows[order[comp[place[i]]]][0]) for i in range(len(u)))
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 4, 7, 8, 64])
+def test_caps_in_each_dimension(spark, dim):
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(60, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(60, dim))
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-9)
+    near = 0.951 * base + np.sqrt(1 - 0.951**2) * side
+    rows = [(k, (2.0 * v).tolist()) for k, v in enumerate(np.concatenate([base, near]))]
+    got = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute_vectors(rows)
+
+
+def test_caps_repeated_ids_of_unlike_vectors(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 32))
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, a.tolist()), (3, b.tolist()), (4, (a + 0.01 * b).tolist()), (1, a.tolist())]
+    got = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute_vectors(rows)
+
+
 def test_spot_signatures(spark):
     import hashlib
 
