@@ -21,7 +21,7 @@ from beaconry.functions import text as X
 from beaconry.functions import timefns as T
 from beaconry.functions.urls import safe_url
 from beaconry.operators.identity import canonical
-from beaconry.operators.skew import exact_position, previous_value, salt
+from beaconry.operators.skew import exact_position, previous_value
 from beaconry.plans import texts
 
 c = F.col
@@ -378,48 +378,39 @@ def base_order() -> list:
     return [F.desc("attention"), F.desc(F.coalesce("readiness", F.lit(-1))), F.desc("stars"), F.asc("ord")]
 
 
-def lasting_order() -> list:
-    return [F.desc("endurance"), *base_order()]
-
-
 def catalog_limit(limit: int) -> int:
     if limit < 1:
         raise ValueError("a catalog has at least one row")
     return limit
 
 
-def _picks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    fit = F.coalesce((c("heat_track") == "long_term") & (c("attention") >= 60) & (c("recommendation") != "watch"), F.lit(False))
-    rows = rows.withColumn("_fit", fit).withColumn("_recent", c("heat_track") == "recent_momentum")
-    return (
-        rows.withColumn("_base", F.row_number().over(Window.partitionBy(*keys).orderBy(*base_order())))
-        .withColumn("_lt", F.row_number().over(Window.partitionBy(*keys, "_fit").orderBy(*lasting_order())))
-        .withColumn("_rm", F.row_number().over(Window.partitionBy(*keys, "_recent").orderBy(*base_order())))
-        .withColumn("_picked", (c("_fit") & (c("_lt") <= DAILY_LONG_TERM)) | (c("_recent") & (c("_rm") <= DAILY_RECENT))))
-
-
-_ORDER_WORK = ["_fit", "_recent", "_base", "_lt", "_rm", "_picked"]
-
-
-def balanced_order(rows: DataFrame, limit: int = 30, key: str = "capture_id", salts: int = 64) -> DataFrame:
+def balanced_order(rows: DataFrame, limit: int = 30, key: str = "capture_id") -> DataFrame:
     """First positions per capture: up to two lasting and three recent projects, then the base order.
 
-    Salted groups drop every row that cannot reach the catalog, so the final windows see at most
-    ``salts * (limit + 5)`` rows of a capture whatever its size.
+    A project stands in up to three lists: all, lasting, recent.  One window ranks all lists, and Spark drops what cannot
+    be among the first ``limit + 5`` of a list before rows move, so a capture of any size sends that many rows a task.
+    The windows over a whole capture see the heads of its lists only.  ``canonical`` is unique in a capture.
     """
     keep = catalog_limit(limit)
-    reduced = (
-        _picks(rows.withColumn("_salt", salt(["canonical"], salts)), [key, "_salt"])
-        .filter(c("_picked") | (c("_base") <= keep)).drop(*_ORDER_WORK, "_salt"))
-    ranked = _picks(reduced, [key])
-    whole = Window.partitionBy(key)
-    free = Window.partitionBy(key).orderBy("_base").rowsBetween(Window.unboundedPreceding, 0)
-    filler = F.sum((~c("_picked")).cast("int")).over(free)
+    fit = F.coalesce((c("heat_track") == "long_term") & (c("attention") >= 60) & (c("recommendation") != "watch"), F.lit(False))
+    lists = F.array_compact(F.array(F.lit("all"), F.when(fit, F.lit("lasting")), F.when(c("heat_track") == "recent_momentum", F.lit("recent"))))
+    lasting_first = F.desc(F.when(c("_list") == "lasting", c("endurance")))
+    ranked = (rows.withColumn("_list", F.explode(lists))
+              .withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_list").orderBy(lasting_first, *base_order())))
+              .filter(c("_rank") <= keep + DAILY_SIZE))
+    length = F.when(c("_list") == "lasting", DAILY_LONG_TERM).when(c("_list") == "recent", DAILY_RECENT).otherwise(keep + DAILY_SIZE)
+    project = Window.partitionBy(key, "canonical")
+    heads = (ranked.filter(c("_rank") <= length).repartition(key)
+             .withColumn("_picked", F.max(c("_list") != "all").over(project))
+             .withColumn("_copy", F.row_number().over(project.orderBy("_list"))).filter(c("_copy") == 1))
+    whole, by_base = Window.partitionBy(key), Window.partitionBy(key).orderBy(*base_order())
+    free = by_base.rowsBetween(Window.unboundedPreceding, 0)
     chosen = F.sum(c("_picked").cast("int")).over(whole)
-    ranked = ranked.withColumn("_daily", c("_picked") | (filler <= DAILY_SIZE - chosen))
-    final = Window.partitionBy(key).orderBy(F.desc("_daily"), "_base")
-    return (ranked.withColumn("position", F.row_number().over(final)).filter(c("position") <= keep)
-            .withColumn("daily", c("_daily")).drop(*_ORDER_WORK, "_daily"))
+    heads = (heads.withColumn("_base", F.row_number().over(by_base)).withColumn("_filler", F.sum((~c("_picked")).cast("int")).over(free))
+             .withColumn("daily", c("_picked") | (c("_filler") <= DAILY_SIZE - chosen)))
+    final = Window.partitionBy(key).orderBy(F.desc("daily"), "_base")
+    return (heads.withColumn("position", F.row_number().over(final)).filter(c("position") <= keep)
+            .drop("_list", "_rank", "_picked", "_copy", "_base", "_filler"))
 
 
 # --- whole job ------------------------------------------------------------------------------

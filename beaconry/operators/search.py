@@ -6,7 +6,7 @@ tokens once per project through three-letter keys, and both indexes join back to
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry.constants import DEFAULT_CAPABILITIES, INTENT_RULES
@@ -51,23 +51,34 @@ def rule_index(hay: DataFrame) -> DataFrame:
         "terms", F.slice("terms", 1, 2))
 
 
+def _pieces(text: Column, n: int) -> Column:
+    """All pieces of ``n`` letters of a text, none of a shorter one."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def token_index(tokens: DataFrame, hay: DataFrame) -> DataFrame:
     """(generation, token) -> positions whose text contains the token; distinct tokens only.
 
-    The pieces of a text travel without it; the text joins the tokens whose first piece it has.
+    Each piece that some token holds has a list of its projects, no longer than the catalog of a generation.  A token
+    takes the shortest of its lists only, and none if one of its pieces occurs nowhere.  Candidates gather per project,
+    where the text is read once for all of them.
     """
     vocabulary = tokens.select("generation_id", "token").distinct().withColumn("_t", search_normal(c("token")))
-    vocabulary = vocabulary.withColumn("_gram", F.substring("_t", 1, GRAM))
-    starts = F.sequence(F.lit(1), F.length("haystack"))
-
-    def pieces(n):
-        return F.transform(starts, lambda i: F.substring(c("haystack"), i, F.lit(n)))
-
-    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, GRAM + 1)])))
+    held = F.when(F.length("_t") < GRAM, F.array("_t")).otherwise(F.array_distinct(_pieces(c("_t"), GRAM)))
+    asked = vocabulary.select("generation_id", "token", "_t", F.explode(held).alias("_gram"))
+    grams = F.array_distinct(F.flatten(F.array(*[_pieces(c("haystack"), n) for n in range(1, GRAM + 1)])))
     blocks = hay.select("generation_id", "position", F.explode(grams).alias("_gram"))
-    met = vocabulary.join(blocks, ["generation_id", "_gram"]).drop("_gram")
-    return (met.join(hay.select("generation_id", "position", "haystack"), ["generation_id", "position"]).filter(F.contains(c("haystack"), c("_t")))
-            .select("generation_id", "token", "position"))
+    lists = (blocks.join(asked.select("generation_id", "_gram").distinct(), ["generation_id", "_gram"], "left_semi")
+             .groupBy("generation_id", "_gram").agg(F.collect_list("position").alias("_at")))
+    rarest = (asked.join(lists, ["generation_id", "_gram"], "left").groupBy("generation_id", "token", "_t")
+              .agg(F.min(F.struct(F.coalesce(F.size("_at"), F.lit(0)).alias("n"), c("_at").alias("at"))).alias("_least"))
+              .filter(c("_least.n") > 0))
+    found = (rarest.select("generation_id", F.explode("_least.at").alias("position"), F.struct("token", "_t").alias("_ask"))
+             .groupBy("generation_id", "position").agg(F.collect_list("_ask").alias("_asked")))
+    met = found.join(hay.select("generation_id", "position", "haystack"), ["generation_id", "position"])
+    return (met.select("generation_id", "position", F.explode(F.filter("_asked", lambda x: F.contains(c("haystack"), x["_t"]))).alias("_hit"))
+            .select("generation_id", c("_hit.token").alias("token"), "position"))
 
 
 def project_match(intents: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -59,13 +60,46 @@ def test_daily_five_balances_tracks(spark):
     specs = [(f"fast{i}", 90 - i, None, 100, 10, "recent_momentum", "learn") for i in range(5)]
     specs += [("big1", 70, None, 120_000, 90, "long_term", "learn"), ("big2", 69, None, 80_000, 80, "long_term", "learn"),
               ("big3", 95, None, 1, 70, "long_term", "watch")]
-    got = C.balanced_order(scored(spark, specs), 30, salts=3).orderBy("position").collect()
+    got = C.balanced_order(scored(spark, specs), 30).orderBy("position").collect()
     first = [r["repo"] for r in got[:5]]
     assert first == ["fast0", "fast1", "fast2", "big1", "big2"]
     assert [r["repo"] for r in got[5:]] == ["big3", "fast3", "fast4"]
     assert [r["position"] for r in got] == list(range(1, 9))
 
 
+def plain_order(rows, keep):
+    """Positions by sorting all rows in Python."""
+    base = sorted(rows, key=lambda r: (-r["attention"], -(-1 if r["readiness"] is None else r["readiness"]), -r["stars"], r["ord"]))
+    fit = [r for r in base if r["heat_track"] == "long_term" and r["attention"] >= 60 and r["recommendation"] != "watch"]
+    picked = {r["ord"] for r in sorted(fit, key=lambda r: -r["endurance"])[:2]} | {r["ord"] for r in base if r["heat_track"] == "recent_momentum"}.intersection(
+        [r["ord"] for r in [x for x in base if x["heat_track"] == "recent_momentum"][:3]])
+    free = [r["ord"] for r in base if r["ord"] not in picked][:max(0, 5 - len(picked))]
+    daily = picked | set(free)
+    order = [r["ord"] for r in base if r["ord"] in daily] + [r["ord"] for r in base if r["ord"] not in daily]
+    return [(o, o in daily) for o in order[:keep]]
+
+
+@pytest.mark.parametrize("keep", [1, 2, 5, 12, 500])
+def test_balanced_order_equals_sorting_all_rows(spark, keep):
+    rng = random.Random(keep)
+    specs = [(f"p{i}", rng.choice([40, 60, 61, 80]), rng.choice([None, 10, 20]), rng.choice([5, 6]), rng.choice([1, 2]),
+              rng.choice(["long_term", "recent_momentum", None]), rng.choice(["learn", "watch"])) for i in range(300)]
+    rows = scored(spark, specs)
+    got = C.balanced_order(rows, keep).orderBy("position").collect()
+    assert [(r["ord"], r["daily"]) for r in got] == plain_order(rows.collect(), keep)
+    assert C.balanced_order(rows.limit(0), keep).collect() == []
+
+
+def test_tokens_take_their_rarest_piece(spark):
+    from beaconry.operators.search import token_index
+    texts = ["alpha beta gamma", "alphabet soup", "a b", "", "xxalp habet", "日本語 text"]
+    hay = spark.createDataFrame([("g", k, t) for k, t in enumerate(texts)], "generation_id string, position int, haystack string")
+    words = ["alpha", "alphabet", "beta", "b", "soup", "habeta", "日本", "te", "zz", "alp hab", "a b"]
+    tokens = spark.createDataFrame([("g", w) for w in words + words] + [("h", "alpha")], "generation_id string, token string")
+    got = {(r.generation_id, r.token, r.position) for r in token_index(tokens, hay).collect()}
+    assert got == {("g", w, k) for w in words for k, t in enumerate(texts) if w in t}
+
+
 def snapshot(spark, captures):
     data = [(f"c{n}", f"2024-01-{n:02d}T00:00:00Z", repo, stars, "2020-01-01T00:00:00Z", i)
             for n, repos in captures.items() for i, (repo, stars) in enumerate(repos.items())]
