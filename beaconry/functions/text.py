@@ -1,15 +1,17 @@
 """Text matching and clean-up expressions (built-in functions only)."""
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named entities handled in titles (fixed values); numeric ones are handled by rule.
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-             ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
-             ("&copy;", "©"), ("&amp;", "&")]
+# Named entities of HTML that end with a semicolon, from Python's own table.
+_NAMED = json.dumps({f"&{name}": text for name, text in html5.items() if name.endswith(";")})
+_ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 REPLACEMENT = "�"
+_WESTERN = json.dumps({f"{n:X}": bytes([n]).decode("cp1252", "replace").replace(REPLACEMENT, chr(n)) for n in range(128, 160)})
 
 
 def has_any(text: Column, terms: list[str]) -> Column:
@@ -46,10 +48,34 @@ def distinct_head(values: Column, n: int | None = None) -> Column:
     return F.array_distinct(values) if n is None else F.slice(F.array_distinct(values), 1, n)
 
 
+def code_point(hexadecimal: Column) -> Column:
+    """The character of a code point; what is none, or is zero or half of a pair, gives the replacement character.
+
+    The numbers 128 to 159 mean the letters that Windows-1252 has there, as in HTML.
+    """
+    digits = F.regexp_replace(F.upper(hexadecimal), "^0+", "")
+    wide = F.lpad(digits, 8, "0")
+    usable = (F.length(digits).between(1, 5) | (digits.rlike("^10[0-9A-F]{4}$"))) & ~digits.rlike("^D[89A-F][0-9A-F]{2}$")
+    western = F.when(digits.rlike("^[89][0-9A-F]$"), F.element_at(F.from_json(F.lit(_WESTERN), "map<string,string>"), digits))
+    return F.coalesce(western, F.when(usable, F.decode(F.unhex(wide), "UTF-32")), F.lit(REPLACEMENT))
+
+
+def decode_entities(text: Column) -> Column:
+    """Named, decimal and hexadecimal character references in one pass; unknown names stay as they are."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s){_ENTITY}|[^&]+|&"), F.lit(0))
+
+    def piece(p):
+        decimal = F.regexp_extract(p, "^&#0*([0-9]{1,9});$", 1)
+        number = F.when(decimal != "", F.conv(decimal, 10, 16)).otherwise(F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]+);$", 1))
+        named = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), p)
+        return (F.when(~F.startswith(p, F.lit("&")) | (F.length(p) == 1), p).when(F.startswith(p, F.lit("&#")), code_point(number))
+                .otherwise(F.coalesce(named, p)))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, piece), "")).otherwise(text)
+
+
 def clean_title(raw: Column) -> Column:
-    text = F.coalesce(raw, F.lit(""))
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = decode_entities(F.coalesce(raw, F.lit("")))
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
     parts = F.filter(F.split(text, " / "), lambda p: F.trim(p) != "")
     first, last = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.size(parts) - 1))

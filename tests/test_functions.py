@@ -46,3 +46,13 @@ def test_titles_terms_and_rounding(spark):
     assert one(spark, lambda v: text.hits(v, ["cli", "agent"]), "client agents") == ["agent", "cli"]
     assert [one(spark, numeric.score, v, "double") for v in (0.5, 1.5, 2.5, -3.0, 120.0)] == [0, 2, 2, 0, 100]
     assert [one(spark, numeric.half_up_1, v, "double") for v in (0.25, -0.25)] == [0.3, -0.2]
+
+
+def test_entities_decode_like_the_standard_library(spark):
+    import html
+    cases = ["&#8217;", "&#x1F600;", "&#X1f600;", "&eacute;", "&amp;lt;", "&nosuch;", "a & b", "&", "&&amp;&", "", "&#0;", "&#xD800;", "&#x110000;", "&#1114112;",
+             "&#99999999999;", "&#150;", "&#x80;", "&nbsp;x", "&apos;&quot;", "&#00065;", "&#x0041;", "plain", "&NotEqualTilde;", "line\n&copy;\u2028&reg;"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = {r.i: r.d for r in rows.select("i", text.decode_entities(rows.t).alias("d")).collect()}
+    assert got == {i: html.unescape(t) for i, t in enumerate(cases)}
+    assert one(spark, text.clean_title, "it&#8217;s &eacute;t&eacute;") == "it\u2019s \u00e9t\u00e9"
