@@ -101,30 +101,43 @@ def next_ids(docs: DataFrame) -> DataFrame:
             .select("doc_id", F.coalesce("lead", "after").alias("next_id"), "n_chars"))
 
 
+def _packed(hashes: Column) -> Column:
+    """Hashes of 32 bits in four bytes each, as they travel."""
+    return F.transform(hashes, lambda h: F.when(h >= 2**31, h - 2**32).otherwise(h).cast("int"))
+
+
+def _unpacked(hashes: Column) -> Column:
+    return F.array_sort(F.transform(hashes, lambda h: F.pmod(h.cast("long"), F.lit(2**32))))
+
+
 def edited_pairs(docs: DataFrame, common: list[str]) -> DataFrame:
-    """Each row with the start of the next document and the next document's signatures: ``doc_id, text, start, next_hashes``.
+    """Each row with its signatures, the start of the next document and that one's signatures:
+    ``doc_id, text, hashes, start, next_hashes``.
 
-    Texts move once, by id; what goes on to the document before is a quarter of that one's length at most.
+    Texts move once, by id, with their signatures; both joins read that one exchange, so both leave out rows without an
+    id.  What goes on to the document before is a quarter of that one's length at most.
     """
-    texts = docs.select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), _packed(signatures(text, common)).alias("hashes"))
+    texts = rows.filter("doc_id is not null")
     after = next_ids(docs).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), F.floor(F.col("n_chars") / 4).cast("int").alias("take"))
     told = (texts.join(after, "doc_id").select(
-                "to", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"), F.substring(F.coalesce("text", F.lit("")), 1, F.col("take")).alias("start"),
-                signatures(F.col("text"), common).alias("next_hashes"))
+                "to", F.xxhash64("text").alias("tie"), F.substring(F.col("text"), F.lit(1), F.col("take")).alias("start"), F.col("hashes").alias("next_hashes"))
             .groupBy("to").agg(F.min(F.struct("tie", "start", "next_hashes")).alias("m")).select(F.col("to").alias("doc_id"), "m.start", "m.next_hashes"))
-    return texts.join(told, "doc_id", "left")
+    alone = rows.filter("doc_id is null").withColumn("start", F.lit(None).cast("string")).withColumn("next_hashes", F.lit(None).cast("array<int>"))
+    return texts.join(told, "doc_id", "left").unionByName(alone)
 
 
 def fingerprints(docs: DataFrame, n_anchors: int = ANCHORS) -> DataFrame:
     """Fingerprints of every text and of its edited text; see the module text.  ``edited_text`` is kept as well."""
     common = anchors(docs, n_anchors)
-    text = F.coalesce("text", F.lit(""))
-    n = F.length(text)
+    n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    rows = (edited_pairs(docs, common).withColumn("text", text).withColumn("n_chars", n.cast("long"))
-            .withColumn("edited_text", F.concat(F.substring(text, F.lit(1), n - cut), F.substring(F.coalesce("start", F.lit("")), F.lit(1), cut)))
-            .select("doc_id", "n_chars", "edited_text", "next_hashes", signatures(F.col("text"), common).alias("hashes"), signatures(F.col("edited_text"), common).alias("edited_hashes")))
+    rows = (edited_pairs(docs, common).withColumn("n_chars", n.cast("long"))
+            .withColumn("edited_text", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("start", F.lit("")), F.lit(1), cut)))
+            .select("doc_id", "n_chars", "edited_text", _unpacked(F.col("next_hashes")).alias("next_hashes"), _unpacked(F.col("hashes")).alias("hashes"),
+                    signatures(F.col("edited_text"), common).alias("edited_hashes")))
     return rows.select(
         "doc_id", "n_chars", "edited_text", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("hashes")).alias("fingerprint"), fingerprint(F.col("edited_hashes")).alias("edited_fingerprint"),
-        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))
+        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), F.when(F.col("next_hashes").isNotNull(), likeness(F.col("hashes"), F.col("next_hashes"))).alias("near_next"))

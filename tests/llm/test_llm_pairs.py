@@ -133,6 +133,18 @@ def test_spot_signatures(spark):
     assert spotsigs.fingerprints(docs.limit(0)).collect() == []
 
 
+def test_spot_signatures_repeated_and_missing_ids(spark):
+    rows = [(1, "the cat sat on the mat and the dog ran off"), (1, "the cat sat on the mat and the dog ran off"), (2, None), (None, "the old man and the sea went on"), (None, None)]
+    got = spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), n_anchors=2).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 0), (0, 31), (1, 42), (1, 42), (2, 0)]
+    ones = [r for r in got if r.doc_id == 1]
+    assert ones[0] == ones[1] and ones[0].near_next == 0.0 and ones[0].edited_text == rows[0][1][:32]
+    assert [r.near_next for r in got if r.doc_id is None] == [None, None]
+    for r in got:
+        hashes = [int(h, 16) for h in r.fingerprint.split(",") if h]
+        assert hashes == sorted(set(hashes)) and all(0 <= h < 2**32 for h in hashes)
+
+
 def test_spot_signature_pairs(spark):
     rng = random.Random(1)
     sets = [(k, sorted(rng.sample(range(60), rng.randint(8, 40)))) for k in range(60)]
