@@ -26,7 +26,7 @@ from beaconry.llm.common import stored
 from beaconry.llm.completion import pack
 
 CAPACITY, END_ID, TOKENIZER, SALTS = 4096, 1, "word_bpe_49k.json", 64
-CACHED_WORDS, CACHED_LETTERS, SLICE_BYTES = 700_000, 48, 8 << 20
+CACHED_WORDS, CACHED_LETTERS, ENCODED_TOGETHER, SLICE_BYTES = 200_000, 48, 2_000, 4 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -35,27 +35,43 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of each blank-separated chunk as little-endian 32-bit words; the tokenizer never joins across blanks.
 
-    Chunks not seen before are encoded together, which costs a fraction of encoding them one by one.
+    Chunks not seen before are encoded together, which costs a fraction of encoding them one by one.  Two generations
+    of ``CACHED_WORDS`` chunks each bound the memory: a chunk that is met again moves to the young one, and when that
+    is full, it becomes the old one and the old one goes.  Longer chunks are encoded anew each time.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def _encoded(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(chunks), ENCODED_TOGETHER):
+            some = chunks[at : at + ENCODED_TOGETHER]
+            for chunk, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                yield chunk, np.array(coded.ids, "<u4").tobytes()
 
     def of_texts(self, texts: list[str]) -> list[bytes]:
         parts = [text.replace("\n", " ").split(" ") for text in texts]
-        new = [w for w in set().union(*parts) if w not in self and len(w) <= CACHED_LETTERS]
-        if len(self) + len(new) > CACHED_WORDS:
-            self.clear()
-            new = [w for w in set().union(*parts) if len(w) <= CACHED_LETTERS]
-        for chunk, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[chunk] = np.array(coded.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in parts]
+        known, new = {}, []
+        for chunk in set().union(*parts):
+            ids = self.young.get(chunk)
+            if ids is None and (ids := self.old.get(chunk)) is not None:
+                self.young[chunk] = ids
+            if ids is None:
+                new.append(chunk)
+            else:
+                known[chunk] = ids
+        for chunk, ids in self._encoded(new):
+            known[chunk] = ids
+            if len(chunk) <= CACHED_LETTERS:
+                self.young[chunk] = ids
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        return [b"".join(map(known.__getitem__, words)) for words in parts]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -241,3 +241,19 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "pack":
             assert Counter(kept) == Counter(was)
     assert shared_folder(spark, "x") != shared_folder(spark, "x")
+
+
+def test_packing_word_cache(monkeypatch):
+    """Ids stay those of the tokenizer when chunks leave the bounded cache and come back."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    monkeypatch.setattr(packing, "ENCODED_TOGETHER", 3)
+    path = packing.tokenizer_path()
+    words, plain = packing.WordIds(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(3)
+    parts = ["a", "bé", "\n", " ", "  ", "[INST]", "</s>", "x" * 60, "\t", "漢字", "don't", "1.5"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(4)]
+        assert words.of_texts(texts) == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert len(words.young) <= 5 + sum(len(t) + 1 for t in texts)
