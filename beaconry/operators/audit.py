@@ -82,19 +82,26 @@ def audit_times(headers: DataFrame) -> DataFrame:
 
 
 # A4
-def audit_counts(headers: DataFrame, snapshot: DataFrame, catalog: DataFrame, signals: DataFrame, queue: DataFrame) -> DataFrame:
-    rows = per_generation(
+COUNTS = [("snapshot_count_mismatch", "snapshot_count", "n_snapshot"), ("catalog_source_count_mismatch", "source_count", "n_snapshot"),
+          ("catalog_project_count_mismatch", "project_count", "n_catalog"), ("signal_count_mismatch", "signal_count", "n_signals"),
+          ("queue_count_mismatch", "pending_count", "n_queue"), ("project_queue_count_mismatch", "project_pending_count", "n_project"),
+          ("signal_queue_count_mismatch", "signal_pending_count", "n_signal"), ("catalog_queue_count_mismatch", "catalog_pending_count", "n_queue"),
+          ("deep_analysis_count_mismatch", "deep_count", "n_deep")]
+
+
+def counted(headers: DataFrame, snapshot: DataFrame, catalog: DataFrame, signals: DataFrame, queue: DataFrame) -> DataFrame:
+    """Headers with the true row counts of their tables."""
+    return per_generation(
         headers, snapshot.groupBy(G).agg(F.count("*").alias("n_snapshot")),
         catalog.groupBy(G).agg(F.count("*").alias("n_catalog"), F.count_if(c("analysis_state") == "deep").alias("n_deep")),
         signals.groupBy(G).agg(F.count("*").alias("n_signals")),
         queue.groupBy(G).agg(F.count("*").alias("n_queue"), F.count_if(c("kind") == "project").alias("n_project"),
                              F.count_if(c("kind") == "signal").alias("n_signal")))
-    pairs = [("snapshot_count_mismatch", "snapshot_count", "n_snapshot"), ("catalog_source_count_mismatch", "source_count", "n_snapshot"),
-             ("catalog_project_count_mismatch", "project_count", "n_catalog"), ("signal_count_mismatch", "signal_count", "n_signals"),
-             ("queue_count_mismatch", "pending_count", "n_queue"), ("project_queue_count_mismatch", "project_pending_count", "n_project"),
-             ("signal_queue_count_mismatch", "signal_pending_count", "n_signal"), ("catalog_queue_count_mismatch", "catalog_pending_count", "n_queue"),
-             ("deep_analysis_count_mismatch", "deep_count", "n_deep")]
-    return issues(rows, [(code, differs(c(d), c(a))) for code, d, a in pairs])
+
+
+def audit_counts(headers: DataFrame, snapshot: DataFrame, catalog: DataFrame, signals: DataFrame, queue: DataFrame) -> DataFrame:
+    rows = counted(headers, snapshot, catalog, signals, queue)
+    return issues(rows, [(code, differs(c(d), c(a))) for code, d, a in COUNTS])
 
 
 # A5
@@ -176,34 +183,53 @@ def audit_query_health(headers: DataFrame, declared: DataFrame, status: DataFram
 
 
 # A8
-def audit_tracks(headers: DataFrame, catalog: DataFrame) -> DataFrame:
+def valid_track() -> Column:
+    return F.coalesce(c("heat_track").isin("recent_momentum", "long_term") & (F.coalesce(c("heat_label"), F.lit("")) != "")
+                      & c("attention").between(0, 100) & c("endurance").between(0, 100), F.lit(False))
+
+
+def track_totals(catalog: DataFrame) -> DataFrame:
     daily = c("position") <= 5
     lasting, recent = c("heat_track") == "long_term", c("heat_track") == "recent_momentum"
-    valid = (c("heat_track").isin("recent_momentum", "long_term") & (F.coalesce(c("heat_label"), F.lit("")) != "")
-             & c("attention").between(0, 100) & c("endurance").between(0, 100))
-    totals = catalog.groupBy(G).agg(
-        F.count_if(~F.coalesce(valid, F.lit(False))).alias("invalid"), F.count_if(daily).alias("daily"),
+    return catalog.groupBy(G).agg(
+        F.count_if(~valid_track()).alias("invalid"), F.count_if(daily).alias("daily"),
         F.count_if(daily & lasting).alias("d_long"), F.count_if(daily & recent).alias("d_recent"),
         F.count_if(lasting & (c("attention") >= 60) & (c("recommendation") != "watch")).alias("eligible"), F.count_if(recent).alias("recent"))
-    rows = per_generation(headers, totals)
-    return issues(rows, [
-        ("invalid_heat_track", c("invalid")),
-        ("daily_track_count_mismatch", differs(c("daily_long_term"), c("d_long")) | differs(c("daily_recent"), c("d_recent"))
-         | (c("d_long") + c("d_recent") != c("daily"))),
-        ("daily_track_balance_mismatch", (c("daily") == 5) & (c("eligible") >= 2) & (c("recent") >= 3) & ((c("d_long") != 2) | (c("d_recent") != 3)))])
+
+
+def wrong_daily() -> Column:
+    return (differs(c("daily_long_term"), c("d_long")) | differs(c("daily_recent"), c("d_recent"))
+            | (c("d_long") + c("d_recent") != c("daily")))
+
+
+def unbalanced_daily() -> Column:
+    return (c("daily") == 5) & (c("eligible") >= 2) & (c("recent") >= 3) & ((c("d_long") != 2) | (c("d_recent") != 3))
+
+
+def audit_tracks(headers: DataFrame, catalog: DataFrame) -> DataFrame:
+    rows = per_generation(headers, track_totals(catalog))
+    return issues(rows, [("invalid_heat_track", c("invalid")), ("daily_track_count_mismatch", wrong_daily()),
+                         ("daily_track_balance_mismatch", unbalanced_daily())])
 
 
 # A9
-def audit_heat(headers: DataFrame, catalog: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """Declared heat history and observations against a recomputation from the captures."""
+def heat_rows(catalog: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """Catalog rows with the recomputed observations, the right kind of evidence and whether theirs differ."""
     truth = recomputed.select(G, "repo", c("obs_count").alias("_n"), c("obs_window").alias("_w"), c("persistent").alias("_p"))
-    rows = catalog.join(truth, [G, "repo"], "left")
     lasting = c("heat_track") == "long_term"
     kind = F.when(lasting & F.coalesce("_p", F.lit(False)), "multi_snapshot").when(lasting, "structural_proxy")
-    bad = differs(c("obs_count"), F.coalesce("_n", F.lit(0))) | differs(c("obs_window"), c("_w")) | differs(c("long_term_evidence"), kind)
-    totals = rows.groupBy(G).agg(F.count_if(bad).alias("bad"), F.max("_w").alias("window"),
-                                 F.count_if(lasting & F.coalesce("_p", F.lit(False))).alias("verified"))
-    rows = per_generation(headers, totals)
+    bad = differs(c("obs_count"), F.coalesce("_n", F.lit(0))) | differs(c("obs_window"), c("_w")) | differs(c("long_term_evidence"), c("_kind"))
+    return catalog.join(truth, [G, "repo"], "left").withColumn("_kind", kind).withColumn("_bad", bad)
+
+
+def heat_totals(rows: DataFrame) -> DataFrame:
+    verified = (c("heat_track") == "long_term") & F.coalesce("_p", F.lit(False))
+    return rows.groupBy(G).agg(F.count_if(c("_bad")).alias("bad"), F.max("_w").alias("window"), F.count_if(verified).alias("verified"))
+
+
+def audit_heat(headers: DataFrame, catalog: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """Declared heat history and observations against a recomputation from the captures."""
+    rows = per_generation(headers, heat_totals(heat_rows(catalog, recomputed)))
     return issues(rows, [
         ("heat_history_mismatch", differs(c("snapshot_count"), c("window")) | differs(c("maximum_snapshots"), F.lit(MAX_HEAT_OBSERVATIONS))
          | differs(c("minimum_persistence"), F.lit(MIN_PERSISTENCE_WINDOW)) | differs(c("verified_long_term"), c("verified"))),
@@ -273,15 +299,20 @@ def audit_catalog_rebuild(headers: DataFrame, catalog: DataFrame, rebuilt: DataF
 
 
 # A14
-def audit_growth(headers: DataFrame, catalog: DataFrame, snapshot: DataFrame, history: DataFrame) -> DataFrame:
-    """Growth kind and value against the declared previous capture."""
+def growth_rows(headers: DataFrame, catalog: DataFrame, snapshot: DataFrame, history: DataFrame) -> tuple[DataFrame, Column, DataFrame]:
+    """Headers with the captures their previous time names, whether it is one, and catalog rows with stars now and then."""
     known = history.groupBy(c("captured_at").alias("previous_at")).agg(F.count_distinct("capture_id").alias("_matches"), F.min("capture_id").alias("_pid"))
     heads = headers.join(known, "previous_at", "left")
     one = F.coalesce(c("_matches") == 1, F.lit(False))
-    previous = history.select(c("capture_id").alias("_pid"), c("repo").alias("_r"), c("stars").alias("_ps"))
+    previous = history.select(c("capture_id").alias("_pid"), c("repo"), c("stars").alias("_ps"))
     now = snapshot.select(G, "repo", c("stars").alias("_cs"))
     rows = catalog.join(heads.select(G, F.when(one, c("_pid")).alias("_pid")), G).join(now, [G, "repo"], "left")
-    rows = rows.join(previous.withColumnRenamed("_r", "repo"), ["_pid", "repo"], "left")
+    return heads, one, rows.join(previous, ["_pid", "repo"], "left")
+
+
+def audit_growth(headers: DataFrame, catalog: DataFrame, snapshot: DataFrame, history: DataFrame) -> DataFrame:
+    """Growth kind and value against the declared previous capture."""
+    heads, one, rows = growth_rows(headers, catalog, snapshot, history)
     observed, had = c("growth_kind") == "observed", c("_ps").isNotNull()
     totals = rows.groupBy(G).agg(
         F.count_if(had != observed).alias("kinds"),

@@ -118,7 +118,7 @@ def recorded_catalog(t: Tables):
                         .otherwise(F.col("analysis_state"))))
 
 
-def heat(t: Tables):
+def heat_inputs(t: Tables):
     rows = recorded_catalog(t)
     no = _no("generation_id")
     truth = C.with_growth(t.repo_snapshot, t.captures).select(
@@ -126,10 +126,14 @@ def heat(t: Tables):
     heads = rows.groupBy("generation_id").agg(F.max("obs_window").alias("w"), F.count_if(F.col("verified")).alias("v")).select(
         "generation_id", (F.col("w") + F.when(no % 11 == 1, 1).otherwise(0)).alias("snapshot_count"), F.when(no % 11 == 2, 31).otherwise(30).alias("maximum_snapshots"),
         F.when(no % 11 == 3, 8).otherwise(7).alias("minimum_persistence"), (F.col("v") + F.when(no % 11 == 4, 1).otherwise(0)).alias("verified_long_term"))
-    return A.audit_heat(heads, rows, truth)
+    return heads, rows, truth
 
 
-def queue_rebuild(t: Tables):
+def heat(t: Tables):
+    return A.audit_heat(*heat_inputs(t))
+
+
+def queue_rebuild_inputs(t: Tables):
     projects, signals = (t.once(f"_queue{i}", lambda rows=rows: rows) for i, rows in enumerate(both_items(t)))
     cols = ["id", "kind", "priority", "reason", "repository", "url"]
     both = projects.unionByName(signals, allowMissingColumns=True).withColumn("generation_id", F.col("queue_id"))
@@ -143,21 +147,29 @@ def queue_rebuild(t: Tables):
         F.count_if(F.col("completed") & (F.col("kind") == "project")).alias("p"), F.count_if(F.col("completed") & (F.col("kind") == "signal")).alias("s"))
     pending = rows.filter("position <= 5").groupBy("generation_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
         F.col("analysis_state") != "deep", F.struct("position", "repo")))), lambda x: x["repo"]), "|").alias("pd"))
-    heads = heads.join(pending, "generation_id").select(
+    heads = heads.join(pending, "generation_id", "left").na.fill("", ["pd"]).select(
         "generation_id", (F.col("p") + F.when(no % 8 == 1, 1).otherwise(0)).alias("completed_project_count"),
         (F.col("s") + F.when(no % 8 == 2, 1).otherwise(0)).alias("completed_signal_count"),
         F.when(no % 8 == 3, F.concat("pd", F.lit("|x"))).otherwise(F.col("pd")).alias("pending_deep"))
-    return A.audit_queue_rebuild(heads, recorded, rebuilt, rows, cols)
+    return heads, recorded, rebuilt, rows, cols
+
+
+def queue_rebuild(t: Tables):
+    return A.audit_queue_rebuild(*queue_rebuild_inputs(t))
 
 
 REBUILT = ["repo", "attention", "endurance", "readiness", "completeness", "recommendation", "growth_kind", "growth_value", "obs_count",
            "long_term_evidence", "analysis_state"]
 
 
-def catalog_rebuild(t: Tables):
+def catalog_rebuild_inputs(t: Tables):
     no = _no("generation_id")
     heads = t.captures.select(F.col("capture_id").alias("generation_id")).withColumn("score_model", F.when(no % 12 == 1, "legacy-v1").otherwise("evidence-v2"))
-    return A.audit_catalog_rebuild(heads, recorded_catalog(t), catalog(t).withColumn("generation_id", F.col("capture_id")), REBUILT)
+    return heads, recorded_catalog(t), catalog(t).withColumn("generation_id", F.col("capture_id")), REBUILT
+
+
+def catalog_rebuild(t: Tables):
+    return A.audit_catalog_rebuild(*catalog_rebuild_inputs(t))
 
 
 def declared_previous(t: Tables):
@@ -169,9 +181,13 @@ def declared_previous(t: Tables):
         "generation_id", F.when(no % 11 == 6, "1980-01-01T00:00:00Z").when(no % 13 == 7, None).otherwise(at).alias("previous_at"))
 
 
-def growth(t: Tables):
+def growth_inputs(t: Tables):
     snapshot = t.repo_snapshot.withColumn("generation_id", F.col("capture_id"))
-    return A.audit_growth(declared_previous(t), recorded_catalog(t).drop("capture_id"), snapshot, t.repo_snapshot)
+    return declared_previous(t), recorded_catalog(t).drop("capture_id"), snapshot, t.repo_snapshot
+
+
+def growth(t: Tables):
+    return A.audit_growth(*growth_inputs(t))
 
 
 QUERIES = {

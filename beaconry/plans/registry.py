@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from beaconry.plans.common import Tables
 
-MODULES = ["catalog_queries", "evidence_queries", "signal_queries", "action_queries", "personal_queries", "audit_queries", "document_queries", "stream_queries"]
+MODULES = ["catalog_queries", "evidence_queries", "signal_queries", "action_queries", "personal_queries", "audit_queries", "finding_queries", "document_queries", "stream_queries"]
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

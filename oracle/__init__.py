@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["catalog", "evidence", "signals", "actions", "personal", "audit", "documents", "streams"]
+MODULES = ["catalog", "evidence", "signals", "actions", "personal", "audit", "findings", "documents", "streams"]
 
 
 def all_sql() -> dict[str, str]:
