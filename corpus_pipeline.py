@@ -27,10 +27,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; rows without an id belong to no group."""
+    """The document of the smallest id of each group of near duplicates; rows without an id belong to no group.
+
+    Rows that share an id are one document, so one of them stays: the longest text, then by digest of the text and of the
+    whole row, so reruns agree.  Empty and null texts are groups of their own.  An empty table stays empty.
+    """
     groups = ngram_join.near_duplicates(docs, NEAR_WIDTH, NEAR_PERCENT)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.filter("doc_id is null"))
+    kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    rows = docs.join(kept, "doc_id")
+    several = rows.filter("_rows > 1").withColumn("_row", F.struct(*docs.columns))
+    order = F.struct(F.length("text"), F.sha2("text", 256), F.sha2(F.to_json("_row"), 256))
+    chosen = several.groupBy("doc_id").agg(F.max_by("_row", order).alias("_row")).select("_row.*")
+    return rows.filter("_rows = 1").select(*docs.columns).union(chosen.select(*docs.columns)).union(docs.filter("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
