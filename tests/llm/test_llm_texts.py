@@ -257,3 +257,18 @@ def test_packing_word_cache(monkeypatch):
         texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(4)]
         assert words.of_texts(texts) == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
         assert len(words.young) <= 5 + sum(len(t) + 1 for t in texts)
+
+
+def test_near_duplicate_stage_repeated_ids(spark):
+    """One row of an id with several texts stays, the same one in any order of the rows; null ids stay."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, "short one here", "en", "a", 3), (1, long, "en", "a", 3), (1, long, "de", "b", 4), (2, long + " w40", "en", "a", 3), (3, None, "en", "a", 0),
+            (4, "", "en", "a", 0), (None, long, "en", "a", 3), (5, "un deux", "fr", "c", 2)]
+    columns = DOCS.rsplit(",", 2)[0]
+    kept = [sorted(map(str, corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(part, columns), "").collect())) for part in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 5
+    ids = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, columns), "").collect())
+    assert ids == [(False, 1, long), (False, 3, ""), (False, 4, ""), (False, 5, "un deux"), (True, 0, long)]
+    assert corpus_pipeline.one_of_each_group(spark, spark.createDataFrame([], columns), "").collect() == []
