@@ -5,8 +5,8 @@ artifact, the code of the rule, the row or declared field it is about, and the v
 projections that move nothing; declared values are compared with one row of counts per generation; rebuilt tables meet
 their recorded ones in one full outer join on the row key, which names the columns that differ.
 
-Nulls read ``null``.  Empty tables give no findings.  A generation and code have findings here exactly when the counting
-audit has a row for them.
+Nulls read ``null``.  Empty tables give no findings.  Codes are those of the counting audit.  One difference: a rebuilt row
+that was recorded twice, unchanged, is a duplicate key here and no stale item.
 """
 
 from __future__ import annotations
