@@ -35,10 +35,18 @@ class Value:
         return Value(f"{self.fields}['{name}']", pointer)
 
 
+ISSUES = "ARRAY<STRUCT<path STRING, rule STRING, message STRING>>"
+NONE = f"CAST(NULL AS {ISSUES})"
+
+
 def let(value: str, body: Callable[[str], str]) -> str:
-    """``body`` with a name for a value that is computed once."""
+    """``body``, an array of issues, with a name for a value that is computed once.
+
+    An aggregate over the one value has the type of its start.  ``get``, ``flatten`` and ``transform`` ask all that is below
+    them for its type on every row, which in nested rules costs far more than the rules.
+    """
     name = f"b{next(_names)}"
-    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
+    return f"aggregate(array({value}), {NONE}, (a{name}, {name}) -> {body(name)})"
 
 
 def on_fields(issues: Callable[[Rule, Value], list[str]]) -> Callable[[Rule, Value], list[str]]:
@@ -50,9 +58,24 @@ def on_fields(issues: Callable[[Rule, Value], list[str]]) -> Callable[[Rule, Val
     return bound
 
 
-def on_scalar(v: Value, body: Callable[[str], str]) -> str:
-    """Type, text and number of a value, computed once; ``t`` is null where there is no value."""
-    return let(f"named_struct('t', schema_of_variant({v.variant}), 's', {v.as_('string')}, 'd', {v.as_('double')})", body)
+@dataclass(frozen=True)
+class Scalar:
+    """Type ``t`` of a value, null where there is none, and what reads it as a text or a number.
+
+    A text is read as a number, or the other way round, nowhere: a failing cast costs more than all other rules.
+    """
+
+    t: str
+    s: str
+    d: str
+
+
+def on_scalar(v: Value, body: Callable[[Scalar], str]) -> str:
+    """``body`` with the value and its type, both computed once."""
+    def typed(name: str) -> str:
+        at = Value(f"{name}.v")
+        return body(Scalar(f"{name}.t", at.as_("string"), at.as_("double")))
+    return let(v.variant, lambda value: let(f"named_struct('t', schema_of_variant({value}), 'v', {value})", typed))
 
 
 def _text(value: str) -> str:
@@ -69,7 +92,13 @@ def issue(condition: str, at: Value, rule: str, message: str) -> str:
 
 
 def together(parts: list[str]) -> str:
-    return f"flatten(array_compact(array({', '.join(parts)})))" if parts else "NULL"
+    return joined(f"array({', '.join(parts)})") if parts else NONE
+
+
+def joined(lists: str) -> str:
+    """One array of the issues in an array of arrays, of which some may be null; see ``let`` for its form."""
+    a, x = f"a{next(_names)}", f"x{next(_names)}"
+    return f"aggregate({lists}, CAST(array() AS {ISSUES}), ({a}, {x}) -> if({x} IS NULL, {a}, concat({a}, {x})))"
 
 
 class Rule:
@@ -85,8 +114,8 @@ class Text(Rule):
     kind: str | None = None  # a format below
 
     def issues(self, v):
-        def rules(b):
-            text, out = f"{b}.s", []
+        def rules(text):
+            out = []
             if self.least:
                 out.append(issue(f"length({text}) < {self.least}", v, "min_length", f"must have at least {self.least} letters"))
             if self.most is not None:
@@ -95,8 +124,8 @@ class Text(Rule):
                 out.append(issue(f"NOT rlike({text}, r'{self.pattern}')", v, "pattern", "must match the pattern"))
             if self.kind:
                 out.append(issue(f"NOT coalesce({FORMATS[self.kind].format(text)}, false)", v, "format", f"must be a {self.kind}"))
-            return f"CASE WHEN {b}.t = 'STRING' THEN {together(out)} WHEN {b}.t IS NOT NULL THEN {found(v, 'type', 'must be a text')} END"
-        return [on_scalar(v, rules)]
+            return together(out)
+        return [on_scalar(v, lambda b: f"CASE WHEN {b.t} = 'STRING' THEN {let(b.s, rules)} WHEN {b.t} IS NOT NULL THEN {found(v, 'type', 'must be a text')} END")]
 
 
 _HOST = "regexp_extract({0}, r'^[Hh][Tt][Tt][Pp][Ss]?://([^/?#:]+)', 1)"
@@ -115,16 +144,18 @@ class Number(Rule):
     whole: bool = True
 
     def issues(self, v):
-        def rules(b):
-            wrong, out = found(v, "type", "must be a whole number" if self.whole else "must be a number"), []
+        wrong = found(v, "type", "must be a whole number" if self.whole else "must be a number")
+
+        def rules(number):
+            out = []
             if self.whole:
-                out.append(f"if({b}.d <> floor({b}.d), {wrong}, NULL)")
+                out.append(f"if({number} <> floor({number}), {wrong}, NULL)")
             if self.least is not None:
-                out.append(issue(f"{b}.d < {self.least}D", v, "minimum", f"must be at least {self.least}"))
+                out.append(issue(f"{number} < {self.least}D", v, "minimum", f"must be at least {self.least}"))
             if self.most is not None:
-                out.append(issue(f"{b}.d > {self.most}D", v, "maximum", f"must be at most {self.most}"))
-            return f"CASE WHEN {_is_number(b)} THEN {together(out)} WHEN {b}.t IS NOT NULL THEN {wrong} END"
-        return [on_scalar(v, rules)]
+                out.append(issue(f"{number} > {self.most}D", v, "maximum", f"must be at most {self.most}"))
+            return together(out)
+        return [on_scalar(v, lambda b: f"CASE WHEN {_is_number(b)} THEN {let(b.d, rules)} WHEN {b.t} IS NOT NULL THEN {wrong} END")]
 
 
 @dataclass(frozen=True)
@@ -139,14 +170,14 @@ class Null(Rule):
         return [issue(f"NOT is_variant_null({v.variant})", v, "must_be_null", "must be null")]
 
 
-def _is_number(b: str) -> str:
-    return f"({b}.t = 'BIGINT' OR {b}.t = 'DOUBLE' OR startswith({b}.t, 'DECIMAL'))"
+def _is_number(b: Scalar) -> str:
+    return f"({b.t} = 'BIGINT' OR {b.t} = 'DOUBLE' OR startswith({b.t}, 'DECIMAL'))"
 
 
-def _is_one_of(b: str, values: tuple) -> str:
+def _is_one_of(b: Scalar, values: tuple) -> str:
     texts, numbers = [x for x in values if isinstance(x, str)], [x for x in values if not isinstance(x, str)]
-    tests = [f"{b}.t = 'STRING' AND {b}.s IN ({', '.join(map(_text, texts))})"] if texts else []
-    tests += [f"{_is_number(b)} AND {b}.d IN ({', '.join(f'{x}D' for x in numbers)})"] if numbers else []
+    tests = [f"{b.t} = 'STRING' AND {b.s} IN ({', '.join(map(_text, texts))})"] if texts else []
+    tests += [f"{_is_number(b)} AND {b.d} IN ({', '.join(f'{x}D' for x in numbers)})"] if numbers else []
     return "(" + " OR ".join(f"({t})" for t in tests) + ")"
 
 
@@ -156,7 +187,7 @@ class OneOf(Rule):
 
     def issues(self, v):
         message = "must be one of " + ", ".join(map(str, self.values))
-        return [on_scalar(v, lambda b: issue(f"{b}.t IS NOT NULL AND NOT coalesce({_is_one_of(b, self.values)}, false)", v, "enum", message))]
+        return [on_scalar(v, lambda b: issue(f"{b.t} IS NOT NULL AND NOT coalesce({_is_one_of(b, self.values)}, false)", v, "enum", message))]
 
 
 @dataclass(frozen=True)
@@ -174,7 +205,7 @@ class Not(Rule):
     pattern: str
 
     def issues(self, v):
-        return [on_scalar(v, lambda b: issue(f"{b}.t = 'STRING' AND rlike({b}.s, r'{self.pattern}')", v, "forbidden_pattern", "must not match the pattern"))]
+        return [on_scalar(v, lambda b: issue(f"{b.t} = 'STRING' AND rlike({b.s}, r'{self.pattern}')", v, "forbidden_pattern", "must not match the pattern"))]
 
 
 @dataclass(frozen=True)
@@ -198,7 +229,7 @@ class Items(Rule):
                 out.append(issue(f"size({rows}) > 1 AND size(array_distinct({plain})) < size({rows})", v, "unique_items", "must not repeat items"))
             if self.each:
                 inner = together(self.each.issues(Value(x, f"concat({v.pointer}, '/', {i})")))
-                out.append(f"flatten(array_compact(transform({rows}, ({x}, {i}) -> {inner})))")
+                out.append(joined(f"transform({rows}, ({x}, {i}) -> {inner})"))
             wrong = issue(f"{v.variant} IS NOT NULL", v, "type", "must be a list")
             return f"if({rows} IS NULL, {wrong}, {together(out)})" if out else f"if({rows} IS NULL, {wrong}, NULL)"
         return [let(v.as_("array<variant>"), rules)]
@@ -225,7 +256,7 @@ class Keyed(Rule):
             if self.key:
                 parts += self.key.issues(Value(f"variant_get(to_variant_object(named_struct('k', {e}.key)), '$.k', 'variant')", pointer))
             if parts:
-                out.append(f"flatten(array_compact(transform(map_entries({rows}), {e} -> {together(parts)})))")
+                out.append(joined(f"transform(map_entries({rows}), {e} -> {together(parts)})"))
             wrong = issue(f"{v.variant} IS NOT NULL", v, "type", "must be an object")
             return f"if({rows} IS NULL, {wrong}, {together(out)})"
         return [let(v.as_("map<string, variant>"), rules)]
@@ -274,7 +305,7 @@ class When(Rule):
     @on_fields
     def issues(self, v):
         body = together(self.rule.issues(v))
-        return [on_scalar(v.child(self.name), lambda b: f"if({b}.t IS NOT NULL AND {'NOT ' if self.no else ''}coalesce({_is_one_of(b, self.values)}, false), {body}, NULL)")]
+        return [on_scalar(v.child(self.name), lambda b: f"if({b.t} IS NOT NULL AND {'NOT ' if self.no else ''}coalesce({_is_one_of(b, self.values)}, false), {body}, NULL)")]
 
 
 @dataclass(frozen=True)
@@ -379,7 +410,7 @@ def ingested(drafts: DataFrame, contracts: dict[str, Rule]) -> tuple[DataFrame,
 
 def _rows_of(documents: DataFrame, name: str, version: int, key: str) -> DataFrame:
     """``key, i, row`` of the objects in a list of all documents of one version."""
-    parsed = documents.select(F.col(key).cast("string").alias("key"), F.try_parse_json("body").alias("_doc"))
+    parsed = once(documents.select(F.col(key).cast("string").alias("key"), "body"), "_doc", F.try_parse_json("body"))
     version_of = F.expr("try_variant_get(_doc, '$.schemaVersion', 'int')")
     rows = parsed.filter(version_of == version).select("key", F.posexplode(F.expr(f"try_variant_get(_doc, '$.{name}', 'array<variant>')")).alias("i", "row"))
     return rows.filter(F.expr("try_variant_get(row, '$', 'map<string, variant>')").isNotNull())
