@@ -151,7 +151,7 @@ def documents_of(kind: str):
         names = " ".join(f"WHEN {k} THEN '{name}'" for k, (name, _) in enumerate(found))
         bodies = " ".join(f"WHEN {k} THEN '{text}'" for k, (_, text) in enumerate(found))
         return f"""SELECT '{kind}' AS kind, CAST({number} AS STRING) AS key, CASE {pick} {names} END AS fault,
-                          replace(replace(CASE {pick} {bodies} END, '@id', 'acme-tool-@n--' || substr({d.sha256(name)}, 1, 20)), '@n', CAST({number} AS STRING)) AS body FROM {d.t(table)}"""
+                          replace(replace(CASE {pick} {bodies} END, '@id', 'acme-tool-@n--' || substr({d.sha256(name)}, 1, 20)), '@n', CAST({number} AS STRING)) AS body FROM {d.spread(table)}"""
     return projection
 
 
