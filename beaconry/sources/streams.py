@@ -13,9 +13,9 @@ class StreamSql(SparkSql):
 
 
 def stream(spark: SparkSession, folder: str, table: str, logical: str, pattern: str | None = None) -> DataFrame:
-    """Stream of a logical table over the parquet files of one driver table."""
-    files = pattern or f"{table}.parquet"
-    schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", 1).parquet(folder)
+    """Stream of a logical table over the parquet files of one driver table, which is a file or a folder of files."""
+    # A stream takes a path that is no pattern for a folder; this pattern finds either.
+    files = f"{folder}/{pattern or f'{table}.parque[t]'}"
+    rows = spark.readStream.schema(spark.read.parquet(files).schema).option("maxFilesPerTrigger", 1).parquet(files)
     rows.createOrReplaceTempView(f"beaconry_stream_{table}")
     return spark.sql(LOGICAL[logical](StreamSql(folder)))
