@@ -7,12 +7,10 @@ What a job must remember of earlier batches is in the state store or in such par
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from beaconry.operators import actions as A
@@ -60,30 +58,41 @@ def save_folded(rows: DataFrame, path: str, schema: str, batch_id: int, combine:
         folded.select(*[f.split()[0] for f in schema.split(", ")]).write.mode("overwrite").parquet(f"{path}/folds/upto={batch_id}")
 
 
-def run_available(stream: DataFrame, work: str, on_batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def run_available(stream: DataFrame, work: str, on_batch: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Process everything that is available and stop."""
-    query = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{work}/offsets")
+    query = (stream.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", f"{work}/offsets")
              .trigger(availableNow=True).start())
     query.awaitTermination()
     return query
 
 
-def _first_of_key(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Status of the new events of one (device, key); the state holds the first project and action."""
-    rows = pd.concat(frames).sort_values(["at_us", "id"], kind="stable")
-    first = state.get if state.exists else None
-    status = []
-    for project, action in zip(rows["project_slug"], rows["action"]):
-        if first is None:
-            first = (project, action)
-            state.update(first)
-            status.append("recorded")
-        else:
-            status.append("replayed" if first == (project, action) else "conflict")
-    yield rows.assign(status=status)[[*_LOG_COLUMNS, "status"]]
+_LOG_COLUMNS = [f.split()[0] for f in ACTION_LOG.split(", ")]
 
 
-_LOG_COLUMNS = [f.split()[0] for f in ACTION_LOG.split(", ")]
+KEY = ["device_id", "idempotency_key"]
+
+
+def with_firsts(events: DataFrame) -> DataFrame:
+    """The events of a batch, and for each of their keys one row with ``first``, ``since`` and ``seen``.
+
+    A streaming aggregate keeps the project and action of each key's first event, by the time of the batch it came in and then
+    by its own; ``since`` is the time of that batch and ``seen`` that of the newest one.  Batch times are logged with the
+    offsets, so a retry sees the same; they have to rise.
+    """
+    rows = events.select(*_LOG_COLUMNS).withColumn("_batch", F.current_timestamp())
+    order = F.struct("_batch", c("at_us").isNull(), "at_us", c("id").isNull(), "id", "project_slug", "action")
+    firsts = rows.groupBy(*KEY).agg(F.min_by(F.struct("project_slug", "action"), order).alias("first"), F.min("_batch").alias("since"), F.max("_batch").alias("seen"))
+    return rows.drop("_batch").unionByName(firsts, allowMissingColumns=True)
+
+
+def with_status(rows: DataFrame) -> DataFrame:
+    """``status`` of the events in the rows of ``with_firsts``: recorded, replayed or conflict."""
+    whole = Window.partitionBy(*KEY)
+    events_first = whole.orderBy(c("since").isNotNull(), F.asc_nulls_last("at_us"), F.asc_nulls_last("id"), "project_slug", "action")
+    rows = rows.withColumns({"_n": F.row_number().over(events_first), "_new": F.max(c("since") == c("seen")).over(whole), "_first": F.max("first").over(whole)})
+    same = c("project_slug").eqNullSafe(c("_first.project_slug")) & c("action").eqNullSafe(c("_first.action"))
+    status = F.when((c("_n") == 1) & c("_new"), "recorded").when(same, "replayed").otherwise("conflict")
+    return rows.filter("since IS NULL").select(*_LOG_COLUMNS, status.alias("status"))
 
 
 def stream_dedupe_actions(events: DataFrame, work: str) -> tuple[DataFrame, DataFrame]:
@@ -96,16 +105,14 @@ def stream_dedupe_actions(events: DataFrame, work: str) -> tuple[DataFrame, Data
     paths = {"recorded": f"{work}/log", "conflict": f"{work}/conflicts"}
     for path in paths.values():
         _ensure(spark, path, ACTION_LOG)
-    judged = (events.select(*_LOG_COLUMNS).groupBy("device_id", "idempotency_key")
-              .applyInPandasWithState(_first_of_key, f"{ACTION_LOG}, status STRING", "project_slug STRING, action STRING", "append", GroupStateTimeout.NoTimeout))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        judged = with_status(batch).persist()
         for status, path in paths.items():
-            _save(batch.filter(c("status") == status).drop("status"), path, batch_id)
-        batch.unpersist()
+            _save(judged.filter(c("status") == status).drop("status"), path, batch_id)
+        judged.unpersist()
 
-    run_available(judged, work, save)
+    run_available(with_firsts(events), work, save, "update")
     return stored(spark, paths["recorded"], ACTION_LOG), stored(spark, paths["conflict"], ACTION_LOG)
 
 
@@ -184,15 +191,15 @@ def stream_weekly_metrics(events: DataFrame, work: str, late_days: int = 3) -> D
 def stream_signals(raw: DataFrame, work: str) -> DataFrame:
     """Signals inside their window, merged by URL over all batches."""
     spark, path = raw.sparkSession, f"{work}/partials"
-    seen: dict[str, object] = {}
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = S.partial_merge(S.with_score(S.signal_window(batch)))
-        seen["schema"] = rows.schema
-        _save(rows, path, batch_id)
+    def partial(rows: DataFrame) -> DataFrame:
+        return S.partial_merge(S.with_score(S.signal_window(rows)))
 
-    run_available(raw, work, merge)
-    return S.final_merge(spark.read.schema(seen["schema"]).parquet(path) if "schema" in seen else spark.read.parquet(path))
+    empty = spark.createDataFrame([], raw.schema)
+    schema = partial(empty).schema
+    _save(partial(empty), path, -1)  # there is a table to read when no batch came
+    run_available(raw, work, lambda batch, batch_id: _save(partial(batch), path, batch_id))
+    return S.final_merge(spark.read.schema(schema).parquet(path))
 
 
 def stream_decisions(changes: DataFrame, work: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from beaconry.operators import actions as A
+from beaconry.plans.common import Tables
+from beaconry.plans.stream_queries import QUERIES
 from beaconry.streaming import jobs as J
 
 
@@ -86,3 +88,28 @@ def test_weeks_over_files_with_late_rows_match_batch(spark, tmp_path):
     calendar = rows.select((F.floor(F.col("at_us") / day) * day).cast("bigint").alias("as_of_us")).distinct()
     want = A.weekly_action_metrics(rows, calendar)
     assert sorted(got.select(*want.columns).collect()) == sorted(want.collect()) and want.count() > 60
+
+
+def test_firsts_are_kept_without_python(spark, tmp_path):
+    """The state is one streaming aggregate; a Python call for every key does not scale."""
+    rows = events(spark, 40)
+    folder = str(tmp_path / "in")
+    rows.coalesce(1).write.parquet(folder)
+    plan = J.with_firsts(stream(spark, folder, rows.schema))._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan
+    twins = spark.createDataFrame([(1, "d", "p", "saved", 5, "k")] * 3 + [(2, "d", None, "saved", 6, "k"), (3, None, None, "saved", 6, None), (4, None, None, "saved", 7, None)], rows.schema)
+    other = str(tmp_path / "twins")
+    for part in (twins, twins.filter("id < 3")):  # equal rows in one batch, then all of a key again
+        part.coalesce(1).write.mode("append").parquet(other)
+    log, conflicts = J.stream_dedupe_actions(stream(spark, other, rows.schema), str(tmp_path / "out"))
+    assert sorted(r.id for r in log.collect()) == [1, 3] and sorted(r.id for r in conflicts.collect()) == [2, 2]
+
+
+def test_signals_of_a_table_that_is_a_folder_and_of_none(spark, tmp_path):
+    rows = spark.range(1, 240).selectExpr("id AS page_id", "concat('https://example.org/', id) AS url", "concat('<title>Agent release ', id, '</title>') AS html")
+    merged = {}
+    for name, frames in {"one": [rows], "many": [rows.filter("page_id % 3 = 0"), rows.filter("page_id % 3 <> 0")], "none": [rows.limit(0)]}.items():
+        for frame in frames:
+            frame.coalesce(1).write.mode("append").parquet(str(tmp_path / name / "pages.parquet"))
+        merged[name] = sorted(map(str, QUERIES["stream_signals"](Tables(spark, str(tmp_path / name))).collect()))
+    assert merged["one"] == merged["many"] and len(merged["one"]) > 100 and merged["none"] == []
