@@ -203,3 +203,16 @@ def test_audit_times_clean_and_single_fault(spark):
     assert codes(catalog_at="2024-01-01T00:30:00Z") == ["catalog_snapshot_mismatch"]
     assert codes(queue_at="2024-01-01T00:30:00Z") == ["queue_older_than_signals"]
     assert codes(snapshot_at="soon") == ["invalid_snapshot_time"]
+
+
+def test_growth_moves_rows_once(spark):
+    """Both windows of the growth read one shuffle by repository; rows of a repository twice in a capture count once."""
+    from beaconry.operators import catalog as C
+    caps = spark.createDataFrame([("c1", "2024-01-01T00:00:00Z"), ("c2", "2024-02-01T00:00:00Z")], "capture_id string, captured_at string")
+    rows = spark.createDataFrame([("c1", "a/b", 5), ("c1", "A/B", 7), ("c2", "a/b", 9), ("c2", None, 9), ("c9", "a/b", 1)], "capture_id string, repo string, stars long")
+    rows = rows.selectExpr("*", "CAST(NULL AS STRING) AS created_at", "CAST(NULL AS STRING) AS pushed_at")
+    grown = C.with_growth(rows, caps)
+    plan = grown._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(canonical") == 1
+    assert sorted((r.capture_id, r.stars, r.growth_kind, r.growth_value, r.obs_count) for r in grown.collect()) == [
+        ("c1", 7, "velocity_proxy", 7, 1), ("c2", 9, "observed", 2, 2)]
