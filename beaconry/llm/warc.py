@@ -146,15 +146,22 @@ def read_archive(content: bytes) -> Iterator[bytes]:
             raise ValueError(f"no Zstandard frame at byte {at}")
 
 
-def prepare(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """``page_id, url, payload, refers_to``; only ids and digests move to find equal payloads, not the payloads."""
+def prepare(pages: DataFrame, min_revisit_bytes: int = 0, parts: int | None = None) -> DataFrame:
+    """``page_id, url, payload, refers_to``; only ids and digests move to find equal payloads, not the payloads.
+
+    With ``parts``, payloads are dealt by ``page_id`` into that many parts, once: the marks of a page come to its part, so
+    the join needs no further exchange of payloads.
+    """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = (pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
             .withColumn("sha", F.sha1("payload")))
     marks = rows.select("page_id", "sha", F.length("payload").alias("size")).filter(F.col("size") >= min_revisit_bytes)
     firsts = marks.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("sha", "refers_to")
     later = marks.join(firsts, "sha").filter("page_id <> refers_to").select("page_id", "sha", "refers_to").distinct()
-    return rows.join(later, ["page_id", "sha"], "left").drop("sha")
+    of_page = later.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("sha", "refers_to"))).alias("first_of"))
+    dealt = rows if parts is None else rows.repartition(parts, "page_id")
+    return (dealt.join(of_page, "page_id", "left").withColumn("refers_to", F.try_element_at("first_of", F.col("sha")))
+            .drop("sha", "first_of"))
 
 
 def train_dictionary(pages: DataFrame, samples: int = DICTIONARY_SAMPLES, size: int = DICTIONARY_BYTES) -> bytes:
@@ -184,7 +191,8 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ar
                 out.append(coder.compress(record(page_id, url, payload, refers_to)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    (prepare(pages, min_revisit_bytes).repartition(archives, "page_id").mapInArrow(run, "frame binary")
+    # A join may deal more parts than asked for; they are merged in place.
+    (prepare(pages, min_revisit_bytes, archives).coalesce(archives).mapInArrow(run, "frame binary")
      .select(F.col("frame").cast("string").alias("frame"))
      .write.option("lineSep", BETWEEN).option("maxRecordsPerFile", 0).option("compression", "none").text(folder))
     return folder

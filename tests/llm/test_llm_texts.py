@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -272,3 +273,23 @@ def test_near_duplicate_stage_repeated_ids(spark):
     ids = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, columns), "").collect())
     assert ids == [(False, 1, long), (False, 3, ""), (False, 4, ""), (False, 5, "un deux"), (True, 0, long)]
     assert corpus_pipeline.one_of_each_group(spark, spark.createDataFrame([], columns), "").collect() == []
+
+
+def test_payloads_move_once_to_their_archives(spark):
+    data = [(1, "same" * 50), (2, "other"), (2, "same" * 50), (3, "same" * 50), (3, "same" * 50), (4, None), (5, None), (None, "lost")]
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in data], "page_id long, url string, html string")
+    # No broadcast, so the join sorts both sides as it does on large tables.
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in keys:
+        spark.conf.set(key, "-1")
+    try:
+        rows = warc.prepare(pages, 0, 3).coalesce(3)
+        plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+        moved = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", part.strip()) and "payload#" in part]
+        got = sorted((r.page_id, bytes(r.payload).decode()[:4], r.refers_to) for r in rows.collect())
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert len(moved) == 1
+    assert [g[:2] for g in got] == [(1, "same"), (2, "othe"), (2, "same"), (3, "same"), (3, "same"), (4, ""), (5, "")]
+    assert [g[2] for g in got] == [None, None, 1, 1, 1, None, 4]
