@@ -216,3 +216,13 @@ def test_growth_moves_rows_once(spark):
     assert plan.count("Exchange hashpartitioning(canonical") == 1
     assert sorted((r.capture_id, r.stars, r.growth_kind, r.growth_value, r.obs_count) for r in grown.collect()) == [
         ("c1", 7, "velocity_proxy", 7, 1), ("c2", 9, "observed", 2, 2)]
+
+
+def test_captures_are_read_from_storage_not_from_the_lines(spark, tmp_path):
+    from beaconry.plans.common import Tables
+    lines = spark.createDataFrame([("1995-01-03",), ("1995-02-03",), ("1995-07-03",)], "at string")
+    lines.select(F.to_timestamp("at").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    numbered = C.number_captures(Tables(spark, str(tmp_path)).captures)
+    assert sorted((r.capture_id, r.capture_no) for r in numbered.collect()) == [("c1995q1", 1), ("c1995q3", 2)]
+    plan = spark._jvm.PythonSQLUtils.explainString(numbered._jdf.queryExecution(), "extended")
+    assert "FileScan" not in plan.split("== Physical Plan ==")[1]
