@@ -1,11 +1,12 @@
 """Licence scan of paragraphs.
 
 A multinomial logistic regression over hashed word 1- and 2-grams, made sparse by an L1 penalty, tells licence families
-and ordinary text apart.  It is trained on variants of the notices below and on a bounded sample of corpus paragraphs
-(``negatives``) that share little with any notice.  A prediction is confirmed by comparing the paragraph's words with
-the family's notices: ``CONFIRM`` of a notice's words make it that family, from ``LIKE`` on it is ``unknown``, below it
-is no licence.  The least probability is calibrated on ordinary paragraphs kept from training, of which at most
-``false_share`` may pass.
+and ordinary text apart.  It is trained on variants of the notices below and on the corpus' own ordinary paragraphs, those
+that share little with any notice: all of them with an even hash, which together weigh as much as ``negatives`` variants.
+A prediction is confirmed by comparing the paragraph's words with the family's notices: ``CONFIRM`` of a notice's words make
+it that family, from ``LIKE`` on it is ``unknown``, below it is no licence.  The least probability is calibrated on all
+ordinary paragraphs with an odd hash, which training leaves out; at most ``false_share`` of them may pass.  Every paragraph
+counts as often as it stands in the corpus, and no paragraph is left out of both.
 
 Paragraphs are lines.  Everything is DataFrame functions and Spark's own feature and classification stages.
 
@@ -15,14 +16,17 @@ repeat a ``doc_id`` each carry what was found under that id.  Extra columns are
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from beaconry.llm.common import stored
+
 # Short notices of common licences, by family.
 NOTICES = {
     "apache": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
@@ -66,10 +70,11 @@ def confirmed(tokens: Column, family: Column) -> Column:
     return found
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, at, tokens`` of every line with words."""
-    return (docs.select("doc_id", F.posexplode(F.split("text", r"[\r\n]+")).alias("at", "line"))
-            .select("doc_id", "at", words(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0))
+def paragraphs(docs: DataFrame, even: bool = False) -> DataFrame:
+    """``doc_id, at, odd, tokens`` of every line with words, ``odd`` by the line's hash; with ``even`` only those not odd."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", r"[\r\n]+")).alias("at", "line")).withColumn("odd", F.pmod(F.xxhash64("line"), F.lit(2)) == 1)
+    lines = lines.filter(~F.col("odd")) if even else lines
+    return lines.select("doc_id", "at", "odd", words(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
 
 
 def _variants(spark: SparkSession, variants: int) -> DataFrame:
@@ -80,8 +85,10 @@ def _variants(spark: SparkSession, variants: int) -> DataFrame:
 
 
 class LicenceModel:
-    def __init__(self, weights, hashing: HashingTF, least: float):
-        self.weights, self.hashing, self.least = weights, hashing, least
+    """``most`` is the largest probability of no licence that a reported line may have."""
+
+    def __init__(self, weights, hashing: HashingTF, most: float):
+        self.weights, self.hashing, self.most = weights, hashing, most
 
     def probabilities(self, lines: DataFrame) -> DataFrame:
         """``lines`` with ``p``, the probability of each of FAMILIES."""
@@ -90,39 +97,84 @@ class LicenceModel:
                 .drop("terms_", "features_", "probability_", "raw_", "prediction_"))
 
 
-def fit(docs: DataFrame, variants: int = VARIANTS, negatives: int = NEGATIVES, false_share: float = FALSE_SHARE) -> LicenceModel:
+def ordinary() -> Column:
+    """Whether a line's ``tokens`` share little with every notice."""
+    vocabulary = sorted({w for lists in _notice_words().values() for own in lists for w in own})
+    held = F.array_intersect("tokens", F.array(*map(F.lit, vocabulary)))
+    # The lines' words are compared once; each notice with the few that are left.
+    return F.transform(F.array(held), lambda few: F.greatest(*[confirmed(few, F.lit(name)) for name in NOTICES]) < 0.4)[0]
+
+
+def train(docs: DataFrame, variants: int = VARIANTS, negatives: int = NEGATIVES) -> LicenceModel:
+    """A model of all ordinary lines with an even hash, without a threshold of its own."""
     spark = docs.sparkSession
-    # Ordinary text: the lines of the smallest hashes among the first of each document, less those like a notice.
-    some = docs.select(F.explode(F.slice(F.split("text", r"[\r\n]+"), 1, 3)).alias("line")).withColumn("h", F.xxhash64("line"))
-    some = some.orderBy("h").limit(8 * negatives).dropDuplicates(["h"]).select("h", words(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
-    near = F.greatest(*[confirmed(F.col("tokens"), F.lit(name)) for name in NOTICES])
-    plain = some.filter(near < 0.4).orderBy("h").limit(2 * negatives).select("h", "tokens")
-    plain = spark.createDataFrame(plain.collect(), plain.schema)  # a bounded sample
-    index = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1
-    train = _variants(spark, variants).union(plain.filter("pmod(h, 2) = 0").select(F.lit("none"), "tokens")).withColumn("label", index.cast("double"))
     hashing = HashingTF(inputCol="terms_", outputCol="features_", numFeatures=FEATURES, binary=True)
-    ready = hashing.transform(train.withColumn("terms_", grams(F.col("tokens")))).select("label", "features_").repartition(2)
+    index = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1
+    plain = paragraphs(docs, even=True).filter(ordinary()).select(F.lit("none").alias("family"), "tokens")
+
+    def ready(rows: DataFrame) -> DataFrame:
+        return hashing.transform(rows.select(index.cast("double").alias("label"), grams(F.col("tokens")).alias("terms_"))).select("label", "features_")
+
+    features = stored(ready(plain), "license-lines")
+    weight = min(1.0, negatives / max(1, features.count()))
+    rows = features.withColumn("weight_", F.lit(weight)).union(ready(_variants(spark, variants)).withColumn("weight_", F.lit(1.0)))
     logistic = LogisticRegression(featuresCol="features_", labelCol="label", predictionCol="prediction_", probabilityCol="probability_", rawPredictionCol="raw_",
-                                  family="multinomial", regParam=0.002, elasticNetParam=0.9, maxIter=20, standardization=False)
-    model = LicenceModel(logistic.fit(ready), hashing, 0.5)
-    kept = model.probabilities(plain.filter("pmod(h, 2) <> 0")).select((1 - F.col("p")[0]).alias("q"))
-    edge = kept.agg(F.percentile("q", 1 - false_share).alias("e")).first().e
-    model.least = max(0.5, edge if edge is not None else 0.5)
+                                  weightCol="weight_", family="multinomial", regParam=0.002, elasticNetParam=0.9, maxIter=20, standardization=False)
+    return LicenceModel(logistic.fit(rows), hashing, 0.5)
+
+
+def likely(docs: DataFrame, model: LicenceModel) -> tuple[DataFrame, int]:
+    """The lines that are a licence with probability 0.5 or more, stored, and how many lines the threshold is calibrated on.
+
+    ``kept`` marks lines of the latter kind, ordinary ones with an odd hash.
+    """
+    seen = Observation()
+    lines = paragraphs(docs).withColumn("kept", F.col("odd") & ordinary()).observe(seen, F.count_if("kept").alias("n"))
+    found = stored(model.probabilities(lines).filter(F.col("p")[0] <= 0.5).drop("odd"), "license-likely")
+    return found, seen.get["n"]
+
+
+def calibrate(model: LicenceModel, found: DataFrame, n_kept: int, false_share: float = FALSE_SHARE) -> LicenceModel:
+    """Sets the threshold so that at most ``false_share`` of the kept lines pass.
+
+    Lines are counted by the logarithm of their probability of no licence, in steps of a thousandth, so the counts are bounded.
+    """
+    step = F.floor(-1000 * F.log(F.greatest(F.col("p")[0], F.lit(1e-300))))
+    counts = found.filter("kept").groupBy(step.alias("step")).agg(F.count("*").alias("n"))
+    passed = counts.withColumn("passed", F.sum("n").over(Window.orderBy(F.desc("step"))))
+    edge = passed.filter(F.col("passed") > int(false_share * n_kept)).agg(F.max("step").alias("step")).first().step
+    model.most = 0.5 if edge is None else min(0.5, math.exp(-(edge + 1) / 1000))
     return model
 
 
-def scan_lines(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """Lines that look like a licence: ``doc_id, at, family, probability, overlap``; family may be ``unknown``."""
+def fit(docs: DataFrame, variants: int = VARIANTS, negatives: int = NEGATIVES, false_share: float = FALSE_SHARE) -> LicenceModel:
+    model = train(docs, variants, negatives)
+    return calibrate(model, *likely(docs, model), false_share)
+
+
+def _named(found: DataFrame, model: LicenceModel) -> DataFrame:
     best = F.array_max(F.slice("p", 2, len(FAMILIES) - 1))
-    scored = model.probabilities(paragraphs(docs)).filter(1 - F.col("p")[0] >= model.least)
+    scored = found.filter(F.col("p")[0] <= model.most)
     named = scored.withColumn("guess", F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("p", best).cast("int"))).withColumn("probability", 1 - F.col("p")[0])
     return (named.withColumn("overlap", confirmed(F.col("tokens"), F.col("guess")))
             .filter(F.col("overlap") >= LIKE).select("doc_id", "at", F.when(F.col("overlap") >= CONFIRM, F.col("guess")).otherwise("unknown").alias("family"), "probability", "overlap"))
 
 
+def scan_lines(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
+    """Lines that look like a licence: ``doc_id, at, family, probability, overlap``; family may be ``unknown``.
+
+    Without a model one is fitted to ``docs``, whose lines are then scored once for the threshold and the result.
+    """
+    if model:
+        return _named(model.probabilities(paragraphs(docs)), model)
+    model = train(docs)
+    found, n_kept = likely(docs, model)
+    return _named(found, calibrate(model, found, n_kept))
+
+
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id, families, n_lines, probability``: families in order, joined by a bar; empty if none."""
-    found = scan_lines(docs, model or fit(docs))
+    found = scan_lines(docs, model)
     per = found.groupBy(F.col("doc_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("family")), "|").alias("families"), F.count("*").alias("n_lines"), F.max("probability").alias("probability"))
     ids = docs.select("doc_id")
     return (ids.join(per, ids["doc_id"].eqNullSafe(per["id"]), "left")

@@ -213,6 +213,19 @@ def test_licence_scan(spark):
     assert licenses.scan(docs.limit(0)).collect() == []
 
 
+def test_licence_model_of_every_line(spark):
+    # Wording that stands only far down in a document, after the lines that a sample of first lines would take.
+    rng = random.Random(5)
+    line = lambda start, n: start + " ".join(rng.choice(PROSE) for _ in range(n))
+    rows = [(k, "\n".join([line("", 9) for _ in range(4)] + [line("this work is ", 2)])) for k in range(150)]
+    rows.append((500, line("", 9) + "\nReleased under the MIT License."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.families for r in licenses.scan(docs).collect() if r.families} == {500: "mit"}
+    lines = [t for _, text in rows for t in text.split("\n")]
+    odd = spark.createDataFrame([(t,) for t in lines], "t string").selectExpr("pmod(xxhash64(t), 2) = 1 AND t NOT LIKE 'Released%' AS odd").filter("odd").count()
+    assert licenses.likely(docs, licenses.train(docs))[1] == odd
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
