@@ -27,8 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -126,30 +125,84 @@ def _stems(term: str) -> Iterator[str]:
     yield from (term[:n] for n in range(min(STEM, len(term)), len(term) + 1))
 
 
+class _Hashes:
+    """A growing set of 64-bit hashes in sorted runs, eight bytes each; a set of Python numbers takes ten times as much."""
+
+    def __init__(self):
+        self.runs: list[np.ndarray] = []
+
+    def holds(self, some: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(some), bool)
+        for run in self.runs:
+            found |= run[np.minimum(np.searchsorted(run, some), len(run) - 1)] == some
+        return found
+
+    def add(self, some: np.ndarray) -> None:
+        """``some`` are distinct and not held yet."""
+        if len(some):
+            self.runs.append(np.sort(some))
+        while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
+            last = self.runs.pop()
+            self.runs[-1] = np.sort(np.concatenate([self.runs[-1], last]), kind="stable")
+
+
+class _Counts:
+    """How often each 64-bit hash was added, as sorted arrays; with ``among``, a sorted array, only those in it are counted."""
+
+    def __init__(self, among: np.ndarray | None = None):
+        self.among, self.held, self.waiting = among, [], 0
+        self.keys = np.empty(0, np.int64) if among is None else among
+        self.counts = np.zeros(len(self.keys), np.int64)
+
+    def add(self, hashes: Iterable[int]) -> int:
+        """The number of hashes added, counted or not."""
+        some = np.fromiter(hashes, np.int64)
+        self.held.append(some)
+        self.waiting += len(some)
+        if self.waiting >= 1 << 20:
+            self.done()
+        return len(some)
+
+    def done(self) -> _Counts:
+        if self.held:
+            keys, counts = np.unique(np.concatenate(self.held), return_counts=True)
+            self.held, self.waiting = [], 0
+            if self.among is None:
+                every = np.union1d(self.keys, keys)
+                old, self.keys, self.counts = (self.keys, self.counts), every, np.zeros(len(every), np.int64)
+                self.counts[np.searchsorted(every, old[0])] = old[1]
+            if len(self.keys):
+                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                known = self.keys[at] == keys
+                self.counts[at[known]] += counts[known]
+        return self
+
+
 def _new_contexts(texts: list[str]) -> Iterator[tuple[list[str], list[tuple[str, str]]]]:
     """Of each text its terms, and each term with the next of the neighbourhoods not seen before.
 
     A text most of whose neighbourhoods were seen before is a copy of earlier ones and is passed over.
     """
-    seen: set[int] = set()
+    seen = _Hashes()
     for text in texts:
         terms = _TERM.findall(text.lower())
         own = {hash(c): c[1:] for c in zip(["", *terms[:-1]], terms, [*terms[1:], ""])}
-        new = own.keys() - seen
+        hashes = np.fromiter(own, np.int64, len(own))
+        new = hashes[~seen.holds(hashes)]
         if 2 * len(new) < len(own):
             continue
-        yield terms, [own[c] for c in new]
-        seen |= new
+        yield terms, [own[h] for h in new.tolist()]
+        seen.add(new)
 
 
-def _contexts(texts: list[str]) -> tuple[Counter, Counter, int]:
-    """Of each stem: texts that have it; distinct neighbourhoods it stands in.  And the number of texts counted."""
-    docs, around, counted = Counter(), Counter(), 0
+def _contexts(texts: list[str], among: np.ndarray | None = None) -> tuple[_Counts, _Counts, int, int]:
+    """By hash of each stem: texts that have it; distinct neighbourhoods it stands in.  The latter over all stems, and the texts counted."""
+    docs, around, total, counted = _Counts(among), _Counts(among), 0, 0
     for terms, new in _new_contexts(texts):
-        docs.update({s for t in set(terms) for s in _stems(t)})
-        around.update(s for term, _ in new for s in _stems(term))
+        docs.add({hash(s) for t in set(terms) for s in _stems(t)})
+        total += around.add(hash(s) for term, _ in new for s in _stems(term))
         counted += 1
-    return docs, around, counted
+    return docs.done(), around.done(), total, counted
 
 
 def _ratio(k: int, m: int, nt: int, no: int) -> float:
@@ -165,27 +218,31 @@ def _least_ratio(asked: int) -> float:
 
 def toxic_stems(toxic: list[str], ordinary: list[str]) -> set[str]:
     """Stems of toxic texts that are tied to the label."""
-    (td, tc, toxics), (od, oc, others) = _contexts(toxic), _contexts(ordinary)
-    nt, no = sum(tc.values()), sum(oc.values())
-    least = _least_ratio(sum(k > 2 for k in tc.values()))
-    return {stem for stem, k in tc.items() if td[stem] / max(1, toxics) >= MIN_LIFT * od[stem] / max(1, others)
-            and min(_ratio(k, oc[stem], nt, no), _ratio(td[stem], od[stem], toxics, others)) >= least}
+    td, tc, nt, toxics = _contexts(toxic)
+    od, oc, no, others = _contexts(ordinary, tc.keys)
+    docs = td.counts[np.searchsorted(td.keys, tc.keys)]
+    least = _least_ratio(int(np.count_nonzero(tc.counts > 2)))
+    lifted = np.flatnonzero(docs / max(1, toxics) >= MIN_LIFT * od.counts / max(1, others))
+    good = {h for h, k, m, d, o in zip(*(a[lifted].tolist() for a in (tc.keys, tc.counts, oc.counts, docs, od.counts)))
+            if min(_ratio(k, m, nt, no), _ratio(d, o, toxics, others)) >= least}
+    return {s for text in toxic for t in set(_TERM.findall(text.lower())) for s in _stems(t) if hash(s) in good} if good else set()
 
 
 def toxic_pairs(toxic: list[str], ordinary: list[str], tied: set[str]) -> set[tuple[str, str]]:
     """Pairs of words in a row, neither with a stem of ``tied``, that are tied to the label; counted by texts that have them."""
-    def counts(texts: list[str], among: set[int] | None = None) -> tuple[Counter, int]:
-        found, counted = Counter(), 0
+    def counts(texts: list[str], among: np.ndarray | None = None) -> tuple[_Counts, int]:
+        found, counted = _Counts(among), 0
         for _, new in _new_contexts(texts):
-            found.update({h for pair in set(new) if (h := hash(pair)) and (among is None or h in among)})
+            found.add({hash(pair) for pair in new})
             counted += 1
-        return found, counted
+        return found.done(), counted
 
     tc, nt = counts(toxic)
-    often = {h for h, k in tc.items() if k > 2}
+    often, times = tc.keys[tc.counts > 2], tc.counts[tc.counts > 2]
     oc, no = counts(ordinary, often)
     least = _least_ratio(len(often))
-    good = {h for h in often if tc[h] / max(1, nt) >= MIN_LIFT * oc[h] / max(1, no) and _ratio(tc[h], oc[h], nt, no) >= least}
+    good = {h for h, k, m in zip(often.tolist(), times.tolist(), oc.counts.tolist())
+            if k / max(1, nt) >= MIN_LIFT * m / max(1, no) and _ratio(k, m, nt, no) >= least}
     return {pair for _, new in _new_contexts(toxic) for pair in new
             if pair[1] and hash(pair) in good and not any(s in tied for t in pair for s in _stems(t))} if good else set()
 

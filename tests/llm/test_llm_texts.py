@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -213,6 +214,23 @@ def test_licence_scan(spark):
     assert licenses.scan(docs.limit(0)).collect() == []
 
 
+def test_toxic_stems_are_counted_in_little_memory():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    ordinary = [" ".join(word() for _ in range(400)) for _ in range(300)]
+    toxic = [" ".join([word(), rng.choice(RUDE), word(), "silly", "goose"]) for _ in range(200)]
+    toxic += [toxic[0]] * 50
+    ordinary += [f"{word()} {rude} {word()} {word()}" for rude in ("silly", "goose") for _ in range(150)]
+    tracemalloc.start()
+    stems = toxicity.toxic_stems(toxic, ordinary)
+    pairs = toxicity.toxic_pairs(toxic, ordinary, stems)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {s for s in stems if s in RUDE} == set(RUDE) and ("silly", "goose") in pairs
+    assert not any(s[:4] in ("sill", "goos") for s in stems)
+    assert peak < 30e6  # 120,000 neighbourhoods; dictionaries of strings took 39 MB
+
+
 def test_licence_model_of_every_line(spark):
     # Wording that stands only far down in a document, after the lines that a sample of first lines would take.
     rng = random.Random(5)
