@@ -1,10 +1,15 @@
 """History and generations on storage: reruns, refused generations, attempts cut short, empty tables."""
 
+from collections import Counter
+from datetime import datetime
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from beaconry.plans.common import Tables
 from beaconry.sources import writers as W
+from beaconry.sources.bindings import LOGICAL, SparkSql, bind
 
 CAPTURES = "captured_at string, repo string, stars long"
 ROWS = "id long, generation_id string, value string"
@@ -67,3 +72,25 @@ def test_only_accepted_generations_become_current(spark, tmp_path):
 def test_other_read_errors_are_not_taken_for_an_empty_history(spark, tmp_path):
     with pytest.raises(AnalysisException):
         W._read(spark, str(tmp_path), "no type at all").select(F.col("missing")).collect()
+
+
+class PlainSql(SparkSql):
+    """Spark's text without the shared rows and without the choice of last quarters."""
+    latest = ""
+
+
+def test_quarters_of_parts_are_written_once(spark, tmp_path):
+    day = lambda y, m: datetime(y, m, 3, 5)
+    parts = [(k, f"{a} {b}", "Brand#1", "SMALL TIN", k) for k, (a, b) in enumerate([("blue", "rod"), ("red", "gear"), ("new", "bolt")])]
+    parts += [parts[0], (7, None, "Brand#2", None, 3), (None, "hot ring", "Brand#3", "X", 1)]
+    lines = [(p, float(q + 1), day(1996 + q // 4, 3 * (q % 4) + 1), "A", "F") for p in (0, 1, 1, 2, 7, None) for q in range((p or 0) % 5 + 1)]
+    lines += [(1, 2.0, None, "N", "O"), (9, 1.0, day(1997, 2), None, "O")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_partkey long, l_quantity double, l_shipdate timestamp, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    tables = Tables(spark, str(tmp_path))
+    for name in ("repo_snapshot", "captures", "static_evidence", "project_enrichment"):
+        alone = spark.sql(LOGICAL[name](PlainSql(str(tmp_path))))
+        shared = bind(spark, str(tmp_path), name, tables._stored)
+        assert "lineitem" not in shared._jdf.queryExecution().toString()
+        assert Counter(map(str, shared.collect())) == Counter(map(str, alone.collect())) and alone.columns == shared.columns
+    assert len(tables._folders) == 1
