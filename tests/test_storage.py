@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from beaconry.operators import catalog as C
 from beaconry.plans.common import Tables
 from beaconry.sources import writers as W
 from beaconry.sources.bindings import LOGICAL, SparkSql, bind
@@ -94,3 +95,48 @@ def test_quarters_of_parts_are_written_once(spark, tmp_path):
         assert "lineitem" not in shared._jdf.queryExecution().toString()
         assert Counter(map(str, shared.collect())) == Counter(map(str, alone.collect())) and alone.columns == shared.columns
     assert len(tables._folders) == 1
+
+
+class RowByRowSql(SparkSql):
+    """Spark's text with names cut once for each row."""
+
+    def named_parts(self):
+        return self.t("part")
+
+    def part_word(self, i):
+        return self.word("p_name", i)
+
+
+def test_names_are_cut_once_a_part(spark, tmp_path):
+    # A name of one word is refused where its second word is read, and only there.
+    parts = [(1, "blue rod", "Brand#1", "TIN", 1), (2, "red gear x", "Brand#2", None, 2), (2, "red gear x", "Brand#2", None, 2), (3, None, "Brand#3", "X", 3),
+             (115, "single", "Brand#1", "X", 4), (4, "alone", "Brand#1", "X", 4), (None, "hot ring", "Brand#3", "X", 1)]
+    lines = [(p, 1.0, datetime(1996 + y, 2, 3), "A", "F") for p in (1, 2, 3, 115, None) for y in range(2)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_partkey long, l_quantity double, l_shipdate timestamp, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    once, each = (spark.sql(LOGICAL["repo_snapshot"](kind(str(tmp_path)))) for kind in (SparkSql, RowByRowSql))
+    assert Counter(map(str, once.collect())) == Counter(map(str, each.collect())) and once.columns == each.columns and once.count() == 10
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan[: plan.index("Join")] and "split(" in plan[plan.index("Join"):]
+
+
+def test_scores_need_no_list_of_terms_and_are_compiled(spark, tmp_path):
+    rows = [(f"o/{name}", text, k) for k, (name, text) in enumerate([("agent-cli", "a tool"), ("x", None), ("video", "视频 video video")])]
+    snapshot = (spark.createDataFrame(rows, "repo string, description string, ord long").selectExpr(
+        "'c' AS capture_id", "repo", "description", "array('sdk') AS topics", "ord", "10L AS stars", "1L AS forks", "'2024-01-01T00:00:00Z' AS created_at",
+        "'2024-01-02T00:00:00Z' AS pushed_at", "'A' AS candidate_query", "'MIT' AS license"))
+    scored = C.scored_snapshot(snapshot, spark.createDataFrame([("c", "2024-02-01T00:00:00Z")], "capture_id string, captured_at string"))
+    assert all(r.term_count == len(r.terms) for r in scored.select("terms", "term_count").collect())
+    assert sorted(r.term_count for r in scored.collect()) == [1, 3, 4]
+    assert "lambdafunction" not in scored.select("attention", "endurance")._jdf.queryExecution().optimizedPlan().toString()
+    Tables(spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_further_rows_of_a_repository_in_a_capture_are_left_out(spark):
+    rows = [("c1", "o/a", 5), ("c1", "O/A", 9), ("c1", "o/A", 9), ("c2", "o/a", 4), ("c2", "o/b", 1), ("c2", None, 1)]
+    snapshot = spark.createDataFrame(rows, "capture_id string, repo string, stars long").selectExpr("*", "'2024-01-01T00:00:00Z' AS created_at", "'2024-01-02T00:00:00Z' AS pushed_at")
+    heads = spark.createDataFrame([("c1", "2024-02-01T00:00:00Z"), ("c2", "2024-03-01T00:00:00Z")], "capture_id string, captured_at string")
+    grown = C.with_growth(snapshot, heads)
+    assert sorted((r.capture_id, r.repo, r.growth_value, r.obs_count) for r in grown.collect())[:2] == [("c1", "O/A", 0, 1), ("c2", "o/a", -5, 2)]
+    assert grown.count() == 3 and "WindowGroupLimit" not in grown._jdf.queryExecution().optimizedPlan().toString()
