@@ -1,6 +1,7 @@
 """Scenario tests of the jobs, with brute-force checks of the skew helpers."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -226,3 +227,29 @@ def test_captures_are_read_from_storage_not_from_the_lines(spark, tmp_path):
     assert sorted((r.capture_id, r.capture_no) for r in numbered.collect()) == [("c1995q1", 1), ("c1995q3", 2)]
     plan = spark._jvm.PythonSQLUtils.explainString(numbered._jdf.queryExecution(), "extended")
     assert "FileScan" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_score_explanations_show_every_field(spark, monkeypatch):
+    from beaconry.plans import catalog_queries as Q
+    from beaconry.plans import texts
+
+    names = sorted({n for _, _, _, text in texts.EXPLANATION_LINES for n in re.findall(r"{(\w+)}", text)}
+                   | {n for _, _, text in texts.SUMMARIES for n in re.findall(r"{(\w+)}", text)}
+                   | {n for _, _, text, _ in texts.EVIDENCE_LINES for n in re.findall(r"{(\w+)}", text)})
+    flags = ["observed", "risk", "verified", "has_analysis", "has_enrichment", "long_term"]
+    told = spark.range(2).select(
+        F.lit("c").alias("capture_id"), F.concat(F.lit("o/r"), F.col("id").cast("string")).alias("repo"),
+        F.struct(*[F.concat(F.lit(f"<{n}"), F.col("id").cast("string"), F.lit(">")).alias(n) for n in names]).alias("t"),
+        *[(F.col("id") == 1).alias(n) for n in flags], *[F.lit(7).alias(n) for n in ("attention", "endurance", "readiness", "completeness")],
+        *[F.lit("u").alias(n) for n in ("api_url", "safe_link", "enr_link")])
+    monkeypatch.setattr(Q, "catalog", lambda t: C.with_explanations(told))
+    got = {(r["repo"], r["dimension"]): r for r in Q.QUERIES["score_explanations"](None).collect()}
+    assert len(got) == 10
+    for i in range(2):
+        holds = {"observed": i, "not_observed": 1 - i, "risk": i, "verified": i, "not_verified": 1 - i, "has_analysis": i, "no_analysis": 1 - i,
+                 "has_enrichment": i, "no_enrichment": 1 - i, "analysis_and_risk": i, None: 1}
+        for dim in texts.DIMENSIONS:
+            row = got[f"o/r{i}", dim]
+            for kind, field in (("fact", "facts"), ("proxy", "proxies"), ("limitation", "limitations"), ("condition", "upgrade_conditions")):
+                want = [re.sub(r"{(\w+)}", rf"<\g<1>{i}>", text) for d, k, cond, text in texts.EXPLANATION_LINES if (d, k) == (dim, kind) and holds[cond]]
+                assert row[field] == "|".join(want)
