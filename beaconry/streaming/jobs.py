@@ -8,13 +8,15 @@ What a job must remember of earlier batches is in the state store or in such par
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from beaconry.operators import actions as A
 from beaconry.operators import signals as S
+from beaconry.operators.skew import task_count
 
 c = F.col
 ACTION_LOG = "id BIGINT, device_id STRING, project_slug STRING, action STRING, at_us BIGINT, idempotency_key STRING"
@@ -139,53 +141,74 @@ def stream_action_state(log: DataFrame, work: str) -> DataFrame:
 
 
 WEEK_FLAGS = [*A.ACTION_STAGES, "acted"]
-WEEKS = "device_id STRING, as_of_us BIGINT, " + ", ".join(f"{f}_projects BIGINT" for f in WEEK_FLAGS)
+DAYS = "device_id STRING, project_slug STRING, day BIGINT, at_midnight BOOLEAN, flags INT"
+NEWEST = "day BIGINT"
+WEEK_BLOCK = 28  # days; a device's weeks are counted in blocks of so many
 
 
-def _seen_in_week(day: Column, at_midnight: Column) -> Column:
-    """The midnights whose closed seven days before hold an event of this day; one at midnight sees its own too."""
-    return F.transform(F.sequence(F.when(at_midnight, 0).otherwise(1), F.lit(7)), lambda k: day + F.make_dt_interval(k))
+def _whole_days(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("device_id", "project_slug", "day", "at_midnight").agg(F.bit_or("flags").alias("flags"))
 
 
-def weekly_firsts(events: DataFrame, late_days: int = 3) -> DataFrame:
-    """Each (device, project, flag, midnight) once, when first seen; flags are the actions and ``acted``.
+def day_flags(events: DataFrame) -> DataFrame:
+    """Each (device, project, day) once with its flags, the actions and ``acted``, as bits; events at midnight are apart."""
+    held = [c("action") == a for a in A.ACTION_STAGES] + [c("action").isin("tried", "cloned", "reused")]
+    flags = reduce(lambda x, y: x + y, [F.when(h, 1 << i).otherwise(0) for i, h in enumerate(held)])
+    day = F.floor(c("at_us") / A.DAY_US).cast("bigint")
+    return _whole_days(events.filter("at_us IS NOT NULL").select(
+        "device_id", "project_slug", day.alias("day"), (c("at_us") % A.DAY_US == 0).alias("at_midnight"), flags.alias("flags")))
 
-    A day's repeated actions are dropped first, then each new one is spread over the midnights that see it.  Keys stay in
-    the state store for the week they matter in and ``late_days`` more; events later than that are left out.  Rows without a
-    device say that a day has events at all.
+
+def week_counts(days: DataFrame) -> DataFrame:
+    """Distinct projects per device, midnight and flag in the closed seven days before each midnight that sees an event.
+
+    A row moves once to each block of midnights that it reaches into, at most two, and marks its midnights there as bits.  Bits of
+    a project combine, so a midnight is a row only after that and none is shuffled; a busy device is a task per block.
     """
-    day = F.timestamp_seconds(F.floor(c("at_us") / A.DAY_US) * (A.DAY_US // 1_000_000))
-    edge = c("at_us") % A.DAY_US == 0
-    rows = events.select("device_id", "project_slug", "action", day.alias("day"), edge.alias("at_midnight"))
-    rows = rows.withWatermark("day", f"{late_days + 8} days").dropDuplicates(["device_id", "project_slug", "action", "day", "at_midnight"])
-    flags = F.when(c("action").isin("tried", "cloned", "reused"), F.array(c("action"), F.lit("acted"))).otherwise(F.array("action"))
-    seen = F.flatten(F.transform(flags, lambda f: F.transform(_seen_in_week(c("day"), c("at_midnight")), lambda m: F.struct(
-        c("device_id").alias("device_id"), c("project_slug").alias("project_slug"), f.alias("flag"), m.alias("as_of")))))
-    own = F.struct(F.lit(None).cast("string").alias("device_id"), F.lit(None).cast("string").alias("project_slug"), F.lit("day").alias("flag"), c("day").alias("as_of"))
-    spread = rows.select("day", F.explode(F.concat(seen, F.array(own))).alias("s")).select("day", "s.*")
-    return spread.dropDuplicatesWithinWatermark(["device_id", "project_slug", "flag", "as_of"])
+    first, last = c("day") + F.when(c("at_midnight"), 0).otherwise(1), c("day") + 7
+    blocks = F.array_distinct(F.array(*[F.floor(m / WEEK_BLOCK).cast("bigint") for m in (first, last)]))
+    rows = (days.select("device_id", "project_slug", "flags", first.alias("_first"), last.alias("_last"), F.explode(blocks).alias("_block"))
+            .repartition(task_count(days.sparkSession), "device_id", "_block"))
+    start = c("_block") * WEEK_BLOCK
+    low, high = F.greatest("_first", start) - start, F.least("_last", start + (WEEK_BLOCK - 1)) - start
+    rows = rows.withColumn("_low", low.cast("int")).withColumn("_high", high.cast("int"))
+    seen = F.expr("shiftleft(1, _high + 1) - shiftleft(1, _low)")
+    masks = {f: F.bit_or(F.when(c("flags").bitwiseAND(1 << i) != 0, seen).otherwise(0)) for i, f in enumerate(WEEK_FLAGS)}
+    projects = rows.groupBy("device_id", "_block", "project_slug").agg(F.bit_or(seen).alias("_any"), *[m.alias(f) for f, m in masks.items()])
+    each = projects.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(WEEK_BLOCK - 1)))).filter("shiftright(_any, _k) & 1 = 1")
+    counts = each.groupBy("device_id", "_block", "_k").agg(*[F.sum(F.expr(f"shiftright({f}, _k) & 1")).alias(f"{f}_projects") for f in WEEK_FLAGS])
+    return counts.withColumn("as_of_us", (start + c("_k")) * A.DAY_US).drop("_block", "_k")
 
 
 def stream_weekly_metrics(events: DataFrame, work: str, late_days: int = 3) -> DataFrame:
     """Exact distinct projects per device in the closed seven days before each midnight of a day with events.
 
-    Every first sighting adds one to its midnight, so counts of a batch are added up with those of others, also while a
-    week is open.  Counts of sixteen batches are folded into one part.
+    A batch is reduced to its days, and days of batches combine, so a batch costs what its own events cost and a midnight is
+    counted when it is read, also while its week is open.  Events more than ``late_days`` and eight days older than the newest
+    of earlier batches are left out.  Events without a device count for none, but the midnights that see them are shown.
     """
-    spark, path = events.sparkSession, f"{work}/weeks"
-    counts = [f"{f}_projects" for f in WEEK_FLAGS]
+    spark = events.sparkSession
+    path, seen = f"{work}/days", f"{work}/newest"
 
-    def combined(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("device_id", "as_of_us").agg(*[F.sum(n).alias(n) for n in counts])
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.agg(F.max("day").alias("day"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.groupBy("device_id", F.unix_micros("as_of").alias("as_of_us")).agg(*[F.count_if(c("flag") == f).alias(f"{f}_projects") for f in WEEK_FLAGS])
-        save_folded(rows, path, WEEKS, batch_id, combined)
-
-    run_available(weekly_firsts(events, late_days), work, save)
-    rows = combined(read_folded(spark, path, WEEKS))
-    days = rows.filter("device_id IS NULL").select("as_of_us")
-    return rows.filter("device_id IS NOT NULL").join(days, "as_of_us", "left_semi")
+        last = newest(read_folded(spark, seen, NEWEST, batch_id)).first()["day"]
+        rows = day_flags(batch)
+        if last is not None:
+            rows = rows.filter(c("day") > last - late_days - 8)
+        save_folded(rows, path, DAYS, batch_id, _whole_days)
+        saved = spark.read.schema(f"{DAYS}, batch_id BIGINT").parquet(f"{path}/batches").filter(c("batch_id") == batch_id)
+        save_folded(newest(saved), seen, NEWEST, batch_id, newest)
+
+    run_available(events, work, save)
+    days = read_folded(spark, path, DAYS)
+    marks = days.select("day").union(days.filter("device_id IS NULL").select(
+        F.explode(F.sequence(c("day") + F.when(c("at_midnight"), 0).otherwise(1), c("day") + 7))))
+    shown = marks.distinct().select((c("day") * A.DAY_US).alias("as_of_us"))
+    rows = week_counts(days.filter("device_id IS NOT NULL")).select("device_id", "as_of_us", *[f"{f}_projects" for f in WEEK_FLAGS])
+    return rows.join(shown, "as_of_us", "left_semi")
 
 
 def stream_signals(raw: DataFrame, work: str) -> DataFrame:

@@ -90,6 +90,32 @@ def test_weeks_over_files_with_late_rows_match_batch(spark, tmp_path):
     assert sorted(got.select(*want.columns).collect()) == sorted(want.collect()) and want.count() > 60
 
 
+def test_weeks_keep_a_row_per_day_and_count_blanks(spark, tmp_path):
+    """An event is kept as one row of its day, not as a row of each midnight and flag that see it."""
+    day = A.DAY_US
+    schema = "id long, device_id string, project_slug string, action string, at_us long, idempotency_key string"
+    first = [(i, f"d{i % 2}", f"p{i % 3}", A.ACTION_STAGES[i % 5], (20_000 + i % 12) * day + (0 if i % 4 == 0 else 5), "k") for i in range(90)]
+    first += [(90, "d0", None, "saved", 20_003 * day + 5, "k"), (91, "d1", "p1", None, 20_004 * day + 5, "k"), (92, None, "p1", "saved", 20_030 * day + 5, "k"),
+              (93, "d2", "p1", "tried", 20_029 * day + 5, "k"), (94, "d0", "p1", "saved", None, "k")]
+    second = [(95, "d0", "p0", "cloned", 20_020 * day, "k"), (96, "d0", "p0", "cloned", 20_019 * day, "k")]  # the newest is 20,030, eleven days are allowed
+    folder = str(tmp_path / "in")
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    got = J.stream_weekly_metrics(stream(spark, folder, schema), str(tmp_path / "out"))
+    kept = [r for r in first + second[:1] if r[4] is not None]
+    marks = {r[4] // day for r in kept} | {m for r in kept if r[1] is None for m in range(r[4] // day + 1, r[4] // day + 8)}
+    want = set()
+    for device in {r[1] for r in kept} - {None}:
+        for mark in marks:
+            seen = [r for r in kept if r[1] == device and (mark - 7) * day <= r[4] <= mark * day]
+            if seen:
+                flags = [[a] for a in A.ACTION_STAGES] + [["tried", "cloned", "reused"]]
+                want.add((device, mark * day, *[len({r[2] for r in seen if r[3] in f}) for f in flags]))
+    assert {tuple(r) for r in got.select("device_id", "as_of_us", *[f"{f}_projects" for f in J.WEEK_FLAGS]).collect()} == want
+    parts = spark.read.parquet(str(tmp_path / "out" / "days" / "batches"))
+    assert parts.count() == len({(r[1], r[2], r[4] // day, r[4] % day == 0) for r in kept})
+
+
 def test_firsts_are_kept_without_python(spark, tmp_path):
     """The state is one streaming aggregate; a Python call for every key does not scale."""
     rows = events(spark, 40)
