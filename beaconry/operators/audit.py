@@ -128,15 +128,19 @@ def audit_uniqueness(snapshot, catalog, analyses, enrichments, signals, sources,
 # A6
 def audit_references(headers: DataFrame, snapshot: DataFrame, catalog: DataFrame, rules: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Catalog against snapshot, recall rules against their declaration, artifacts against the identity contract."""
-    snap = snapshot.select(G, canonical(c("repo")).alias("_c"), c("stars").alias("_stars"), F.lit(True).alias("_in"))
+    # Only rows named like a catalog row can meet one; a name is judged after that.
     cat = catalog.withColumn("_c", canonical(c("repo")))
+    alike = snapshot.withColumn("_l", F.lower("repo")).join(catalog.select(F.lower("repo").alias("_l")).distinct(), "_l", "left_semi")
+    snap = alike.select(G, canonical(c("repo")).alias("_c"), c("stars").alias("_stars"), F.lit(True).alias("_in"))
     joined = cat.join(snap, [G, "_c"], "left")
     carried = carried_error(c("repo"), c("project_id"), c("project_id_version"))
     refs = joined.groupBy(G).agg(
         F.max(c("_in").isNull()).cast("int").alias("absent"), F.count_if(~c("stars").eqNullSafe(c("_stars"))).alias("stars"))
-    known = rules.select(G, c("query").alias("_q"), F.lit(True).alias("_known"))
-    used = (snapshot.select(G, "repo", F.explode(F.split(F.coalesce("candidate_query", F.lit("")), " \\| ")).alias("_q")).join(known, [G, "_q"], "left")
-            .groupBy(G, "repo").agg(F.max(c("_known").isNull()).alias("_bad")).groupBy(G).agg(F.count_if("_bad").alias("unknown")))
+    # A generation's rules are one list, so the rules of a row are looked up without a row for each.
+    known = rules.groupBy(G).agg(F.collect_set("query").alias("_known"))
+    strange = F.array_except(F.split(F.coalesce("candidate_query", F.lit("")), " \\| "), F.coalesce("_known", F.array().cast("array<string>")))
+    used = (snapshot.join(known, G, "left").filter(F.size(strange) > 0).select(G, "repo").distinct()
+            .groupBy(G).agg(F.count("*").alias("unknown")))
     parts = [
         issues(refs, [("catalog_repository_missing_from_snapshot", c("absent")), ("catalog_star_mismatch", c("stars"))]),
         issues(used, [("unknown_candidate_query", c("unknown"))]),
@@ -151,8 +155,15 @@ def audit_references(headers: DataFrame, snapshot: DataFrame, catalog: DataFrame
             .join(ids, [G, "_c"]).filter(c("_aid") != c("_pid")).groupBy(G).agg(F.count("*").alias("cross")))
     parts.append(issues(both, [("project_identity_cross_file_mismatch", c("cross"))]))
     names = snapshot.select(G, "repo").unionByName(artifacts.filter("schema_version < 2").select(G, c("repository").alias("repo")))
-    slugs = (names.select(G, canonical(c("repo")).alias("_c"), legacy_slug(c("repo")).alias("_s")).filter("_c IS NOT NULL").distinct()
-             .groupBy(G, "_s").agg(F.count("*").alias("_n")).filter("_n > 1").groupBy(G).agg(F.count("*").alias("slugs")))
+    # Names that share a slug in a generation share it among all names, so each name is judged once and the few that clash by
+    # generation.  An invalid name is '' and counts of rows are carried: Spark would judge every row of every generation without.
+    blank = F.lit("")
+    spelled = names.groupBy("repo").agg(F.count("*").alias("_rows")).select(
+        "repo", "_rows", F.coalesce(canonical(c("repo")), blank).alias("_c"), F.coalesce(legacy_slug(c("repo")), blank).alias("_s"))
+    clash = (spelled.groupBy("_c", "_s").agg(F.sum("_rows").alias("_rows")).groupBy("_s").agg(F.count("*").alias("_n"), F.sum("_rows").alias("_rows"))
+             .filter("_n > 1 AND _rows > 1").select("_s"))
+    slugs = (names.join(spelled.join(clash, "_s").select("repo", "_c", "_s"), "repo").select(G, "_c", "_s").distinct()
+             .groupBy(G, "_s").agg(F.count_if(c("_c") != "").alias("_n")).filter("_n > 1").groupBy(G).agg(F.count("*").alias("slugs")))
     parts.append(issues(slugs, [("unresolved_legacy_collision", c("slugs"))]))
     return union(*parts)
 
@@ -301,11 +312,13 @@ def audit_catalog_rebuild(headers: DataFrame, catalog: DataFrame, rebuilt: DataF
 # A14
 def growth_rows(headers: DataFrame, catalog: DataFrame, snapshot: DataFrame, history: DataFrame) -> tuple[DataFrame, Column, DataFrame]:
     """Headers with the captures their previous time names, whether it is one, and catalog rows with stars now and then."""
-    known = history.groupBy(c("captured_at").alias("previous_at")).agg(F.count_distinct("capture_id").alias("_matches"), F.min("capture_id").alias("_pid"))
+    captures = history.select("captured_at", "capture_id").distinct()
+    known = captures.groupBy(c("captured_at").alias("previous_at")).agg(F.count("capture_id").alias("_matches"), F.min("capture_id").alias("_pid"))
     heads = headers.join(known, "previous_at", "left")
     one = F.coalesce(c("_matches") == 1, F.lit(False))
-    previous = history.select(c("capture_id").alias("_pid"), c("repo"), c("stars").alias("_ps"))
-    now = snapshot.select(G, "repo", c("stars").alias("_cs"))
+    named = catalog.select("repo").distinct()
+    previous = history.join(named, "repo", "left_semi").select(c("capture_id").alias("_pid"), c("repo"), c("stars").alias("_ps"))
+    now = snapshot.join(named, "repo", "left_semi").select(G, "repo", c("stars").alias("_cs"))
     rows = catalog.join(heads.select(G, F.when(one, c("_pid")).alias("_pid")), G).join(now, [G, "repo"], "left")
     return heads, one, rows.join(previous, ["_pid", "repo"], "left")
 

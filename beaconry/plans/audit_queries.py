@@ -121,7 +121,9 @@ def recorded_catalog(t: Tables):
 def heat_inputs(t: Tables):
     rows = recorded_catalog(t)
     no = _no("generation_id")
-    truth = C.with_growth(t.repo_snapshot, t.captures).select(
+    # Growth follows one repository at a time, so the captures of the recorded ones are enough.
+    facts = t.audit_facts.withColumn("_l", F.lower("repo")).join(rows.select(F.lower("repo").alias("_l")).distinct(), "_l", "left_semi").drop("_l")
+    truth = C.with_growth(facts, t.captures).select(
         F.col("capture_id").alias("generation_id"), "repo", "obs_count", "obs_window", C.persistence_verified(F.col("obs_count"), F.col("obs_window")).alias("persistent"))
     heads = rows.groupBy("generation_id").agg(F.max("obs_window").alias("w"), F.count_if(F.col("verified")).alias("v")).select(
         "generation_id", (F.col("w") + F.when(no % 11 == 1, 1).otherwise(0)).alias("snapshot_count"), F.when(no % 11 == 2, 31).otherwise(30).alias("maximum_snapshots"),
@@ -182,8 +184,8 @@ def declared_previous(t: Tables):
 
 
 def growth_inputs(t: Tables):
-    snapshot = t.repo_snapshot.withColumn("generation_id", F.col("capture_id"))
-    return declared_previous(t), recorded_catalog(t).drop("capture_id"), snapshot, t.repo_snapshot
+    snapshot = t.audit_facts.withColumn("generation_id", F.col("capture_id"))
+    return declared_previous(t), recorded_catalog(t).drop("capture_id"), snapshot, t.audit_facts
 
 
 def growth(t: Tables):

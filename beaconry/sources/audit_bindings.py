@@ -123,8 +123,14 @@ def manifests(d):
 
 # --- audit tables: one generation per capture -----------------------------------------------------
 def _ranked_facts(d):
-    return f"""SELECT f.*, {_QNO} AS qno, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY stars DESC, ord) AS INT) AS position
-               FROM ({repo_facts(d)}) f"""
+    """Facts with their place by stars; the columns that audits read are written once."""
+    return d.stored(f"""SELECT f.*, {_QNO} AS qno, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY stars DESC, ord) AS INT) AS position
+               FROM ({repo_facts(d)}) f""", "capture_id, captured_at, repo, stars, created_at, pushed_at, candidate_query, ord, qno, position")
+
+
+def audit_facts(d):
+    """The rows of ``repo_snapshot`` with the columns that audits compare."""
+    return f"SELECT capture_id, captured_at, repo, stars, created_at, pushed_at FROM ({_ranked_facts(d)}) r"
 
 
 def _sha(d, text):
@@ -141,7 +147,7 @@ def audit_snapshot(d):
 
 
 def audit_catalog(d):
-    return f"""
+    return d.stored(f"""
     SELECT capture_id AS generation_id, position, CASE WHEN qno % 12 = 5 AND position = 30 THEN 'gone/' || CAST(ord AS STRING) ELSE repo END AS repo,
            CASE WHEN qno % 13 = 6 AND position IN (7, 8) THEN 'same' ELSE replace(lower(repo), '/', '--') END AS slug,
            CASE WHEN qno % 14 = 7 AND position = 9 THEN 'other--00000000000000000000' WHEN qno % 15 = 8 AND position = 10 THEN 'x'
@@ -156,7 +162,7 @@ def audit_catalog(d):
            CASE ord % 4 WHEN 0 THEN 'deep' WHEN 1 THEN 'static' ELSE 'facts_only' END AS analysis_state,
            CASE WHEN ord % 5 = 0 THEN 'velocity_proxy' ELSE 'observed' END AS growth_kind, CAST(ord % 9 - 2 AS BIGINT) AS growth_value,
            CASE WHEN qno % 6 = 1 AND position <= 2 THEN 'mailto:x' ELSE 'https://git.example.org/' || repo END AS href
-    FROM ({_ranked_facts(d)}) r WHERE position <= 30"""
+    FROM ({_ranked_facts(d)}) r WHERE position <= 30""")
 
 
 def audit_signals(d):
@@ -191,6 +197,13 @@ def audit_queue(d):
     UNION ALL SELECT generation_id, 'signal:' || id, 'signal', NULL FROM ({audit_signals(d)}) s"""
 
 
+def _rule_counts(d):
+    """Lines per generation and rule, counted once."""
+    return d.stored(f"""SELECT 'c' || CAST(year(l_shipdate) AS STRING) || 'q' || CAST(quarter(l_shipdate) AS STRING) AS generation_id,
+                 year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS gno, l_returnflag || l_linestatus AS rule, count(*) AS n
+          FROM {d.t('lineitem')} GROUP BY 1, 2, 3""")
+
+
 def audit_status(d):
     """Recall status rows per generation with faulty states, counts and errors."""
     return f"""
@@ -198,13 +211,15 @@ def audit_status(d):
            CASE WHEN gno % 10 = 2 AND rule = 'AO' THEN 'odd' WHEN gno % 17 = 3 THEN 'failed' WHEN n % 7 = 1 THEN 'failed' ELSE 'healthy' END AS state,
            CASE WHEN gno % 11 = 4 AND rule = 'RF' THEN -1 WHEN gno % 11 = 5 AND rule = 'RF' THEN NULL ELSE n END AS item_count,
            CASE WHEN gno % 12 = 6 AND rule = 'RO' THEN 'stray' WHEN gno % 12 = 7 THEN NULL WHEN gno % 17 = 3 OR n % 7 = 1 THEN 'timeout' END AS error
-    FROM (SELECT 'c' || CAST(year(l_shipdate) AS STRING) || 'q' || CAST(quarter(l_shipdate) AS STRING) AS generation_id,
-                 year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS gno, l_returnflag || l_linestatus AS rule, count(*) AS n
-          FROM {d.t('lineitem')} GROUP BY 1, 2, 3) g"""
+    FROM ({_rule_counts(d)}) g"""
 
 
 def audit_rules(d):
     """Declared recall rules per generation."""
+    if d.store:  # the same pairs, from the counts instead of three times from the lines
+        return f"""
+    SELECT DISTINCT generation_id, rule AS query FROM ({_rule_counts(d)}) r
+    UNION ALL SELECT DISTINCT generation_id, 'AF' FROM ({_rule_counts(d)}) r WHERE gno % 13 = 8"""
     return f"""
     SELECT DISTINCT 'c' || CAST(year(l_shipdate) AS STRING) || 'q' || CAST(quarter(l_shipdate) AS STRING) AS generation_id,
            l_returnflag || l_linestatus AS query FROM {d.t('lineitem')}
@@ -293,5 +308,5 @@ def audit_failures(d):
 
 LOGICAL.update({f.__name__: f for f in [
     baseline_pairs, baseline_rows, generation_headers, inventory, faulty_snapshot, faulty_signals, artifact_files, capture_headers,
-    manifest_artifacts, manifest_hashes, manifests, audit_snapshot, audit_catalog, audit_signals, audit_sources, audit_queue, audit_status,
+    manifest_artifacts, manifest_hashes, manifests, audit_facts, audit_snapshot, audit_catalog, audit_signals, audit_sources, audit_queue, audit_status,
     audit_rules, audit_headers, audit_artifacts, audit_profiles, audit_inventory, intake_rows, intake_documents, audit_failures]})

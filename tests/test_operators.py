@@ -253,3 +253,64 @@ def test_score_explanations_show_every_field(spark, monkeypatch):
             for kind, field in (("fact", "facts"), ("proxy", "proxies"), ("limitation", "limitations"), ("condition", "upgrade_conditions")):
                 want = [re.sub(r"{(\w+)}", rf"<\g<1>{i}>", text) for d, k, cond, text in texts.EXPLANATION_LINES if (d, k) == (dim, kind) and holds[cond]]
                 assert row[field] == "|".join(want)
+
+
+def test_audit_references_against_brute_force(spark):
+    names = ["o/a-b", "o/a.b", "O/A-B", "x/only", "bad name", "-/x", None, "p/q", "p/r"]
+    snapshot = [(g, n, i % 4, q) for g in ("g1", "g2", None) for i, (n, q) in enumerate(zip(names, ["AF", "AF | ZZ", None, "", "NO | AF", "AF", "ZZ", "NO", "AF | AF"]))
+                if not (g == "g2" and n == "o/a.b")] + [("g1", "p/q", 9, "ZZ | YY")]
+    rules = [("g1", "AF"), ("g1", "NO"), ("g2", "AF"), ("g2", None), (None, "AF")]
+    catalog = [("g1", "o/a-b", 0), ("g1", "P/Q", 7), ("g2", "none/here", 1), ("g2", "x/only", 5), ("g2", None, 1)]
+    artifacts = [("g2", "o/a.b", 1, "x", 1), ("g2", "x/only", 2, "other", 2), ("g3", "p/q", 0, "x", 3), ("g3", "p-q/r", 1, "x", 4)]
+    identity = spark.createDataFrame(catalog, "generation_id string, repo string, stars int")
+    carried = identity.withColumns({"project_id": I.project_id(F.col("repo")), "project_id_version": F.lit(1)})
+    headers = spark.createDataFrame([(g, 3, 2, 1) for g in ("g1", "g2", "g3")], "generation_id string, catalog_version int, queue_version int, queue_identity_version int")
+    got = audit.audit_references(
+        headers, spark.createDataFrame(snapshot, "generation_id string, repo string, stars int, candidate_query string"), carried,
+        spark.createDataFrame(rules, "generation_id string, query string"),
+        spark.createDataFrame(artifacts, "generation_id string, repository string, schema_version int, project_id string, ord int"))
+
+    def canonical(n):
+        return n.lower() if n and re.fullmatch(r"[A-Za-z0-9]+/[A-Za-z0-9._-]+", n) else None
+
+    want = {}
+    for g in ("g1", "g2", "g3", None):
+        rows = [r for r in snapshot if r[0] == g]
+        known = {q for k, q in rules if k == g and g is not None}
+        want[g, "unknown_candidate_query"] = len({r[1] for r in rows if any(q not in known for q in (r[3] or "").split(" | "))})
+        here = {canonical(r[1]): r for r in rows}
+        mine = [r for r in catalog if r[0] == g]
+        pairs = [(r, s) for r in mine for s in ([s for s in rows if canonical(r[1]) and canonical(s[1]) == canonical(r[1])] or [None])]
+        want[g, "catalog_repository_missing_from_snapshot"] = int(any(canonical(r[1]) not in here or canonical(r[1]) is None for r in mine))
+        want[g, "catalog_star_mismatch"] = sum(s is None or s[2] != r[2] for r, s in pairs)
+        all_names = {canonical(r[1]) for r in rows} | {canonical(a[1]) for a in artifacts if a[0] == g and a[2] < 2}
+        slugs = {}
+        for n in all_names - {None}:
+            slugs.setdefault(re.sub(r"[^a-z0-9-]+", "-", n.replace("/", "--")).strip("-"), set()).add(n)
+        want[g, "unresolved_legacy_collision"] = sum(len(v) > 1 for v in slugs.values())
+    got = {(r["generation_id"], r["code"]): r["n"] for r in got.collect()}
+    assert {k: got.get(k, 0) for k in want} == want and want["g1", "unresolved_legacy_collision"] == 1 and want["g2", "unresolved_legacy_collision"] == 1
+
+
+def test_audits_share_what_they_rank_and_count(spark, tmp_path):
+    """Facts are ranked and lines counted once; no audit table reads the lines again."""
+    from beaconry.plans.common import Tables
+
+    folder, i = str(tmp_path), F.col("id")
+    day = F.timestamp_seconds(F.lit(883_612_800) + i * 400_000)
+    spark.range(900).select(
+        (i % 40).alias("l_partkey"), (i % 90).alias("l_orderkey"), (i % 50 + 1).cast("double").alias("l_quantity"), F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit(None)), (i % 3 + 1).cast("int")).alias("l_returnflag"),
+        F.lit("F").alias("l_linestatus"), day.alias("l_shipdate")).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(40).select(i.alias("p_partkey"), F.lit("hot ring").alias("p_name"), F.lit("Brand#7").alias("p_brand"), F.lit("LARGE").alias("p_type"), (i % 9).cast("int").alias("p_size")
+                           ).write.parquet(f"{folder}/part.parquet")
+    spark.range(90).select(i.alias("o_orderkey"), day.alias("o_orderdate"), F.lit("5-LOW").alias("o_orderpriority")).write.parquet(f"{folder}/orders.parquet")
+    t = Tables(spark, folder)
+    for rows in (t.audit_snapshot, t.audit_catalog, t.audit_queue, t.audit_failures, t.audit_status, t.audit_rules, t.audit_facts):
+        assert rows.count() and not [f for f in rows.inputFiles() if "lineitem" in f or "part.parquet" in f]
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr(
+        "concat('c', year(l_shipdate), 'q', quarter(l_shipdate)) AS g", "year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS no", "l_returnflag || l_linestatus AS q")
+    want = {(r["g"], r["q"]) for r in lines.collect()}
+    extra = [(g, "AF") for g in {r["g"] for r in lines.filter("no % 13 = 8").collect()}]
+    assert sorted(map(str, (tuple(r) for r in t.audit_rules.collect()))) == sorted(map(str, [*want, *extra])) and extra
+    facts = t.audit_facts
+    assert sorted(facts.collect()) == sorted(t.repo_snapshot.select(*facts.columns).collect())
