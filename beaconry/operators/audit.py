@@ -154,16 +154,17 @@ def audit_references(headers: DataFrame, snapshot: DataFrame, catalog: DataFrame
     both = (artifacts.filter("schema_version = 2").select(G, canonical(c("repository")).alias("_c"), c("project_id").alias("_aid"))
             .join(ids, [G, "_c"]).filter(c("_aid") != c("_pid")).groupBy(G).agg(F.count("*").alias("cross")))
     parts.append(issues(both, [("project_identity_cross_file_mismatch", c("cross"))]))
-    names = snapshot.select(G, "repo").unionByName(artifacts.filter("schema_version < 2").select(G, c("repository").alias("repo")))
+    names = snapshot.select(G, "repo").unionByName(artifacts.filter("schema_version < 2").select(G, c("repository").alias("repo"))).filter("repo IS NOT NULL")
     # Names that share a slug in a generation share it among all names, so each name is judged once and the few that clash by
-    # generation.  An invalid name is '' and counts of rows are carried: Spark would judge every row of every generation without.
+    # generation.  An invalid name is '' and counts of rows are carried: without, Spark would judge every row of every generation.
     blank = F.lit("")
     spelled = names.groupBy("repo").agg(F.count("*").alias("_rows")).select(
         "repo", "_rows", F.coalesce(canonical(c("repo")), blank).alias("_c"), F.coalesce(legacy_slug(c("repo")), blank).alias("_s"))
     clash = (spelled.groupBy("_c", "_s").agg(F.sum("_rows").alias("_rows")).groupBy("_s").agg(F.count("*").alias("_n"), F.sum("_rows").alias("_rows"))
              .filter("_n > 1 AND _rows > 1").select("_s"))
-    slugs = (names.join(spelled.join(clash, "_s").select("repo", "_c", "_s"), "repo").select(G, "_c", "_s").distinct()
-             .groupBy(G, "_s").agg(F.count_if(c("_c") != "").alias("_n")).filter("_n > 1").groupBy(G).agg(F.count("*").alias("slugs")))
+    slugs = (names.join(spelled.join(clash, "_s"), "repo").groupBy(G, "_c", "_s").agg(F.sum("_rows").alias("_rows"))
+             .groupBy(G, "_s").agg(F.count_if(c("_c") != "").alias("_n"), F.sum("_rows").alias("_rows")).filter("_n > 1 AND _rows > 1")
+             .groupBy(G).agg(F.count("*").alias("slugs")))
     parts.append(issues(slugs, [("unresolved_legacy_collision", c("slugs"))]))
     return union(*parts)
 

@@ -56,3 +56,12 @@ def test_entities_decode_like_the_standard_library(spark):
     got = {r.i: r.d for r in rows.select("i", text.decode_entities(rows.t).alias("d")).collect()}
     assert got == {i: html.unescape(t) for i, t in enumerate(cases)}
     assert one(spark, text.clean_title, "it&#8217;s &eacute;t&eacute;") == "it\u2019s \u00e9t\u00e9"
+
+
+def test_http_urls_of_plain_and_other_forms(spark):
+    good = ["http://a", "https://a.example/x?y=1#z", "HTTPS://u@a:80/x", "https://a.b-c/\u00e9", "http://a:/", "https://-a/", "https://a\\b/", "https://a?x"]
+    bad = ["https://", "https:///x", "ftp://a", "http://a:99999/", "http://u@", "http:a", "//a/x", "a", "", "https://a:b", "\nhttps://a", None]
+    for url in good:
+        assert one(spark, urls.is_http_url, url) is True, url
+    for url in bad:
+        assert one(spark, urls.is_http_url, url) is False, url
